@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontaminate, langid, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    prototypes = langid.learn(docs.where(~langid.held_out()))
+    return langid.predict(docs.drop("lang"), prototypes).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_shard(spark, sf_dir):
     sent = sharding.shard(_table(spark, sf_dir, "documents"))
     return sent.select(
@@ -33,6 +43,6 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op9_shard, op10_mix)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op6_langid, op8_decontaminate, op9_shard, op10_mix)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_decontaminate": decontaminate.ORACLE_SQL}
