@@ -101,7 +101,8 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: fl
     bits = min(max(MIN_BITS, (16 * known.count()).bit_length()), MAX_BITS)
     words = _filter(known, bits)
     found = F.array_distinct(_found(F.col(text_col), k, lambda h: _may_hold(words, h, bits)))
-    hits = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.explode(found).alias("x")).select("row", "doc_id", "x.h", "x.shingle")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), found.alias("found"))
+    hits = rows.select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.h", "x.shingle")
     pairs = hits.join(known, ["h", "shingle"]).groupBy("row", "doc_id", "item", "item_id", "shingles").agg(F.count("*").alias("matched"), F.max("in_sketch").alias("candidate"))
     pairs = pairs.where("candidate").withColumn("containment", F.col("matched") / F.col("shingles")).where(F.col("containment") >= threshold)
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "matched", "shingles")).alias("best"))
