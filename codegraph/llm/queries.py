@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, sharding, simhash
+from . import decontaminate, langid, mixing, multiindex, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark, sf_dir):
+    index = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_multiindex(spark, sf_dir):
+    return multiindex.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_langid(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = langid.learn(docs.where(~langid.held_out()))
@@ -43,6 +52,6 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_langid, op8_decontaminate, op9_shard, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op4_multiindex, op6_langid, op8_decontaminate, op9_shard, op10_mix)}
 
 ORACLE_SQL = {"op8_decontaminate": decontaminate.ORACLE_SQL}
