@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, multiindex, sharding, simhash, warc
+from . import decontaminate, langid, licences, mixing, multiindex, pseudonyms, sharding, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +21,30 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark, sf_dir):
+    found = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "private_kinds", "n_private")
+
+
 def op4_multiindex(spark, sf_dir):
     return multiindex.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_urlfilter(spark, sf_dir):
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_langid(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = langid.learn(docs.where(~langid.held_out()))
     return langid.predict(docs.drop("lang"), prototypes).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_licences(spark, sf_dir):
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), "licence")
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +66,6 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op4_multiindex, op6_langid, op8_decontaminate, op9_shard, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_pseudonyms, op4_multiindex, op5_urlfilter, op6_langid, op7_licences, op8_decontaminate, op9_shard, op10_mix)}
 
-ORACLE_SQL = {"op8_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL = {"op7_licences": licences.oracle_sql(), "op8_decontaminate": decontaminate.ORACLE_SQL}
