@@ -71,8 +71,8 @@ def profiles(texts) -> np.ndarray:
                 _bundle(out, rows, parts)
                 rows, parts, held = [], [], 0
     _bundle(out, rows, parts)
-    length = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1))
-    return out / np.maximum(length, 1e-9)[:, None].astype(np.float32)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64)), 1e-9)[:, None].astype(np.float32)
+    return out
 
 
 def _bundle(out: np.ndarray, rows: list[int], parts: list[np.ndarray]) -> None:
@@ -86,6 +86,7 @@ def _bundle(out: np.ndarray, rows: list[int], parts: list[np.ndarray]) -> None:
     place[grams] = np.arange(len(grams))
     owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
     counts = np.bincount(owner * len(grams) + place[codes], minlength=len(rows) * len(grams)).reshape(len(rows), -1)
+    del owner, codes
     sums = np.zeros((len(rows), DIM), np.float32)
     for at in range(0, len(grams), GRAMS):
         sums += counts[:, at : at + GRAMS].astype(np.float32) @ _gram_vectors(grams[at : at + GRAMS])
@@ -111,9 +112,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for frame in frames:
-            unit = np.rint(profiles(frame["text"].tolist()).astype(np.float64) * UNIT).astype(np.int64)
-            for lang, rows in frame.groupby("lang").indices.items():
-                sums[lang] = sums.get(lang, 0) + unit[rows].sum(axis=0)
+            for at in range(0, len(frame), TEXTS):
+                part = frame.iloc[at : at + TEXTS]
+                unit = np.rint(profiles(part["text"].tolist()).astype(np.float64) * UNIT).astype(np.int64)
+                for lang, rows in part.groupby("lang").indices.items():
+                    sums[lang] = sums.get(lang, 0) + unit[rows].sum(axis=0)
         for lang, v in sums.items():
             yield pd.DataFrame({"lang": lang, "at": np.arange(DIM), "v": v})
 
@@ -135,12 +138,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     @F.pandas_udf("lang string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        p = profiles(texts.tolist())
-        cosines = p @ matrix.T
-        some = p.any(axis=1) & (len(matrix) > 0)
-        best = np.where(some, cosines.argmax(axis=1) if len(matrix) else 0, len(names) - 1)
-        score = np.where(some, np.clip(cosines.max(axis=1, initial=0), 0, 1), 0).astype(float)
-        return pd.DataFrame({"lang": [names[i] for i in best], "score": score})
+        best, score = [], []
+        for at in range(0, len(texts), TEXTS):
+            p = profiles(texts.iloc[at : at + TEXTS].tolist())
+            cosines = p @ matrix.T
+            some = p.any(axis=1) & (len(matrix) > 0)
+            best += np.where(some, cosines.argmax(axis=1) if len(matrix) else 0, len(names) - 1).tolist()
+            score += np.where(some, np.clip(cosines.max(axis=1, initial=0), 0, 1), 0).astype(float).tolist()
+        return pd.DataFrame({"lang": [names[i] for i in best], "score": np.array(score, float)}, index=texts.index)
 
     got = "got_" + "_".join(docs.columns)
     kept = [c for c in docs.columns if c not in (lang_col, score_col)]
