@@ -130,7 +130,7 @@ def sources(spark, sf_dir) -> DataFrame:
     n = F.posexplode(F.sequence(F.lit(1), F.col("nl")))
     d = d.select("doc_id", n.alias("pos", "n"))
     block = (
-        F.when(F.col("n") % 3 == 1, F.format_string("def f%d(a, b=1):\n    v%d = a\n    w = g(v%d)\n    return f%d(w)\n", "n", "n", "n", F.col("n") - 3))
+        F.when(F.col("n") % 3 == 1, F.format_string("def f%d(a, b=1):\n    v%d = a\n    w = g(v%d)\n    return f%d(w)\n", "n", "n", "n", F.greatest(F.col("n") - 3, F.lit(0))))
         .when(F.col("n") % 3 == 2, F.format_string("class C%d(Base):\n    x = 1\n\n    def m(self):\n        y = self.x\n        return y\n", "n"))
         .otherwise(F.format_string("k%d = k%d\n", "n", F.col("n") - 3))
     )
@@ -163,6 +163,10 @@ SQL = {
     "fx_repo": "SELECT '/repo/' || rel AS path, doc_id % 13 = 0 AS parse_error FROM fx_docs WHERE doc_id % 10 <> 3",
     "fx_changes": "SELECT h.diff_id, h.event_id AS file_ordinal, '/repo/' || h.path AS path, CASE WHEN change_type = 'deleted' THEN 'deleted' WHEN r.path IS NULL THEN 'missing_file' WHEN r.parse_error THEN 'parse_error' ELSE 'analysed' END AS status FROM fx_hunks h LEFT JOIN fx_repo r ON r.path = '/repo/' || h.path",
     "fx_last": "SELECT path, max_by(status, [diff_id, file_ordinal]) AS status, max_by(diff_id, [diff_id, file_ordinal]) AS diff_id FROM fx_changes GROUP BY path",
+    "fx_src": "SELECT '/repo/m' || doc_id || '.py' AS path, n, 1 + 11 * ((n - 1) // 3) + (CASE n % 3 WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 10 END) AS line FROM (SELECT doc_id, unnest(range(1, greatest(least(len(ls), 40), 1) + 1)) AS n FROM fx_docs)",
+    "fx_py": "SELECT path, n, 'function' AS kind, 'f' || n AS qn, NULL AS parent, line FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'variable', 'f' || n || '.v' || n, 'f' || n, line + 1 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'variable', 'f' || n || '.w', 'f' || n, line + 2 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'class', 'C' || n, NULL, line FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'variable', 'C' || n || '.x', 'C' || n, line + 1 FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'method', 'C' || n || '.m', 'C' || n, line + 3 FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'variable', 'C' || n || '.m.y', 'C' || n || '.m', line + 4 FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'variable', 'k' || n, NULL, line FROM fx_src WHERE n % 3 = 0",
+    "fx_refs": "SELECT path, r.mode, r.name, s.line + r.at AS line FROM fx_src s, LATERAL (SELECT unnest(CASE n % 3 WHEN 1 THEN [{'mode': 'writes', 'name': 'v' || n, 'at': 1}, {'mode': 'reads', 'name': 'a', 'at': 1}, {'mode': 'writes', 'name': 'w', 'at': 2}, {'mode': 'reads', 'name': 'v' || n, 'at': 2}, {'mode': 'reads', 'name': 'w', 'at': 3}] WHEN 2 THEN [{'mode': 'writes', 'name': 'x', 'at': 1}, {'mode': 'writes', 'name': 'y', 'at': 4}, {'mode': 'reads', 'name': 'x', 'at': 4}, {'mode': 'reads', 'name': 'y', 'at': 5}] ELSE [{'mode': 'writes', 'name': 'k' || n, 'at': 0}, {'mode': 'reads', 'name': 'k' || (n - 3), 'at': 0}] END) AS r)",
+    "fx_pyedges": "SELECT DISTINCT path, kind, source, destination FROM (SELECT path, 'contains' AS kind, coalesce(parent, path) AS source, qn AS destination FROM fx_py UNION ALL SELECT path, 'calls', 'f' || n, 'f' || (n - 3) FROM fx_src WHERE n % 3 = 1 AND n > 3 UNION ALL SELECT path, 'writes', 'f' || n, 'f' || n || '.v' || n FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'writes', 'f' || n, 'f' || n || '.w' FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'reads', 'f' || n, 'f' || n || '.v' || n FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'reads', 'f' || n, 'f' || n || '.w' FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'writes', 'C' || n || '.m', 'C' || n || '.m.y' FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, 'reads', 'C' || n || '.m', 'C' || n || '.m.y' FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, 'reads', 'C' || n || '.m', 'C' || n || '.x' FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, 'writes', path, 'k' || n FROM fx_src WHERE n % 3 = 0 UNION ALL SELECT path, 'reads', path, 'k' || (n - 3) FROM fx_src WHERE n % 3 = 0 AND n > 3)",
     "fx_callable": "SELECT *, CASE WHEN trim(body) = '' THEN signature ELSE signature || chr(10) || trim(body) END AS document FROM fx_symbols WHERE kind IN ('function', 'method', 'constructor') AND body <> ''",
     "fx_named": "SELECT path, qualified_name, max_by(id, ordinal) AS id FROM fx_all GROUP BY path, qualified_name",
     "fx_contains": "SELECT 'contains:' || s.path || ':' || CASE WHEN p.id IS NULL THEN s.path ELSE s.parent_name END || '->' || s.qualified_name AS id, 'contains' AS kind, s.path, CASE WHEN p.id IS NULL THEN s.path ELSE s.parent_name END AS source, s.qualified_name AS destination, coalesce(p.id, 'file:' || s.path || ':' || s.path || ':1') AS source_id, s.id AS destination_id, s.ordinal FROM fx_symbols s LEFT JOIN fx_named p ON p.path = s.path AND p.qualified_name = s.parent_name",
@@ -180,3 +184,43 @@ def with_tables(sql: str) -> str:
                 todo.append(SQL[name])
     ctes = ", ".join(f"{name} AS ({SQL[name]})" for name in SQL if name in need)
     return f"WITH {ctes} {sql}" if ctes else sql
+
+
+#: How line n of a document becomes a syntax node, by n % 5: (type path, types of the named nodes around it and how far back their lines are).
+NODE_RULES = {
+    "java": (("program/import_declaration", ()), ("program/class_declaration", ()), ("program/class_declaration/class_body/method_declaration", (("class_declaration", 1),)), ("program/class_declaration/class_body/method_declaration/block/if_statement/local_variable_declaration/variable_declarator", (("class_declaration", 2), ("method_declaration", 1))), ("program/ERROR", ())),
+    "c": (("translation_unit/function_definition", ()), ("translation_unit/declaration/identifier", ()), ("translation_unit/struct_specifier", ()), ("translation_unit/struct_specifier/field_declaration_list/field_declaration/pointer_declarator", (("struct_specifier", 1),)), ("translation_unit/preproc_if/function_definition", ())),
+    "cpp": (("translation_unit/namespace_definition", ()), ("translation_unit/namespace_definition/declaration_list/class_specifier", (("namespace_definition", 1),)), ("translation_unit/namespace_definition/declaration_list/class_specifier/field_declaration_list/function_definition", (("namespace_definition", 2), ("class_specifier", 1))), ("translation_unit/template_declaration/function_definition", ()), ("translation_unit/using_declaration", ())),
+}
+
+
+def syntax_nodes(spark, sf_dir, language: str) -> DataFrame:
+    """Syntax nodes of the documents of one language: a root, and one node for each line with two nodes below it.
+
+    Names are ``x`` and the line; the body of a node is the second half of its text. Below lie a parameter and a base.
+    """
+    d = table(spark, sf_dir, "documents").where(F.col("lang").isin(*[k for k, v in LANGUAGE.items() if v[0] == language]))
+    d = d.select(_doc_path("/repo/").alias("path"), F.size(F.split("text", "\n", -1)).cast("long").alias("nl"))
+    n, rules = F.col("n"), NODE_RULES[language]
+    rows = d.select("path", "nl", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nl"))).alias("n"))
+    type_path = _pick([r[0] for r in rules], n % 5)
+    around = F.array().cast("array<struct<type:string,name:string>>")
+    for i, (_, names) in enumerate(rules):
+        if names:
+            around = F.when(n % 5 == i, F.array(*[F.struct(F.lit(t).alias("type"), F.concat(F.lit("x"), n - back).alias("name")) for t, back in names])).otherwise(around)
+    long = lambda x: F.lit(x).cast("long")
+
+    def row(df, node_id, parent, path_, text, start, end, name, anc, field=None, ordinal=0):
+        own = df.select(F.lit("r").alias("repo_id"), "path", F.lit(language).alias("language"), node_id.alias("node_id"), parent.alias("parent_id"), F.lit(ordinal).alias("child_ord"), F.lit(field).cast("string").alias("field"), F.substring_index(path_, "/", -1).alias("type"), path_.alias("type_path"), anc.alias("anc_names"), name.alias("name"), F.col("n").cast("int").alias("start_line"), F.lit(1).alias("start_column"), F.col("n").cast("int").alias("end_line"), F.lit(50).alias("end_column"), start.alias("start_byte"), end.alias("end_byte"), text.alias("text"))
+        return own.withColumn("body_start_byte", F.when(~F.col("type_path").contains("parameter") & ~F.col("type_path").contains("type_identifier"), F.col("start_byte") + F.length("text") / 2).cast("long")).withColumn("body_end_byte", F.when(F.col("body_start_byte").isNotNull(), F.col("end_byte")))
+
+    none = F.array().cast("array<struct<type:string,name:string>>")
+    root = row(d.withColumn("n", long(1)), long(0), F.lit(None).cast("long"), F.lit(rules[0][0].split("/")[0]), F.concat(F.lit("all of "), "path"), long(0), F.col("nl") * 100, F.lit(None).cast("string"), none)
+    text = F.concat(F.lit("head "), n, F.lit(" {body}"))
+    own = row(rows, n * 10, long(0), type_path, text, n * 100, n * 100 + F.length(text), F.concat(F.lit("x"), n), around)
+    below = {"java": ("formal_parameters/formal_parameter", "superclass/type_identifier"), "c": ("pointer_declarator/function_declarator/parameter_list/parameter_declaration", "none/type_identifier"), "cpp": ("function_declarator/parameter_list/parameter_declaration", "base_class_clause/type_identifier")}[language]
+    for i, rest in enumerate(below):
+        for twice in (0, 1):
+            place = n * 100 + 1 + i * 2 + twice
+            own = own.unionByName(row(rows, n * 10 + 1 + i * 2 + twice, n * 10 + 9 - i, F.concat(type_path, F.lit(f"/{rest}")), F.concat(F.lit(f" t{twice * (1 - i)} "), n), place, place + 1, F.lit(None).cast("string"), around, None, twice))
+    return root.unionByName(own).withColumn("parse_error", F.lit(False))

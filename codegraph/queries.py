@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import text as tx
-from .operators import changed, diffs, documents, explore, package, relations, store, update
-from .sources import scan
+from .operators import changed, diffs, documents, explore, package, relations, store, symbols, update
+from .plans import context, incremental, index
+from .sources import scan, sinks, syntax
+from .sources.shared import shared_path
+from .streaming import updates
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -618,3 +621,187 @@ def update_summary(s, d):
     new = _documents(s, d).where("start_line % 2 = 0").join(update.last_per_path(_changes(s, d)).where("status = 'analysed'").select("path"), "path", "left_semi")
     u = update.update_summary(_changes(s, d), new_nodes, fx.edges(s, d).limit(0), new)
     return u.withColumn("updated_edges", F.col("updated_edges").cast("int"))
+
+
+# --- syntax nodes to symbols ------------------------------------------------------------------------------------------
+
+
+@query("SELECT path, 'function_definition' AS type, name, line FROM (SELECT path, 'f' || n AS name, line FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'm', line + 3 FROM fx_src WHERE n % 3 = 2) UNION ALL SELECT path, 'class_definition', 'C' || n, line FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, 'call', 'g', line + 2 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'call', 'f' || greatest(n - 3, 0), line + 3 FROM fx_src WHERE n % 3 = 1")
+def python_syntax_nodes(s, d):
+    n = syntax.python_syntax_nodes(fx.sources(s, d)).where("type in ('function_definition', 'class_definition', 'call')")
+    return n.select("path", "type", "name", F.col("start_line").cast("long").alias("line"))
+
+
+@query("SELECT 'file:/repo/' || rel || ':/repo/' || rel || ':1' AS id, string_split(rel, '/')[-1] AS name, '/repo/' || rel AS signature FROM fx_docs WHERE language <> 'python'")
+def file_symbol(s, d):
+    out = None
+    for language in fx.NODE_RULES:
+        f = symbols.file_symbols(fx.syntax_nodes(s, d, language)).select("id", "name", "signature")
+        out = f if out is None else out.unionAll(f)
+    return out
+
+
+@query("SELECT kind || ':' || path || ':' || qn || ':' || line AS id, parent AS parent_name, CASE kind WHEN 'function' THEN 'def ' || qn || '(a, b=1)' WHEN 'class' THEN 'class ' || qn WHEN 'method' THEN 'def m(self)' ELSE string_split(qn, '.')[-1] || ' = ...' END AS signature FROM fx_py")
+def python_symbols(s, d):
+    x = symbols.extract_symbols(syntax.python_syntax_nodes(fx.sources(s, d))).where("kind <> 'file'")
+    return x.select("id", "parent_name", "signature")
+
+
+def _expected(language, cases):
+    """SQL: kind, qualified name and parent of the nodes by n % 5."""
+    kind = " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in cases.items())
+    parent = " ".join(f"WHEN {i} THEN {p}" for i, (_, p) in cases.items())
+    return f"SELECT kind || ':' || path || ':' || CASE WHEN parent_name IS NULL THEN '' ELSE parent_name || '.' END || 'x' || n || ':' || n AS id, parent_name FROM (SELECT '/repo/' || rel AS path, n, CASE n % 5 {kind} END AS kind, CASE n % 5 {parent} END AS parent_name FROM fx_lines WHERE language = '{language}') WHERE kind IS NOT NULL"
+
+
+def _extracted(s, d, language):
+    return symbols.extract_symbols(fx.syntax_nodes(s, d, language)).where("kind <> 'file'").select("id", "parent_name")
+
+
+_ONE, _UP = "'x' || (n - 1)", "'x' || (n - 2) || '.x' || (n - 1)"
+
+
+@query(_expected("java", {0: ("import", "NULL"), 1: ("class", "NULL"), 2: ("method", _ONE), 3: ("variable", _UP)}))
+def java_symbols(s, d):
+    return _extracted(s, d, "java")
+
+
+@query(_expected("c", {0: ("function", "NULL"), 1: ("variable", "NULL"), 2: ("struct", "NULL"), 3: ("variable", _ONE)}))
+def c_symbols(s, d):
+    return _extracted(s, d, "c")
+
+
+@query(_expected("cpp", {0: ("namespace", "NULL"), 1: ("class", _ONE), 2: ("method", _UP), 3: ("function", "NULL")}) + " UNION ALL SELECT 'import:/repo/' || rel || ':x' || n || ':' || n, NULL FROM fx_lines WHERE language = 'cpp' AND n % 5 = 4")
+def cpp_symbols(s, d):
+    return _extracted(s, d, "cpp")
+
+
+_TEXT = "('head ' || n || ' {body}')"
+
+
+@query(f"SELECT 'function:/repo/' || rel || ':x' || n || ':' || n AS id, trim({_TEXT}[1:len({_TEXT}) // 2]) AS signature, {_TEXT} AS code, {_TEXT}[len({_TEXT}) // 2 + 1:] AS body FROM fx_lines WHERE language = 'c' AND n % 5 = 0")
+def signature_code_body(s, d):
+    return symbols.extract_symbols(fx.syntax_nodes(s, d, "c")).where("kind = 'function'").select("id", "signature", "code", "body")
+
+
+@query("SELECT 'class:/repo/' || rel || ':x' || n || ':' || n AS id, 't0 ' || n AS super_types, '' AS parameters FROM fx_lines WHERE language = 'java' AND n % 5 = 1 UNION ALL SELECT 'method:/repo/' || rel || ':x' || (n - 1) || '.x' || n || ':' || n, 't0 ' || n, 't0 ' || n || ',t1 ' || n FROM fx_lines WHERE language = 'java' AND n % 5 = 2")
+def parameters_super_types(s, d):
+    x = symbols.extract_symbols(fx.syntax_nodes(s, d, "java")).where("kind in ('class', 'method')")
+    # The fixture puts a parameter and a base below every node; a class has no parameters to the library either way.
+    return x.select("id", _join("super_types").alias("super_types"), F.when(F.col("kind") == "method", _join("parameters")).otherwise("").alias("parameters"))
+
+
+@query("SELECT path, mode, name, line FROM fx_refs WHERE name <> 'k0' UNION ALL SELECT path, 'reads', 'k0', line FROM fx_src WHERE n = 3")
+def reference_names(s, d):
+    r = symbols.reference_names(syntax.python_syntax_nodes(fx.sources(s, d)))
+    return r.select("path", "mode", "name", F.col("start_line").cast("long").alias("line"))
+
+
+# --- whole jobs -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT (SELECT count(DISTINCT path) FROM fx_src) AS scanned_files, 0 AS skipped_files, n AS upserted_nodes, e AS upserted_edges, dn AS upserted_documents, n AS verified_nodes, e AS verified_edges, dn AS verified_documents, NULL::VARCHAR AS mismatch FROM (SELECT (SELECT count(*) FROM fx_py) + (SELECT count(DISTINCT path) FROM fx_src) AS n, (SELECT count(*) FROM fx_pyedges) AS e, (SELECT count(*) FROM fx_py WHERE kind IN ('function', 'method')) AS dn)")
+def initial_index(s, d):
+    f = fx.sources(s, d)
+    return index.initial_index(f.select("path", F.lit(None).cast("string").alias("skip_reason")), syntax.python_syntax_nodes(f)).withColumn("skipped_files", F.col("skipped_files").cast("int"))
+
+
+_TOUCHED = f"(SELECT DISTINCT o.diff_id, o.symbol_id FROM fx_overlaps o JOIN fx_repo r ON r.path = o.path AND NOT r.parse_error {_SEEDS_ONLY})"
+
+
+@query(f"SELECT diff_id, 'symbol' AS what, symbol_id AS name, NULL AS reason FROM {_TOUCHED} UNION ALL SELECT diff_id, 'file', path, CASE max_by(status, file_ordinal) WHEN 'missing_file' THEN 'source_missing' WHEN 'parse_error' THEN 'parse_error' END FROM (SELECT h.diff_id, h.event_id AS file_ordinal, '/repo/' || h.path AS path, CASE WHEN r.path IS NULL THEN 'missing_file' WHEN r.parse_error THEN 'parse_error' ELSE 'ok' END AS status FROM fx_hunks h LEFT JOIN fx_repo r ON r.path = '/repo/' || h.path) GROUP BY diff_id, path")
+def changed_code_context(s, d):
+    f, seeds = context.changed_code_context(fx.diff_files(s, d), fx.repo_files(s, d), fx.symbols(s, d))
+    return seeds.select("diff_id", F.lit("symbol").alias("what"), F.col("symbol_id").alias("name"), F.lit(None).cast("string").alias("reason")).unionAll(f.select("diff_id", F.lit("file"), "path", "skip_reason"))
+
+
+def _package(s, d):
+    sym = fx.all_symbols(s, d)
+    e = store.dedupe_first(relations.contains_edges(sym)).drop("ordinal", "metadata")
+    docs = _documents(s, d)
+    v = fx.vectors(s, d).select(F.substring("id", 2, 8).cast("long").alias("k"), "embedding")
+    size = F.lit(500)
+    placed = lambda df: df.select("id", F.pmod(F.xxhash64("id"), size).alias("k")).join(v, "k").select("id", "embedding")
+    return context.context_package(fx.diff_files(s, d), fx.repo_files(s, d), fx.symbols(s, d), sym, e, docs, placed(fx.symbols(s, d)))
+
+
+_ADJ = f"(SELECT source_id AS here, destination_id AS there, id FROM {_E} UNION ALL SELECT destination_id, source_id, id FROM {_E} WHERE source_id <> destination_id)"
+
+
+@query(
+    f"SELECT f.diff_id, f.n AS changed_files, coalesce(t.n, 0) AS changed_symbols, coalesce(t.m, 0) AS modified_code, coalesce(p.n, 0) AS graph_paths FROM (SELECT diff_id, count(DISTINCT path) AS n FROM fx_hunks GROUP BY diff_id) f LEFT JOIN (SELECT diff_id, count(*) AS n, count(*) FILTER (trim(s.code) <> '') AS m FROM {_TOUCHED} x JOIN fx_symbols s ON s.id = x.symbol_id GROUP BY diff_id) t ON t.diff_id = f.diff_id LEFT JOIN (SELECT diff_id, count(*) AS n FROM (SELECT DISTINCT diff_id, symbol_id, there FROM (SELECT t.diff_id, t.symbol_id, a.there FROM {_TOUCHED} t JOIN {_ADJ} a ON a.here = t.symbol_id UNION ALL SELECT t.diff_id, t.symbol_id, b.there FROM {_TOUCHED} t JOIN {_ADJ} a ON a.here = t.symbol_id JOIN {_ADJ} b ON b.here = a.there AND b.id <> a.id) WHERE there <> symbol_id) GROUP BY diff_id) p ON p.diff_id = f.diff_id"
+)
+def context_package(s, d):
+    p = _package(s, d)
+    return p.select("diff_id", *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c) for c in ("changed_files", "changed_symbols", "modified_code", "graph_paths")])
+
+
+@query()
+def context_package_json(s, d):
+    """The whole packages as JSON, for the command line and as the flagship query."""
+    p = _package(s, d)
+    return p.select("diff_id", F.to_json(F.struct(*[c for c in p.columns if c != "diff_id"])).alias("package"))
+
+
+def _update(s, d):
+    n, e, _, new_nodes, new_edges = _graph_tables(s, d)
+    sym = fx.all_symbols(s, d).where("ordinal % 2 = 0 and kind <> 'none'")
+    rel = new_edges
+    return incremental.incremental_update(fx.diff_files(s, d), fx.repo_files(s, d), sym, rel.withColumn("source", F.col("source_id")), n, e, _documents(s, d))
+
+
+@query(f"SELECT 'nodes' AS what, count(*) AS rows FROM {_NEWN} UNION ALL SELECT 'edges', count(*) FROM {_E} e LEFT JOIN fx_last l ON l.path = e.path WHERE (l.status IS NULL OR l.status NOT IN ('deleted', 'analysed')) OR (l.status = 'analysed' AND e.ordinal % 2 = 0 AND e.source_id IN (SELECT id FROM {_NEWN}) AND e.destination_id IN (SELECT id FROM {_NEWN})) UNION ALL SELECT 'documents', count(*) FROM fx_callable c LEFT JOIN fx_last l ON l.path = c.path WHERE l.status IS NULL OR l.status = 'parse_error' OR (l.status = 'analysed' AND c.ordinal % 2 = 0)")
+def incremental_update(s, d):
+    return incremental.counts(_update(s, d))
+
+
+def _diffs_written(s, d):
+    path = shared_path(s, "diffs")
+    fx.diffs(s, d).select(F.lpad(F.col("diff_id").cast("string"), 8, "0").alias("diff_id"), "diff").write.partitionBy("diff_id").text(path)
+    return path
+
+
+@query("SELECT diff_id, count(*) AS files FROM fx_hunks GROUP BY diff_id")
+def read_diffs(s, d):
+    r = scan.read_diffs(s, _diffs_written(s, d))
+    return r.select(F.col("diff_id").cast("long").alias("diff_id"), F.size(F.regexp_extract_all("diff", F.lit("(?m)^diff --git "), 0)).cast("long").alias("files"))
+
+
+@query("SELECT c.id FROM fx_callable c LEFT JOIN fx_last l ON l.path = c.path WHERE l.status IS NULL OR l.status = 'parse_error' OR (l.status = 'analysed' AND c.ordinal % 2 = 0)")
+def stream_incremental_update(s, d):
+    """The diffs arrive as files; the document table is as after a batch update."""
+    table = updates.Versions(s, shared_path(s, "documents"))
+    table.write(_documents(s, d), -1)
+
+    def apply(files, rows):
+        spark = files.sparkSession
+        files = files.withColumn("path", F.concat(F.lit("/repo/"), "path"))
+        last = update.last_per_path(update.classify_changes(files, fx.repo_files(spark, d)))
+        new = _documents(spark, d).where("start_line % 2 = 0").join(last.where("status = 'analysed'").select("path"), "path", "left_semi")
+        return update.replace_documents(rows, last, new.select(*rows.columns))
+
+    updates.stream_incremental_update(s, _diffs_written(s, d), shared_path(s, "stream"), table, apply)
+    return table.read().select("id")
+
+
+@query("SELECT 'nodes' AS what, path, count(*) AS n FROM fx_nodes GROUP BY path UNION ALL SELECT 'edges', path, count(*) FROM fx_edges GROUP BY path")
+def write_graph(s, d):
+    path = shared_path(s, "graph")
+    sinks.write_graph(fx.nodes(s, d), fx.edges(s, d), path)
+    count = lambda name: s.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("what"), "path").agg(F.count("*").alias("n"))
+    return count("nodes").unionAll(count("edges"))
+
+
+@query("SELECT 'codegraph-' || language || '-code-impl' AS collection, count(*) AS n FROM fx_callable GROUP BY language")
+def write_documents(s, d):
+    path = shared_path(s, "documents")
+    sinks.write_documents(_documents(s, d), path)
+    return s.read.parquet(f"{path}/documents").groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query("SELECT diff_id, count(*) AS files FROM fx_hunks GROUP BY diff_id")
+def write_package_json(s, d):
+    path = shared_path(s, "packages")
+    f = diffs.parse_diffs(fx.diffs(s, d))
+    sinks.write_package_json(f.groupBy("diff_id").agg(F.collect_list("path").alias("changed_files")), path)
+    return s.read.schema("diff_id long, changed_files array<string>").json(path).select("diff_id", F.size("changed_files").cast("long").alias("files"))
