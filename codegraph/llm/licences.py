@@ -68,7 +68,7 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 #: Where a sentence ends: at line ends and after a full stop, mark or semicolon before a blank.
-BREAK = r"(?<=[.!?;:])\s+|\R"
+BREAK = r"(?<=[.!?;])\s+|\R"
 
 
 def _anchor(sentences=SENTENCES) -> str:
@@ -131,7 +131,7 @@ def oracle_sql(sentences=SENTENCES, rules=RULES) -> str:
         hits.append(f"CASE WHEN {hit} THEN ' AND {name}' ELSE '' END")
     seen = " || ".join(hits)
     return rf"""
-WITH parts AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '([.!?;:])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]') AS parts FROM documents),
+WITH parts AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '([.!?;])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]') AS parts FROM documents),
 clean AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS parts FROM parts),
 known AS (SELECT doc_id, parts, MAP {{{ids}}} AS ids FROM clean),
 found AS (SELECT doc_id, array_to_string(list_filter(list_transform(parts, lambda s: ids[s]), lambda x: x IS NOT NULL), ' ') AS sentence_ids FROM known),
