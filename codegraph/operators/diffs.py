@@ -127,8 +127,9 @@ def read_files(diffs: DataFrame) -> DataFrame:
             ),
         )
 
-    files = diffs.select(*keys, F.filter(F.transform(sections, begin), lambda f: f.isNotNull()).alias("files"))
-    files = files.select(*keys, F.posexplode("files").alias("file_ordinal", "f"), F.get(F.filter(F.transform("files", _error), lambda e: e.isNotNull()), 0).alias("diff_error"))
+    found = F.filter(F.transform(sections, begin), lambda f: f.isNotNull())
+    whole = let(found, lambda fs: F.struct(fs.alias("files"), F.get(F.filter(F.transform(fs, _error), lambda e: e.isNotNull()), 0).alias("diff_error")))
+    files = diffs.select(*keys, F.inline(F.array(whole))).select(*keys, F.posexplode("files").alias("file_ordinal", "f"), "diff_error")
     kind = change_type(F.col("f.mode"), F.col("f.old_path"), F.col("f.new_path"))
     path = F.when(kind == "deleted", F.col("f.old_path")).otherwise(F.col("f.new_path"))
     return files.select(

@@ -203,7 +203,7 @@ def expressions(nodes: DataFrame) -> DataFrame:
 
     local = (F.col("up_type") != "variable_declarator") | F.col("up_path").rlike(r"local_variable_declaration/variable_declarator\z")
     e = e.withColumn("mode", _by_language(ACCESSES, mode)).where(F.col("mode").isNotNull() & local)
-    return e.select("path", "language", F.col("parent_id").alias("stmt"), "mode", F.col("node_id").alias("e_id"), F.length("up_path").alias("cut"), F.col("start_byte").alias("e_start"), F.col("end_byte").alias("e_end"), *[F.col(f"u_{c}").alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
+    return e.select("path", "language", F.col("parent_id").alias("stmt"), "mode", F.col("node_id").alias("e_id"), F.length("up_path").alias("cut"), F.col("start_byte").alias("e_start"), F.col("end_byte").alias("e_end"), F.col("start_line").alias("e_first"), F.col("end_line").alias("e_last"), *[F.col(f"u_{c}").alias(c) for c in ("start_line", "start_column", "end_line", "end_column")])
 
 
 def reference_names(nodes: DataFrame) -> DataFrame:
@@ -213,8 +213,10 @@ def reference_names(nodes: DataFrame) -> DataFrame:
     Java the object of a call is a reference by its text; in C fields count by their name.
     """
     leaf = nodes.where(F.col("type").isin("identifier", "field_identifier", "attribute", "field_access") | (F.col("field") == "object"))
-    r = leaf.select("path", F.col("node_id").alias("r_id"), F.col("type").alias("r_type"), F.col("field").alias("r_field"), F.col("type_path").alias("r_path"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"), strip(F.col("text")).alias("r_text"))
-    pairs = expressions(nodes).join(r, "path").where("r_start >= e_start and r_end <= e_end and r_id >= e_id").withColumn("rest", F.expr("substring(r_path, cut + 2)"))
+    r = leaf.select("path", F.col("node_id").alias("r_id"), F.col("type").alias("r_type"), F.col("field").alias("r_field"), F.col("type_path").alias("r_path"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"), F.col("start_line").alias("line"), strip(F.col("text")).alias("r_text"))
+    # By line, so that a file's expressions don't all meet all its names.
+    lined = expressions(nodes).withColumn("line", F.explode(F.sequence("e_first", "e_last")))
+    pairs = lined.join(r, ["path", "line"]).where("r_start >= e_start and r_end <= e_end and r_id >= e_id").withColumn("rest", F.expr("substring(r_path, cut + 2)"))
     called = _by_language(_CALL_NODE, lambda t: F.col("rest").rlike(rf"(?:\A|/){t}/(?!argument_list)"))
     inside = F.col("rest").rlike("(?:attribute|field_access)/") & F.col("language").isin("python", "java")
     in_object = F.col("rest").rlike(r"method_invocation/(?!argument_list)[^/]+/") | F.col("rest").rlike(r"(?:\A|/)method_invocation/(?!argument_list)[^/]+/")
