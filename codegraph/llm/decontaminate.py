@@ -85,6 +85,25 @@ def _may_hold(words, h, bits: int):
     return one(h.bitwiseAND(low)) & one(F.shiftrightunsigned(h, 32).bitwiseAND(low))
 
 
+def _candidates(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``(row, item)`` that share a shingle of the item's sketch."""
+    return hits.join(known.where("in_sketch").select("h", "shingle", "item"), ["h", "shingle"]).select("row", "item").distinct()
+
+
+def _pairs(rows: DataFrame, items: DataFrame, k: int, threshold: float, item_id: str, text_col: str) -> DataFrame:
+    """``rows(row, doc_id, text)`` -> ``(row, doc_id, item_id, matched, shingles, containment)`` of the pairs that reach the threshold."""
+    known = stage(item_shingles(items, k, threshold, item_id, text_col), "items")
+    bits = min(max(MIN_BITS, (16 * known.count()).bit_length()), MAX_BITS)
+    words = _filter(known, bits)
+    found = F.array_distinct(_found(F.col(text_col), k, lambda h: _may_hold(words, h, bits)))
+    rows = stage(rows.select("row", "doc_id", found.alias("found")).where(F.size("found") > 0), "found")
+    candidates = stage(_candidates(rows.select("row", F.explode("found").alias("x")).select("row", "x.h", "x.shingle"), known), "candidates")
+    whole = stage(known.groupBy("item", "item_id", "shingles").agg(F.collect_list("shingle").alias("all")), "whole")
+    both = candidates.join(rows.select("row", "doc_id", F.col("found.shingle").alias("some")), "row").join(whole, "item")
+    pairs = both.select("row", "doc_id", "item_id", F.size(F.array_intersect("all", "some")).cast("long").alias("matched"), "shingles")
+    return pairs.withColumn("containment", F.col("matched") / F.col("shingles")).where(F.col("containment") >= threshold)
+
+
 def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """Pairs ``(doc_id, item_id, matched, shingles, containment)`` with at least ``threshold`` of the item's shingles in the document.
 
@@ -92,28 +111,28 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: fl
     fewer words is one shingle, so a short item is found only in a document that is the same words. Null and empty
     texts match nothing. Rows with equal ids give one pair, with the largest containment.
 
-    Documents keep only the shingles that a Bloom filter of the benchmark lets through (no true one is lost, false
-    ones don't join). A pair is a candidate if it shares a hash of the item's sketch, and counts if its exact
-    shingles reach the threshold. If the benchmark is so large that the filter fills up, more rows are joined and
-    the result is the same.
+    Documents keep only the shingles that a Bloom filter of the benchmark lets through (no true one is lost). They are
+    joined with the items' sketches alone; a row and an item that share a hash of the sketch are a candidate, and
+    only candidates are verified: they count if their exact shingles reach the threshold.
     """
-    known = stage(item_shingles(items, k, threshold, item_id, text_col), "items")
-    bits = min(max(MIN_BITS, (16 * known.count()).bit_length()), MAX_BITS)
-    words = _filter(known, bits)
-    found = F.array_distinct(_found(F.col(text_col), k, lambda h: _may_hold(words, h, bits)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), found.alias("found"))
-    hits = rows.select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.h", "x.shingle")
-    pairs = hits.join(known, ["h", "shingle"]).groupBy("row", "doc_id", "item", "item_id", "shingles").agg(F.count("*").alias("matched"), F.max("in_sketch").alias("candidate"))
-    pairs = pairs.where("candidate").withColumn("containment", F.col("matched") / F.col("shingles")).where(F.col("containment") >= threshold)
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "matched", "shingles")).alias("best"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_col)
+    best = _pairs(rows, items, k, threshold, item_id, text_col).groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "matched", "shingles")).alias("best"))
     return best.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "best.matched", "best.shingles", "best.containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without those that hold a test item. Rows with a null id are kept."""
+    """``docs`` without those that hold a test item, by id. Rows with a null id are kept: see :func:`drop_rows`."""
     return docs.join(contained(docs, items, doc_id=doc_id, **how).select(doc_id).distinct(), doc_id, "left_anti")
 
 
+def drop_rows(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a test item. Rows are told apart by their place, so equal or missing ids don't matter."""
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    texts = rows.select("row", F.lit(None).cast("long").alias("doc_id"), F.col(f"doc.{text_col}").alias(text_col))
+    leaks = _pairs(texts, items, k, threshold, item_id, text_col).select("row").distinct()
+    return rows.join(leaks, "row", "left_anti").select("doc.*")
+
+
 #: The same pairs in DuckDB.
 ORACLE_SQL = r"""
 WITH t AS (
