@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from .decontaminate import let
 
-KEY = "replace this key"
 ROUNDS = 8
 DIGITS, HEX, UPPER, LOWER = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SECRET_HEAD = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
-#: What may be private, in the order in which alternatives are tried; some of it is validated below.
+#: Prefixes by which keys of well-known services show without a name before them, and what follows (fixed values).
+KEY_HEADS = r"(?:(?:AKIA|ASIA)(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[oprsu]_(?=[A-Za-z0-9]{36})|github_pat_(?=[A-Za-z0-9_]{22})|AIza(?=[A-Za-z0-9_-]{35})|xox[abeoprs]-(?=[A-Za-z0-9-]{10})|sk-(?=[A-Za-z0-9_-]{20})|eyJ(?=[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.))"
+#: What may be private, in the order in which alternatives are tried; some of it is validated below. No repeat has an upper
+#: bound but where the format itself has one, so a value is found and replaced whole.
 SHAPES = {
-    "secret": SECRET_HEAD + r"(?=[A-Za-z0-9_+/.-]{0,200}\d)[A-Za-z0-9_+/.-]{16,200}",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "secret": SECRET_HEAD + r"(?=[A-Za-z0-9_+/.-]*\d)[A-Za-z0-9_+/.-]{16,}+",
+    "key": r"(?<![A-Za-z0-9])" + KEY_HEADS + r"[A-Za-z0-9_.-]++",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
@@ -26,20 +29,32 @@ SHAPES = {
     "card": r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
 }
 SHAPE = "|".join(SHAPES.values())
-#: Days of one Gregorian cycle of 400 years from FIRST_DAY, as two factors.
-FIRST_DAY, DAYS = "1700-01-01", (189, 773)
+#: Days of one Gregorian cycle of 400 years from FIRST_DAY as two factors, and those after the 12th of a month.
+FIRST_DAY, DAYS, LATE_DAYS = "1700-01-01", (189, 773), (9, 9833)
+#: Long values are permuted in pieces of so many characters, each with its place as part of the key.
+PIECE = 48
+#: Alphabets as first and last code point: a character moves within its own. Other letters and digits move within their
+#: aligned block of 64 code points.
+ALPHABETS = ((48, 57), (65, 90), (97, 122), (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F))
 
 
 def _whole(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 
 
-def feistel(values: Column, sizes: Column, key: str, tweak: str) -> Column:
+def _hashed(*parts) -> Column:
+    """60 bits of a keyed hash."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15), 16, 10).cast("long")
+
+
+def feistel(values: Column, sizes: Column, key: str, tweak: Column | str) -> Column:
     """A keyed permutation of arrays of whole numbers, ``values[i]`` in ``range(sizes[i])``.
 
     Rounds alternate between the halves: each number of one half is moved, modulo its size, by a keyed hash of its
-    place and the other half. So it can be undone for any mix of sizes, and no value leaves its range.
+    place and the other half. So it can be undone for any mix of sizes, and no value leaves its range. A single number
+    has no other half: it becomes its place when all of its range (up to 64 numbers, else a shift) are sorted by their hashes.
     """
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
 
     def round_(state, k):
         half = F.floor(F.size(state) / 2).cast("int")
@@ -47,12 +62,17 @@ def feistel(values: Column, sizes: Column, key: str, tweak: str) -> Column:
         other = F.array_join(F.transform(F.when(first, F.slice(state, half + 1, F.size(state) - half)).otherwise(F.slice(state, 1, half)), lambda x: x.cast("string")), ",")
 
         def moved(o):
-            shift = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k, i, o, F.lit(key)), 256), 1, 15), 16, 10).cast("long")
+            shift = lambda i: _hashed(F.lit(key), tweak, k, i, o, F.lit(key))
             return F.transform(state, lambda x, i: F.when((i < half) == first, F.pmod(x + shift(i), F.get(sizes, i))).otherwise(x))
 
         return let(other, moved)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, round_)
+    def ranked(n):
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(_hashed(F.lit(key), tweak, F.lit("one"), j, F.lit(key)).alias("h"), j.alias("j"))))
+        return F.array(F.array_position(F.transform(order, lambda x: x.j), F.get(values, 0)) - 1)
+
+    alone = (F.size(values) == 1) & (F.get(sizes, 0) <= 64)
+    return F.when(alone, let(F.get(sizes, 0), ranked)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, round_))
 
 
 def _chars(s: Column) -> Column:
@@ -79,6 +99,34 @@ def permute_text(value: Column, key: str, tweak: str, alphabet: str | None = Non
     return F.when(F.length(clean) > 0, let(_chars(clean), out)).otherwise(value)
 
 
+def permute_all(value: Column, key: str, tweak: str) -> Column:
+    """All letters and digits of any script permuted within their alphabets; other characters stay at their places.
+
+    A value of any length: pieces are permuted one by one, so work grows with the length.
+    """
+
+    def alphabet(c):
+        code = F.call_function("ascii", c).cast("long")
+
+        def of(n):
+            out = F.when(c.rlike(r"[\p{L}\p{N}\p{M}]"), F.struct((n - n % 64).alias("low"), F.lit(64).cast("long").alias("size"))).otherwise(F.struct(n.alias("low"), F.lit(1).cast("long").alias("size")))
+            for low, high in reversed(ALPHABETS):
+                out = F.when(n.between(low, high), F.struct(F.lit(low).cast("long").alias("low"), F.lit(high - low + 1).cast("long").alias("size"))).otherwise(out)
+            return F.struct(n.alias("n"), out["low"].alias("low"), out["size"].alias("size"))
+
+        return let(code, of)
+
+    def piece(text, at):
+        def out(cs):
+            moved = feistel(F.transform(cs, lambda x: x["n"] - x["low"]), F.transform(cs, lambda x: x["size"]), key, F.concat_ws("/", F.lit(tweak), at))
+            return let(moved, lambda m: F.array_join(F.transform(cs, lambda x, i: F.decode(F.unhex(F.lpad(F.hex(x["low"] + F.get(m, i)), 8, "0")), "UTF-32")), ""))
+
+        return let(F.transform(_chars(text), alphabet), out)
+
+    places = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / PIECE).cast("int"))
+    return F.when(F.length(value) > 0, F.array_join(F.transform(places, lambda at: piece(F.call_function("substring", value, at * PIECE + 1, F.lit(PIECE)), at)), "")).otherwise(value)
+
+
 def luhn_sum(digits: Column, doubled_first: bool) -> Column:
     """The Luhn sum from the right; with ``doubled_first`` for digits that lack their check digit."""
     odd = 0 if doubled_first else 1
@@ -107,7 +155,8 @@ def _kind(v: Column) -> Column:
     day = F.datediff(_date(v), F.lit(FIRST_DAY).cast("date"))
     valid = {
         "secret": F.lit(True),
-        "email": F.lit(True),
+        "key": F.substring_index(v, ".", 1).rlike(r"\d") | v.contains("."),
+        "email": ~F.substring_index(v, "@", -1).rlike(r"\.\.|[.-]\z"),
         "iban": F.length(plain).between(15, 34) & (_mod97(F.concat(F.substring(plain, 5, 34), F.substring(plain, 1, 4))) == 1),
         "ip": F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255),
         "date": F.coalesce(day.between(0, DAYS[0] * DAYS[1] - 1), F.lit(False)),
@@ -117,18 +166,34 @@ def _kind(v: Column) -> Column:
     }
     out = F.lit(None).cast("string")
     for kind, ok in reversed(valid.items()):
-        out = F.when(v.rlike(_whole(SHAPES[kind])), F.when(ok, F.lit(kind))).otherwise(out)
+        out = F.when(v.rlike(_whole(SHAPES[kind])), F.when(ok, F.lit("secret" if kind == "key" else kind))).otherwise(out)
     return out
 
 
+def _late_rank(day: Column) -> Column:
+    """The place of a date after the 12th of its month among all such dates from FIRST_DAY."""
+    start = F.lit(FIRST_DAY).cast("date")
+    months = (F.year(day) - F.year(start)) * 12 + F.month(day) - 1
+    return (F.datediff(day, start) - 12 * (months + 1)).cast("long")
+
+
+def _late_date(rank: Column) -> Column:
+    """The date with that place: its month is the last whose late days begin at or before it."""
+    start = F.lit(FIRST_DAY).cast("date")
+    guess = F.floor(rank * 4800 / (LATE_DAYS[0] * LATE_DAYS[1])).cast("int")
+    begins = lambda m: F.datediff(F.add_months(start, m), start) - 12 * m
+    months = F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda j: F.greatest(guess + j, F.lit(0))), lambda m: begins(m) <= rank)
+    return let(F.array_max(months), lambda m: F.date_add(F.add_months(start, m), (rank - begins(m) + 12).cast("int")))
+
+
 def _pseudonym(v: Column, kind: Column, key: str) -> Column:
     def secret():
-        head = F.regexp_extract(v, rf"\A{SECRET_HEAD}", 0)
+        head = F.regexp_extract(v, rf"\A(?:{SECRET_HEAD}|{KEY_HEADS})", 0)
         rest = F.substr(v, F.length(head) + 1)
-        return F.concat(head, F.when(rest.rlike(r"\A[0-9a-f]+\z"), permute_text(rest, key, "hex", HEX)).otherwise(permute_text(rest, key, "secret")))
+        return F.concat(head, F.when(rest.rlike(r"\A[0-9a-f]{1,64}\z"), permute_text(rest, key, "hex", HEX)).otherwise(permute_all(rest, key, "secret")))
 
     def email():
-        return F.concat(permute_text(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1))
+        return F.concat(permute_all(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1))
 
     def iban():
         plain = F.replace(v, F.lit(" "), F.lit(""))
@@ -153,10 +218,13 @@ def _pseudonym(v: Column, kind: Column, key: str) -> Column:
 
         def out(a, b):
             moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (a * DAYS[1] + b).cast("int"))
-            written = F.when(v.contains("/"), F.when(F.try_to_timestamp(v, F.lit("dd/MM/yyyy")).isNull(), F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy")))
-            return F.when(v.rlike(r"\A\d{4}-"), F.date_format(moved, "yyyy-MM-dd")).otherwise(F.coalesce(written, F.date_format(moved, "dd.MM.yyyy")))
+            return F.when(v.rlike(r"\A\d{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(v.contains("/"), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
 
-        return numbers([F.floor(day / DAYS[1]), day % DAYS[1]], DAYS, "date", out)
+        # Month first shows only by a day after the 12th; such dates stay among their like.
+        month_first = v.contains("/") & F.try_to_timestamp(v, F.lit("dd/MM/yyyy")).isNull()
+        late = lambda a, b: F.date_format(_late_date(a * LATE_DAYS[1] + b), "MM/dd/yyyy")
+        rank = _late_rank(_date(v))
+        return F.when(month_first, numbers([F.floor(rank / LATE_DAYS[1]), rank % LATE_DAYS[1]], LATE_DAYS, "month first", late)).otherwise(numbers([F.floor(day / DAYS[1]), day % DAYS[1]], DAYS, "date", out))
 
     def ssn():
         area = F.substring(v, 1, 3).cast("int")
@@ -178,13 +246,13 @@ def _pseudonym(v: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", kinds_col: str = "private_kinds", count_col: str = "n_private") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str = "private_kinds", count_col: str = "n_private") -> DataFrame:
     """``docs`` with private values in the text replaced, and with the kinds found and their number.
 
-    E-mail addresses (but for their domain), phone numbers, secrets after a name like ``token =``, IPv4 addresses, valid
-    dates, social security numbers, cards and bank accounts with valid check digits get a value of the same format that
-    is valid again. Equal values get equal ones in all documents, different values of a kind and format different
-    ones. What only looks like a number of these kinds stays, as does the rest of the text. Null and empty texts
+    E-mail addresses (but for their domain), phone numbers, secrets after a name like ``token =`` or with the prefix of a
+    well-known service, IPv4 addresses, valid dates, social security numbers, cards and bank accounts with valid check
+    digits get a value of the same format that is valid again. Values of any length are found and replaced whole.
+    Equal values get equal ones in all documents under one ``key``, different values of a kind and format different ones. What only looks like a number of these kinds stays, as does the rest of the text. Null and empty texts
     stay as they are, with no kinds. Columns of the two names are replaced; other columns are kept.
     """
     text, names = F.col(text_col), [c for c in docs.columns if c not in (kinds_col, count_col)]

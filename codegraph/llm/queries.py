@@ -22,7 +22,7 @@ def op2_simhash(spark, sf_dir):
 
 
 def op3_pseudonyms(spark, sf_dir):
-    found = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
+    found = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), key="the key of this query")
     return found.select("doc_id", "text", "private_kinds", "n_private")
 
 

@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .prp import key_of, permute
-from .shared import stage
+from .shared import free_name, stage
 
 SHARDS, SEED = 16, 20
 #: Input partitions are joined into at most so many lanes, which bounds the matrix.
 LANES = 4096
-#: A shard is written in slices of about so many rows.
-SLICE_ROWS = 1 << 16
+#: A shard is written in slices of about so many rows and bytes of text, whichever makes more of them.
+SLICE_ROWS, SLICE_BYTES = 1 << 16, 64 << 20
+#: Counts are drawn within so many standard deviations of their mode (and this many more); what lies outside is below 1e-30.
+REACH = 12
+
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn without replacement are good, for populations of any size.
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Numpy draws exactly from populations below 10**9; above, the normal limit (its error is below one part in 10**4 of a deviation)."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    total = good + bad
-    p = good / total
-    x = round(rng.normal(n * p, (n * p * (1 - p) * (total - n) / max(total - 1, 1)) ** 0.5))
-    return int(min(max(x, n - bad, 0), n, good))
+    The distribution's weights follow from its mode by the ratio of neighbours, exact up to the rounding of doubles.
+    """
+    total, low, high = good + bad, max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1)))
+    reach = int(REACH * spread) + 60
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    below = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weights = np.concatenate([below[::-1], [1.0], above])
+    sums = np.cumsum(weights)
+    return mode - len(below) + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
@@ -39,7 +54,7 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
         left, rest = n, sum(room)
         for s in range(shards):
             rest -= room[s]
-            out[lane, s] = _hypergeometric(rng, room[s], rest, left)
+            out[lane, s] = hypergeometric(rng, room[s], rest, left)
             left -= out[lane, s]
         room = [a - int(b) for a, b in zip(room, out[lane])]
     return out
@@ -50,15 +65,17 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
 
     Shard sizes differ by at most one row and don't depend on what a row holds, so copies and null rows spread like
     any others. Rows are first written with their place in the partition they lie in; every later step is a
-    function of that place, so a task that runs again gives the same rows. Counts per lane meet on the driver (one
-    number for each input partition); rows never do. Columns named ``shard`` and ``slot`` are replaced; other columns
+    function of that place, so a task that runs again gives the same rows. Counts and bytes of partitions meet on the driver (two
+    numbers for each input partition); rows never do. Columns named ``shard`` and ``slot`` are replaced; other columns
     are kept. An empty table gives an empty result.
     """
     df = df.drop("shard", "slot")
-    part, at = _free("part", df.columns), _free("at", df.columns)
+    part, at = free_name("part", df), free_name("at", df)
     low = (1 << 33) - 1
     placed = stage(df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(low)), "placed")
-    counts = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    tallied = placed.groupBy(part).agg(F.count("*"), F.sum(sum(wide, F.lit(0)).cast("long"))).collect()
+    counts, volume = {r[0]: r[1] for r in tallied}, sum(r[2] or 0 for r in tallied)
     parts = max(counts, default=0) + 1
     sizes = np.array([counts.get(p, 0) for p in range(parts)], np.int64)
     lane_of = np.arange(parts) * min(LANES, parts) // parts
@@ -69,7 +86,7 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     starts = np.concatenate([np.zeros((len(lanes), 1), np.int64), np.cumsum(matrix, axis=1)], axis=1)
     arrived = np.cumsum(matrix, axis=0) - matrix
     room = matrix.sum(axis=0)
-    slices = max(1, -(-int(room.max(initial=0)) // SLICE_ROWS))
+    slices = max(1, -(-int(room.max(initial=0)) // SLICE_ROWS), -(-volume // (shards * SLICE_BYTES)))
 
     @F.pandas_udf("shard int, slot long, slice int")
     def place(parts_: pd.Series, at_: pd.Series) -> pd.DataFrame:
@@ -80,12 +97,6 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         slot = permute(arrived[lane, to] + local - starts[lane, to], room[to], key_of(seed, 2, to))
         return pd.DataFrame({"shard": to.astype("int32"), "slot": slot, "slice": (to * slices + slot * slices // np.maximum(room[to], 1)).astype("int32")})
 
-    got = _free("got", df.columns)
+    got = free_name("got", df)
     sent = placed.withColumn(got, place(part, at)).repartitionById(shards * slices, F.col(f"{got}.slice"))
     return sent.select(*df.columns, F.col(f"{got}.shard").alias("shard"), F.col(f"{got}.slot").alias("slot")).sortWithinPartitions("shard", "slot")
-
-
-def _free(name: str, taken: list[str]) -> str:
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name

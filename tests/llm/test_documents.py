@@ -176,7 +176,7 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     text = f"a {cards[0]} b {cards[1]} c {cards[2]} d {cards[3]} mail ann.B-7@host.example.org ip 10.1.2.3 and 10.1.2.999, born 1984-02-29 or 31/12/1999, not 2023-02-30, ssn 123-45-6789 not 000-12-3456, DE89 3704 0044 0532 0130 00, +1 (617) 555-7713; token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\""
     rows = [(1, text), (2, f"again {cards[0]}"), (3, None), (4, ""), (5, "clean text, 3 words"), (6, "x " * 100000 + "10.1.2.3"), (6, "10.1.2.3")]
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, found int")
-    got = pseudonyms.pseudonymise(docs).collect()
+    got = pseudonyms.pseudonymise(docs, "a key").collect()
     by = {r.doc_id: r for r in got[:5]}
     out = by[1].text
     for gone in (cards[0], cards[1], cards[2], "ann.B", "10.1.2.3 ", "1984-02-29", "31/12/1999", "123-45-6789", "3704 0044", "555-7713", "9b0b3c6a"):
@@ -194,7 +194,7 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert by[1].private_kinds == ["card", "date", "email", "iban", "ip", "phone", "secret", "ssn"]
     other = pseudonyms.pseudonymise(docs, key="another").collect()
     assert other[1].text != by[2].text
-    assert pseudonyms.pseudonymise(spark.createDataFrame([], DOC)).count() == 0
+    assert pseudonyms.pseudonymise(spark.createDataFrame([], DOC), "k").count() == 0
 
 
 def test_the_permutation_has_no_collisions(spark):
