@@ -15,6 +15,8 @@ from .shared import stage
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Shingles hashed at once, so that a very long text needs no more memory than this.
 CHUNK = 1 << 14
+#: Buckets of up to so many fingerprints are compared pair by pair.
+PAIRS = 16
 
 
 def simhash(text: str | None, k: int = SHINGLE) -> int:
@@ -32,12 +34,23 @@ def simhash(text: str | None, k: int = SHINGLE) -> int:
     n, ones = len(words) - k + 1, np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         part = words[at : min(at + CHUNK, n) + k - 1]
-        hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(part[i:] for i in range(k))))]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(part[i:] for i in range(k))))], "<u8"))
+    return _print(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _print(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already."""
+    return _print(sum((_ones(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(BITS, np.int64)), len(hashes))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
@@ -62,20 +75,23 @@ def _signed(x: int) -> int:
 def near_links(classes: DataFrame) -> DataFrame:
     """``classes(fp, node)``, one row for each fingerprint -> edges ``(a, b)`` that connect those within 2 bits.
 
-    Buckets of the covering tables hold every such pair. Inside a bucket the pairs aren't listed: each fingerprint
-    goes to itself and to its one-bit neighbours in the positions that the mask leaves free. Two fingerprints are
-    within two bits if and only if they meet at such a point, and at most 1 + 37 fingerprints meet at one, so the
-    work is linear in a bucket, whatever its size.
+    Buckets of the covering tables hold every such pair. In a bucket of up to PAIRS fingerprints they are compared with
+    each other. In a larger one the pairs aren't listed: each fingerprint goes to itself and to its one-bit
+    neighbours in the positions that the mask leaves free. Two fingerprints are within two bits if and only if they
+    meet at such a point, and at most 1 + 37 fingerprints meet at one, so the work is linear in a bucket of any size.
     """
     masks = covering_masks()
     tables = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     placed = classes.select("fp", "node", F.inline(tables))
-    full = placed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    crowded = stage(placed.join(full, ["t", "key"], "left_semi").select("t", "fp", "node"), "buckets")
+    full = placed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = stage(placed.join(full, ["t", "key"]).select("t", "key", "n", "fp", "node"), "buckets")
+    small = buckets.where(F.col("n") <= PAIRS)
+    other = small.select("t", "key", F.col("fp").alias("fp2"), F.col("node").alias("b"))
+    pairs = small.join(other, ["t", "key"]).where((F.col("node") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS)).select(F.col("node").alias("a"), "b")
     flips = F.array(*[F.array(*[F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]]) for m in masks])
-    points = crowded.select("t", "node", "fp", F.explode(flips[F.col("t").cast("int")]).alias("flip")).select("t", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    points = buckets.where(F.col("n") > PAIRS).select("t", "node", "fp", F.explode(flips[F.col("t").cast("int")]).alias("flip")).select("t", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     met = points.select("node", F.expr("min(node) over (partition by t, point)").alias("least"))
-    return met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return pairs.unionAll(met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,12 +180,53 @@ def test_rules_and_hosts(spark):
     assert [r.verdict for r in alone] == ["allow", "allow"]
 
 
-def test_the_models_tell_kinds_of_urls_apart(spark):
+def _model_score(url, seen):
+    """The score by plain counting: ``seen[good]`` maps a context and a byte (or None for any) to its count."""
+    if not url:
+        return 0.0
+    b, total = bytes([2] * urlfilter.ORDER) + url.encode() + b"\x03", 0.0
+    for i in range(urlfilter.ORDER, len(b)):
+        for good, sign in ((True, 1), (False, -1)):
+            p = 1 / 257
+            for k in range(urlfilter.ORDER + 1):
+                c = b[i - k : i]
+                p = (seen[good].get((c, b[i]), 0) + urlfilter.TRUST * p) / (seen[good].get((c, None), 0) + urlfilter.TRUST)
+            total += sign * math.log(p)
+    return total / (len(b) - urlfilter.ORDER)
+
+
+def test_the_models_against_brute_force(spark):
     rng = random.Random(1)
     word = lambda s: "".join(rng.choice(s) for _ in range(8))
-    make = lambda good: f"http://{word('abcdef') if good else word('uvwxyz')}.net/{word('abc' if good else 'xyz')}/{rng.randrange(99)}"
-    rows = [(make(i % 3 > 0), i % 3 > 0) for i in range(600)]
-    model = urlfilter.learn(spark.createDataFrame([*rows, (None, True), ("http://long/" + "a" * 200000, True)], "url string, good boolean"))
-    fresh = [(make(g), g) for g in [True, False] * 50]
-    assert sum((model.score(u) >= model.threshold) == g for u, g in fresh) >= 97
-    assert model.score(None) == model.score("") == 0.0
+    make = lambda good: f"http://{word('abcdef') if good else word('uvwxyz')}.net/{word('abc' if good else 'xyzé')}/{rng.randrange(99)}"
+    rows = [(make(i % 3 > 0), i % 3 > 0, 1 + i % 2) for i in range(300)] + [("http://long/" + "a" * 20000, True, 1)]
+    seen = {True: {}, False: {}}
+    for url, good, n in rows:
+        b = bytes([2] * urlfilter.ORDER) + url.encode() + b"\x03"
+        for i in range(urlfilter.ORDER, len(b)):
+            for k in range(urlfilter.ORDER + 1):
+                for key in ((b[i - k : i], b[i]), (b[i - k : i], None)):
+                    seen[good][key] = seen[good].get(key, 0) + n
+    model = urlfilter.learn(spark.createDataFrame(rows, "url string, good boolean, n long")).cache()
+    fresh = [(make(g), g) for g in [True, False] * 50] + [("", True), ("日本/" * 20, True)]
+    got = {r.url: r.score for r in urlfilter.score(spark.createDataFrame([(u,) for u, _ in fresh], "url string"), model).collect()}
+    assert got == pytest.approx({u: _model_score(u, seen) for u, _ in fresh}, abs=1e-9)
+    assert sum((got[u] >= 0) == g for u, g in fresh[:100]) >= 97
+    assert urlfilter.learn(spark.createDataFrame([], "url string, good boolean, n long")).count() == 0
+
+
+def test_thresholds(spark):
+    rows = [(True, 1, 0.5), (True, 2, 0.25), (False, 3, -0.2), (False, 1, 0.1)]
+    df = spark.createDataFrame(rows, "good boolean, n long, score double")
+    assert urlfilter.threshold_of(df) == pytest.approx(0.11) and urlfilter.threshold_of(df.where("good")) == -math.inf
+
+
+def test_verdicts_follow_the_model(spark):
+    rng = random.Random(2)
+    word = lambda s: "".join(rng.choice(s) for _ in range(9))
+    rows = [(f"http://{word('abcde')}.org/{word('abcd')}", "allow") if i % 2 else (f"http://{word('vwxyz')}.com/de/{word('wxyz')}", "block") for i in range(400)]
+    rest = [(f"http://{word('abcde')}.net/{word('abcd')}", "allow") if i % 2 else (f"http://{word('vwxyz')}.net/{word('wxyz')}", "block") for i in range(60)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate([*rows, *rest, *rest])], "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(df).collect()}
+    assert len(got) == 520 and sum(got[400 + i].verdict == v for i, (_, v) in enumerate(rest)) >= 57
+    assert all(got[400 + i].verdict == got[460 + i].verdict and got[400 + i].rule is None for i in range(60))
