@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import stage
 
@@ -22,13 +23,8 @@ def _words(text):
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
-def _starts(n, k: int):
-    """Where shingles start: every place with ``k`` words after it; a text of fewer words is one shingle."""
-    return F.when(n >= k, F.sequence(F.lit(0), n - k)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-
-
 def _hash(hashes, i, k: int):
-    """Of the shingle at ``i``, from its words' hashes; nulls stand for the words that a short text lacks."""
+    """Of the shingle at ``i``, from its words' hashes."""
     return F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
 
 
@@ -36,31 +32,43 @@ def _shingle(words, i, k: int):
     return F.array_join(F.slice(words, i + 1, k), " ")
 
 
-def _found(text, k: int, wanted=None):
-    """``(h, shingle)`` for each place of a shingle, those with ``wanted(h)`` if given."""
+def _found(words, hashes, k: int, wanted=None):
+    """``(h, shingle)`` for each place with ``k`` words after it, those with ``wanted(h)`` if given; none in a shorter text."""
+    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    if wanted:
+        starts = F.filter(starts, lambda i: wanted(_hash(hashes, i, k)))
+    return F.transform(starts, lambda i: F.struct(_hash(hashes, i, k).alias("h"), _shingle(words, i, k).alias("shingle")))
 
-    def of(w, hw):
-        starts = _starts(F.size(w), k)
-        if wanted:
-            starts = F.filter(starts, lambda i: wanted(_hash(hw, i, k)))
-        return F.transform(starts, lambda i: F.struct(_hash(hw, i, k).alias("h"), _shingle(w, i, k).alias("shingle")))
 
-    return let(_words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda hw: of(w, hw)))
+def _with_words(text, body):
+    """``body(words, hashes)`` of a text."""
+    return let(_words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda hw: body(w, hw)))
 
 
 def item_shingles(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, item_id, h, shingle, shingles, in_sketch)``: one row for each distinct shingle of an item.
+    """``(item, item_id, words, h, shingle, shingles, in_sketch)``: one row for each distinct shingle of an item.
 
-    Items are partitioned by size, a power of two to the next. The MinHash sketch of an item is its smallest hashes
-    under a second hash function, and has one more than the largest item of its partition may lack, so that a text
-    that holds ``threshold`` of an item holds a hash of its sketch for certain.
+    A shingle has ``k`` words, ``words`` in an item of fewer: the whole item. Items are partitioned by size, a power of two
+    to the next. The MinHash sketch of an item is its smallest hashes under a second hash function, and has one more
+    than the largest item of its partition may lack, so that a text that holds ``threshold`` of an item holds a hash
+    of its sketch for certain, whichever shingles it has. Shingles of many items come last, by powers of two, so that
+    a common phrase is in a sketch only where an item has little else.
     """
-    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), F.array_distinct(_found(F.col(text_col), k)).alias("found"))
-    rows = rows.withColumn("shingles", F.size("found").cast("long"))
+
+    def of(w, hw):
+        out = F.array().cast("array<struct<h:bigint,shingle:string>>")
+        for n in range(1, k + 1):
+            out = F.when(F.size(w) >= n if n == k else F.size(w) == n, _found(w, hw, n)).otherwise(out)
+        return F.struct(F.least(F.size(w), F.lit(k)).alias("words"), F.array_distinct(out).alias("found"))
+
+    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), F.explode(F.array(_with_words(F.col(text_col), of))).alias("x"))
+    rows = rows.select("item", "item_id", "x.words", F.size("x.found").cast("long").alias("shingles"), F.explode("x.found").alias("y")).select("item", "item_id", "words", "shingles", "y.h", "y.shingle")
     largest = F.pow(F.lit(2), F.floor(F.log2("shingles")) + 1) - 1
-    rows = rows.withColumn("sketch", (F.floor(largest * (1 - threshold) + 1e-9) + 1).cast("int"))
-    ranked = F.array_sort(F.transform("found", lambda x: F.struct(F.xxhash64(x.h, F.lit(k)).alias("rank"), x.h.alias("h"), x.shingle.alias("shingle"))))
-    return rows.select("item", "item_id", "shingles", "sketch", F.posexplode(ranked)).select("item", "item_id", "col.h", "col.shingle", "shingles", (F.col("pos") < F.col("sketch")).alias("in_sketch"))
+    sketch = (F.floor(largest * (1 - threshold) + 1e-9) + 1).cast("int")
+    common = rows.groupBy("h", "shingle").agg(F.floor(F.log2(F.count("*"))).alias("common"))
+    order = W.partitionBy("item").orderBy("common", F.xxhash64("h", F.lit(k)), "h", "shingle")
+    ranked = rows.join(common, ["h", "shingle"]).withColumn("place", F.row_number().over(order))
+    return ranked.select("item", "item_id", "words", "h", "shingle", "shingles", (F.col("place") <= sketch).alias("in_sketch"))
 
 
 def _filter(shingles: DataFrame, bits: int):
@@ -94,8 +102,9 @@ def _pairs(rows: DataFrame, items: DataFrame, k: int, threshold: float, item_id:
     """``rows(row, doc_id, text)`` -> ``(row, doc_id, item_id, matched, shingles, containment)`` of the pairs that reach the threshold."""
     known = stage(item_shingles(items, k, threshold, item_id, text_col), "items")
     bits = min(max(MIN_BITS, (16 * known.count()).bit_length()), MAX_BITS)
-    words = _filter(known, bits)
-    found = F.array_distinct(_found(F.col(text_col), k, lambda h: _may_hold(words, h, bits)))
+    words, lengths = _filter(known, bits), sorted(r[0] for r in known.select("words").distinct().collect())
+    holds = lambda h: _may_hold(words, h, bits)
+    found = F.array_distinct(_with_words(F.col(text_col), lambda w, hw: F.flatten(F.array(*[_found(w, hw, n, holds) for n in lengths]))) if lengths else F.array().cast("array<struct<h:bigint,shingle:string>>"))
     rows = stage(rows.select("row", "doc_id", found.alias("found")).where(F.size("found") > 0), "found")
     candidates = stage(_candidates(rows.select("row", F.explode("found").alias("x")).select("row", "x.h", "x.shingle"), known), "candidates")
     whole = stage(known.groupBy("item", "item_id", "shingles").agg(F.collect_list("shingle").alias("all")), "whole")
@@ -107,9 +116,9 @@ def _pairs(rows: DataFrame, items: DataFrame, k: int, threshold: float, item_id:
 def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """Pairs ``(doc_id, item_id, matched, shingles, containment)`` with at least ``threshold`` of the item's shingles in the document.
 
-    A word is a run of letters, digits and marks, lower-cased; a shingle is ``k`` words, repeats count once. A text of
-    fewer words is one shingle, so a short item is found only in a document that is the same words. Null and empty
-    texts match nothing. Rows with equal ids give one pair, with the largest containment.
+    A word is a run of letters, digits and marks, lower-cased; a shingle is ``k`` words, repeats count once. An item of
+    fewer words is one shingle, which is found wherever its words follow each other in a document. Null and empty
+    texts match nothing. Rows with equal ids give one pair, with the largest containment, of equal ones the most shingles.
 
     Documents keep only the shingles that a Bloom filter of the benchmark lets through (no true one is lost). They are
     joined with the items' sketches alone; a row and an item that share a hash of the sketch are a candidate, and
@@ -133,17 +142,18 @@ def drop_rows(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: fl
     return rows.join(leaks, "row", "left_anti").select("doc.*")
 
 
-#: The same pairs in DuckDB.
+#: The same pairs in DuckDB. Documents give shingles of five words, and of as many as a shorter item has.
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT 'd' AS k, doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}]+'), lambda w: w <> '') AS w FROM documents
   UNION ALL
   SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}]+'), lambda w: w <> '') FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS n FROM t WHERE k = 'i' AND len(w) > 0),
 s AS (
-  SELECT DISTINCT k, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+  SELECT DISTINCT k, id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS g
+  FROM t JOIN sizes ON len(w) >= n AND (k = 'd' OR n = least(len(w), 5))),
 n AS (SELECT id, count(*) AS shingles FROM s WHERE k = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS matched, any_value(n.shingles) AS shingles, count(*) / any_value(n.shingles) AS containment
-FROM s d JOIN s i ON d.g = i.g AND d.k = 'd' AND i.k = 'i' JOIN n ON n.id = i.id
+FROM s d JOIN s i ON d.g = i.g AND d.n = i.n AND d.k = 'd' AND i.k = 'i' JOIN n ON n.id = i.id
 GROUP BY d.id, i.id HAVING count(*) / any_value(n.shingles) >= 0.8
 """
