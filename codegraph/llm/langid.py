@@ -11,50 +11,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM, SEED = 1024, 6
-#: Letters map to so many slots: one for what is no letter, 26 for a to z, the rest shared by all other letters.
-SLOTS = 64
+#: Bits of a code point, and up to how many different letters a table of all their trigrams is used to number them.
+POINT, TABLE = 21, 160
 #: At most about so many texts of a language are learned from, chosen by a hash of their id.
 PER_LANGUAGE = 10_000
-#: Texts and letters that are counted at once, and n-grams that are multiplied at once.
-TEXTS, LETTERS, GRAMS = 512, 1 << 21, 4096
+#: Texts and letters that are held at once, and n-grams and counts that are multiplied at once.
+TEXTS, LETTERS, GRAMS, COUNTS = 512, 1 << 20, 2048, 1 << 22
 #: Sums of unit vectors are kept as whole numbers of this part, so that their order doesn't matter.
 UNIT = 1 << 20
 UNKNOWN = "und"
 
 
-@functools.cache
-def _letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (SLOTS, DIM))
+@functools.lru_cache(1 << 15)
+def _letter_vector(point: int) -> np.ndarray:
+    """The random vector of a code point; 0 stands for all that is no letter."""
+    return np.random.default_rng([SEED, point]).integers(0, 2, DIM, np.int8) * 2 - 1
 
 
 @functools.cache
-def _slots() -> np.ndarray:
-    """The slot of every code point."""
-    out = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-    out[letters] = 27 + letters % (SLOTS - 27)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return out
+def _letters() -> np.ndarray:
+    """Every code point as itself if it is a letter, else as 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
 
 
 def _codes(text: str) -> Iterator[np.ndarray]:
     """Codes of the letter trigrams of one text, in pieces; a run of other characters counts as one blank."""
-    tail = np.zeros(1, np.int32)
+    tail = np.zeros(1, np.int64)
     for at in range(0, len(text), LETTERS):
         piece = text[at : at + LETTERS].lower().encode("utf-32-le", "surrogatepass")
-        x = np.concatenate([tail, _slots()[np.frombuffer(piece, "<u4")]])
+        x = np.concatenate([tail, _letters()[np.frombuffer(piece, "<u4")]])
         if at + LETTERS >= len(text):
             x = np.append(x, 0)
-        x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))].astype(np.int32)
+        x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
         if len(x) > 2:
-            yield (x[:-2] * SLOTS + x[1:-1]) * SLOTS + x[2:]
+            yield x[:-2] << 2 * POINT | x[1:-1] << POINT | x[2:]
         tail = x[-2:]
 
 
-def _gram_vectors(codes: np.ndarray) -> np.ndarray:
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The number of each trigram among the different ones; those as three rows of letter numbers; and the letters."""
+    low = (1 << POINT) - 1
+    seen = np.zeros(0x110000, bool)
+    for k in range(3):
+        seen[codes >> k * POINT & low] = True
+    letters = np.flatnonzero(seen)
+    n, place = len(letters), np.cumsum(seen, dtype=np.int64) - 1
+    local = (place[codes >> 2 * POINT] * n + place[codes >> POINT & low]) * n + place[codes & low]
+    if n <= TABLE:
+        there = np.zeros(n**3, bool)
+        there[local] = True
+        grams, number = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[local]
+    else:
+        grams, number = np.unique(local, return_inverse=True)
+    return number, [grams // (n * n), grams // n % n, grams % n], letters
+
+
+def _gram_vectors(vectors: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
     """An n-gram is its letters' vectors, rotated by their places and multiplied."""
-    v = _letter_vectors()
-    return np.roll(v, 2, axis=1)[codes // (SLOTS * SLOTS)] * np.roll(v, 1, axis=1)[codes // SLOTS % SLOTS] * v[codes % SLOTS]
+    return np.roll(vectors[grams[0]], 2, axis=1) * np.roll(vectors[grams[1]], 1, axis=1) * vectors[grams[2]]
 
 
 def profiles(texts) -> np.ndarray:
@@ -76,21 +90,21 @@ def profiles(texts) -> np.ndarray:
 
 
 def _bundle(out: np.ndarray, rows: list[int], parts: list[np.ndarray]) -> None:
+    """Add the counted n-gram vectors of each part to its row, in blocks that need a bounded table of counts."""
     if not rows:
         return
-    codes = np.concatenate(parts)
-    seen = np.zeros(SLOTS**3, bool)
-    seen[codes] = True
-    grams = np.flatnonzero(seen)
-    place = np.zeros(SLOTS**3, np.int64)
-    place[grams] = np.arange(len(grams))
-    owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-    counts = np.bincount(owner * len(grams) + place[codes], minlength=len(rows) * len(grams)).reshape(len(rows), -1)
-    del owner, codes
-    sums = np.zeros((len(rows), DIM), np.float32)
-    for at in range(0, len(grams), GRAMS):
-        sums += counts[:, at : at + GRAMS].astype(np.float32) @ _gram_vectors(grams[at : at + GRAMS])
-    np.add.at(out, rows, sums)
+    number, grams, letters = _numbered(np.concatenate(parts))
+    vectors, n = np.stack([_letter_vector(int(c)) for c in letters]), len(grams[0])
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    step = max(1, COUNTS // n)
+    for first in range(0, len(rows), step):
+        some, last = rows[first : first + step], min(first + step, len(rows))
+        owner = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+        counts = np.bincount(owner * n + number[ends[first] : ends[last]], minlength=len(some) * n).reshape(len(some), n)
+        sums = np.zeros((len(some), DIM), np.float32)
+        for at in range(0, n, GRAMS):
+            sums += counts[:, at : at + GRAMS].astype(np.float32) @ _gram_vectors(vectors, [g[at : at + GRAMS] for g in grams]).astype(np.float32)
+        np.add.at(out, some, sums)
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .prp import key_of, permute
-from .shared import WORD, stage
+from .shared import WORD, free_name, stage
 
+#: A source comes within a block of its target. Blocks of 32 words suit small corpora; over 100 TB some 4096 words keep the
+#: block table near 4 * 10**9 rows.
 WEIGHTS, CAP, SHARDS, BLOCK_WORDS, SEED = (5, 2, 1), 3, 16, 32, 10
 #: Running sums are made in chunks of about so many rows, and chunks are summed in runs of so many.
 CHUNK_ROWS, RUN = 128, 4096
-#: The table of sources is broadcast up to so many sources (under 100 bytes each).
+#: Slots are listed in chunks of so many.
+CHUNK_SLOTS = 1 << 16
+#: The table of sources is broadcast up to so many sources (under 200 bytes each, longer names apart).
 BROADCAST_SOURCES = 100_000
 
 
@@ -25,37 +28,32 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[int], cap: int = CAP) -> list[float]:
-    """Words for each source: all words are shared by weight; what goes beyond ``cap`` sizes is shared again among the rest."""
-    out, rest, total = [Fraction(0)] * len(sizes), list(range(len(sizes))), Fraction(sum(sizes))
-    while rest:
-        share = total / sum(weights[i] for i in rest)
-        over = [i for i in rest if share * weights[i] > cap * sizes[i]]
-        for i in over or rest:
-            out[i] = Fraction(cap * sizes[i]) if over else share * weights[i]
-        if not over:
-            break
-        total -= sum(out[i] for i in over)
-        rest = [i for i in rest if i not in set(over)]
-    return [float(x) for x in out]
-
-
-def shard_counts(expected: list[float], most: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source in each output shard.
+def with_targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``sources(source, source_size, n_rows)``, one row each -> with ``src``, its place by code point (null last), and ``target``.
 
-    A shard gets the whole part of what is due to a source so far; the parts below one block are drawn from a
-    multinomial distribution, and what a draw gave too much or too little is due in the next shard.
+    All words are shared by weight, and what goes beyond ``cap`` sizes is shared again among the rest. So a target is
+    its weight times a common level, or ``cap`` sizes where that is less. The level rises as more sources reach their
+    cap; each step is one sum over the table, which stays on the executors however many sources there are.
     """
-    rng = np.random.default_rng(seed)
-    expected, most = np.asarray(expected, float), np.asarray(most, np.int64)
-    out = np.zeros((shards, len(expected)), np.int64)
-    for k in range(shards):
-        due = np.maximum(np.minimum(expected * (k + 1) / shards, most) - out.sum(axis=0), 0)
-        whole = np.floor(due).astype(np.int64)
-        part = due - whole
-        extra = rng.multinomial(round(part.sum()), part / part.sum()) if part.sum() > 0.5 else 0
-        out[k] = np.minimum(whole + extra, most - out.sum(axis=0))
-    return out
+    parts = sources.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    placed = stage(parts.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "sources")
+    counts, before, total = placed.groupBy("part").count().orderBy("part").collect(), {}, 0
+    for part, n in counts:
+        before[part] = total
+        total += n
+    if not total:
+        return placed.select("source", "source_size", "n_rows", F.col("at").alias("src"), F.lit(0.0).alias("target"))
+    first = F.create_map(*[F.lit(x) for part, n in before.items() for x in (part, n)])[F.col("part")]
+    ranked = placed.select("source", "source_size", "n_rows", (first + F.col("at")).cast("long").alias("src"))
+    ranked = ranked.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (F.col("src") % len(weights)).cast("int")))
+    most, level, known = F.col("source_size") * cap, 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("weight") > most
+        row = ranked.agg(F.sum("source_size"), F.sum(F.when(full, most)), F.sum(F.when(full, 0).otherwise(F.col("weight"))), F.count(F.when(full, 1))).first()
+        if row[3] == known or not row[2]:
+            break
+        known, level = row[3], (row[0] - (row[1] or 0)) / row[2]
+    return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), most.cast("double"))).drop("weight")
 
 
 def running_start(rows: DataFrame) -> DataFrame:
@@ -76,47 +74,58 @@ def running_start(rows: DataFrame) -> DataFrame:
 
 
 class Plan:
-    """What the mix takes: targets and counts of a run, small tables on the driver with one entry for each source."""
+    """What the mix takes, as tables of one row for each source, slot and block."""
 
     def __init__(self, rows: DataFrame, weights=WEIGHTS, cap: int = CAP, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED):
         """``rows``: ``(row, id, source, size)``, written already; row tells rows apart, id gives the order."""
-        spark = rows.sparkSession
-        found = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
-        self.sizes = [r[1] for r in found]
-        self.targets = targets(self.sizes, [weights[i % len(weights)] for i in range(len(found))], cap)
-        self.blocks = [-(-n // block) for n in self.sizes]
-        expected = [t * b / n if n else 0.0 for t, b, n in zip(self.targets, self.blocks, self.sizes)]
-        self.counts = shard_counts(expected, [cap * b for b in self.blocks], shards, seed)
-        self.block, self.seed, self.rows, self.spark = block, seed, rows, spark
-        spec = [(i, r[0], r[2], self.sizes[i], self.targets[i]) for i, r in enumerate(found)]
-        spec = spark.createDataFrame(spec, "src int, source string, n_rows long, source_size long, target double")
-        self.sources = F.broadcast(spec) if len(found) <= BROADCAST_SOURCES else spec
+        sources = with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, cap)
+        blocks = F.ceil(F.col("source_size") / block).cast("long")
+        due = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0).cast("long")
+        self.sources = stage(sources.withColumn("blocks", blocks).withColumn("due", F.least(due, blocks * cap)), "targets")
+        self.block, self.seed, self.shards, self.rows = block, seed, shards, rows
+
+    def shard_counts(self) -> DataFrame:
+        """``(src, blocks, counts)``: how many blocks of a source go to each output shard.
+
+        What a shard takes from all sources is multinomial. Given how much is due to each source, these counts are
+        independent between sources, and those of a source are multinomial over the shards; so each source draws
+        its own, with a seed that is its place, and its total is exactly what is due.
+        """
+        shards, seed = self.shards, self.seed
+
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def draw(src: pd.Series, due: pd.Series) -> pd.Series:
+            return pd.Series([np.random.default_rng([seed, s]).multinomial(n, [1 / shards] * shards) for s, n in zip(src, due)])
+
+        return self.sources.where("due > 0").select("src", "blocks", draw("src", "due").alias("counts"))
 
     def slots(self) -> DataFrame:
         """``(shard, src, block)``: one row for each block in the output, in no order.
 
-        Slot j of a source is block pi(j mod blocks) of its pass j div blocks, with another permutation for each pass.
+        Slots of a source are numbered through its shards. Slot j is block pi(j mod blocks) of pass j div blocks, with
+        another permutation for each pass. Slots are listed by chunks that are dealt out first, so no source is one task.
         """
-        flat, blocks, seed, n = self.counts.ravel(), np.array(self.blocks, np.int64), self.seed, len(self.sizes)
-        ends = np.cumsum(flat)
-        before = np.cumsum(self.counts, axis=0) - self.counts
-
-        @F.pandas_udf("shard int, src int, block long")
-        def choose(ids: pd.Series) -> pd.DataFrame:
-            i = ids.to_numpy()
-            cell = np.searchsorted(ends, i, side="right")
-            shard, src = cell // n, cell % n
-            j = before[shard, src] + i - (ends[cell] - flat[cell])
-            block = permute(j % blocks[src], blocks[src], key_of(seed, src, j // blocks[src]))
-            return pd.DataFrame({"shard": shard.astype("int32"), "src": src.astype("int32"), "block": block})
-
-        ids = self.spark.range(int(ends[-1]) if len(ends) else 0)
-        return ids.select(F.inline(F.array(choose("id"))))
+        seed = self.seed
+
+        @F.pandas_udf("long")
+        def choose(src: pd.Series, blocks: pd.Series, j: pd.Series) -> pd.Series:
+            s, b, i = (x.to_numpy() for x in (src, blocks, j))
+            return pd.Series(permute(i % b, b, key_of(seed, s, i // b)))
+
+        sums = F.transform(F.sequence(F.lit(1), F.lit(self.shards)), lambda k: F.aggregate(F.slice("counts", F.lit(1), k), F.lit(0).cast("long"), lambda a, c: a + c))
+        shards = self.shard_counts().withColumn("ends", sums).select("src", "blocks", F.posexplode("counts").alias("shard", "n"), "ends").where("n > 0")
+        shards = shards.withColumn("first", F.get("ends", F.col("shard")) - F.col("n"))
+        chunks = shards.select("shard", "src", "blocks", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK_SLOTS).cast("long"))).alias("at"))
+        chunks = chunks.repartition("src", "shard", "at")
+        js = F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + CHUNK_SLOTS, F.col("n")) - 1)
+        return chunks.select("shard", "src", "blocks", F.explode(js).alias("j")).select("shard", "src", choose("src", "blocks", "j").alias("block"))
 
     def taken(self) -> DataFrame:
         """``(row, id, source, size, source_size, target, taken, spans)``; spans: (words, times) in the order of the text."""
         b = self.block
-        rows = self.rows.join(self.sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+        sources = self.sources.withColumnRenamed("source", "name").drop("blocks", "due")
+        sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+        rows = self.rows.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
         rows = rows.withColumn("at", F.xxhash64("id", F.lit(self.seed)))
         rows = running_start(rows)
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
@@ -170,11 +179,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Row k holds the words of the blocks that are taken at least k times; a whole document keeps its text as it is.
     Documents of which nothing is taken have no row; null and empty texts are among them.
     """
-    mark = "row"
-    while mark in docs.columns:
-        mark += "_"
+    mark, parts = free_name("row", docs), free_name("spans", docs)
     kept = stage(docs.withColumn(mark, F.monotonically_increasing_id()), "documents")
     rows = stage(kept.select(F.col(mark).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    spans = Plan(rows, **how).taken().where("taken > 0").select(F.col("row").alias(mark), "spans")
-    copies = kept.join(spans, mark).withColumn(text_col, F.explode(_copies(F.col(text_col), "spans")))
+    spans = Plan(rows, **how).taken().where("taken > 0").select(F.col("row").alias(mark), F.col("spans").alias(parts))
+    copies = kept.join(spans, mark).withColumn(text_col, F.explode(_copies(F.col(text_col), F.col(parts))))
     return copies.select(*docs.columns)

@@ -101,6 +101,35 @@ def test_languages_are_told_apart_on_held_out_texts(spark, languages):
     assert langid.predict(docs, prototypes).count() == len(rows)
 
 
+@pytest.mark.parametrize("table, counts", [(160, 1 << 22), (1, 50)])
+def test_profiles_and_cosines_against_plain_bundles(spark, monkeypatch, table, counts):
+    """Each trigram's vector is made and added one by one."""
+    import numpy as np
+
+    monkeypatch.setattr(langid, "TABLE", table)
+    monkeypatch.setattr(langid, "COUNTS", counts)
+    texts = ["Hello, wörld", "привет мир! hello", "日本語 テキスト", "a", "12", None, "x y  z\n" * 40]
+
+    def plain(text):
+        letters, total = [0], np.zeros(langid.DIM)
+        for c in (text or "").lower() + " ":
+            x = ord(c) if c.isalpha() else 0
+            if x or letters[-1]:
+                letters.append(x)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            v = [langid._letter_vector(i).astype(int) for i in (a, b, c)]
+            total += np.array([v[0][(i - 2) % langid.DIM] * v[1][(i - 1) % langid.DIM] * v[2][i] for i in range(langid.DIM)])
+        return total / max(np.linalg.norm(total), 1e-9)
+
+    got, want = langid.profiles(texts), np.array([plain(t) for t in texts])
+    assert np.allclose(got, want, atol=1e-5)
+    prototypes = {"one": want[0], "two": want[1]}
+    found = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOC), prototypes).orderBy("doc_id").collect()
+    for r, p in zip(found, want):
+        cosines = [float(p @ want[0]), float(p @ want[1])]
+        assert r.score == pytest.approx(max(0, *cosines), abs=1e-4) and r.lang_pred == ("und" if not p.any() else ["one", "two"][int(cosines[1] > cosines[0])])
+
+
 def test_nothing_learned_means_no_language(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.learn(none) == {} and langid.predict(none, {}).count() == 0

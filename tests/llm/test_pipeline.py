@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from codegraph.llm import decontaminate, mixing, simhash
+from codegraph.llm import decontaminate, mixing
 from codegraph.llm.shared import stage
+from plain_models import targets
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +27,11 @@ def sf_dir(spark, tmp_path_factory):
     return str(out)
 
 
+def _shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)
@@ -38,10 +44,10 @@ def test_stages(spark, sf_dir):
         if name != "sharding":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in kept["language_id"]} == set(before) - {201, 202, 203}
-    prints = {r.doc_id: simhash.simhash(r.text) & (2**64 - 1) for r in kept["language_id"]}
+    sets = {r.doc_id: _shingles(r.text) for r in kept["language_id"]}
     groups = {}
-    for i in sorted(prints):
-        near = {groups[j] for j in groups if (prints[i] ^ prints[j]).bit_count() <= 2}
+    for i in sorted(sets):
+        near = {groups[j] for j in groups if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
         for j in groups:
             if groups[j] in near:
                 groups[j] = min(near)
@@ -52,7 +58,7 @@ def test_stages(spark, sf_dir):
     size = lambda rows: sum(len(r.text.split()) for r in rows)
     names = sorted({r.source for r in kept["decontamination"]}, key=lambda s: (s is None, s or ""))
     sizes = [size(r for r in kept["decontamination"] if r.source == s) for s in names]
-    for s, want in zip(names, mixing.targets(sizes, [5, 2, 1, 5])):
+    for s, want in zip(names, targets(sizes, [5, 2, 1, 5])):
         assert abs(size(r for r in kept["mixing"] if r.source == s) - want) <= 2 * mixing.BLOCK_WORDS
     assert all(set(r.text.split()) <= set(before[r.doc_id].text.split()) and r.n_chars == len(r.text) for r in kept["mixing"])
     last = kept["sharding"]
