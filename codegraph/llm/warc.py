@@ -31,17 +31,26 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member. A revisit names the record with the payload and keeps its length instead of it."""
-    name = lambda p: f"<urn:x-page:{'none' if p is None else p}>"
+def _escaped(url: str, also: str = "") -> str:
+    return re.sub(rf"[\x00-\x20\x7f-\xa0{also}]", lambda m: urllib.parse.quote(m[0]), url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, record_id: str | None = None) -> bytes:
+    """One record as a gzip member. A revisit names the page with the payload and keeps its length instead of it.
+
+    The target is the URL with blanks and controls escaped; a URL that has some is kept as it is in a field of its own.
+    """
+    number = lambda p: "none" if p is None else str(p)
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{record_id or uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"X-Page-ID: {number(page_id)}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f-\xa0%]", lambda m: urllib.parse.quote(m[0]), url))
+        head.append(f"WARC-Target-URI: {_escaped(url)}")
+        if _escaped(url) != url:
+            head.append(f"X-Page-URL: {_escaped(url, '%')}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
     return gzip.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n", 5, mtime=0)
 
 
@@ -52,14 +61,14 @@ def parse(member: bytes) -> tuple:
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     field = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    number = lambda x: None if x is None or x.endswith(":none>") else int(x.removesuffix(">").rpartition(":")[2])
+    number = lambda x: None if x in (None, "none") else int(x)
     http, _, payload = rest[: int(field["content-length"])].partition(b"\r\n\r\n")
     size, digest = int(re.search(rb"(?i)\ncontent-length: (\d+)", http)[1]), field["warc-payload-digest"].removeprefix("sha1:")
     revisit = field["warc-type"] == "revisit"
     if not revisit and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"the payload of {field['warc-record-id']} is damaged")
-    url = field.get("warc-target-uri")
-    return number(field["warc-record-id"]), None if url is None else urllib.parse.unquote(url), None if revisit else payload, size, digest, field["warc-type"], number(field.get("warc-refers-to"))
+    url = urllib.parse.unquote(field["x-page-url"]) if "x-page-url" in field else field.get("warc-target-uri")
+    return number(field["x-page-id"]), url, None if revisit else payload, size, digest, field["warc-type"], number(field.get("x-refers-to-page"))
 
 
 def _qualified(spark, path: str) -> str:
@@ -101,7 +110,8 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     ids = [None if x is None else int(x) for x in (page_id, refers_to)]
                     digest = base32_sha1(payload)
-                    member = record(ids[0], url, payload, digest, ids[1])
+                    # The same for a record that is written again at the same place of a file, and for no other.
+                    member = record(ids[0], url, payload, digest, ids[1], str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{at}")))
                     out.write(member)
                     index.append((f"{folder}/{name}", at, len(member), ids[0], url, digest, len(payload), "response" if ids[1] is None else "revisit", ids[1]))
                     at += len(member)
@@ -122,31 +132,44 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, handle = None, None
-        for frame in frames:
-            held = []
-            for file, offset, length in frame.itertuples(index=False):
-                if held and (file != held[0][0] or offset - held[-1][1] - held[-1][2] > GAP or offset + length - held[0][1] > READ):
-                    name, handle, rows = _fetch(held, name, handle)
-                    yield _frame(rows, payloads)
-                    held = []
-                held.append((file, offset, length))
+        held, source = [], _Ranges()
+        with source:
+            for frame in frames:
+                for file, offset, length in frame.itertuples(index=False):
+                    if held and (file != held[0][0] or offset - held[-1][1] - held[-1][2] > GAP or offset + length - held[0][1] > READ):
+                        yield _frame(source.fetch(held), payloads)
+                        held = []
+                    held.append((file, offset, length))
             if held:
-                name, handle, rows = _fetch(held, name, handle)
-                yield _frame(rows, payloads)
+                yield _frame(source.fetch(held), payloads)
 
     dealt = index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // TASK)), "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(read, RECORD)
 
 
-def _fetch(held: list[tuple], name, handle):
-    if held[0][0] != name:
-        name = held[0][0]
-        fs, path = arrow_fs.FileSystem.from_uri(name)
-        handle = fs.open_input_file(path)
-    start = held[0][1]
-    data = handle.read_at(max(o + n for _, o, n in held) - start, start)
-    return name, handle, [parse(data[o - start : o - start + n]) for _, o, n in held]
+class _Ranges:
+    """Reads sorted byte ranges; one file is open at a time."""
+
+    def __init__(self):
+        self.name = self.handle = None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.handle is not None:
+            self.handle.close()
+
+    def fetch(self, held: list[tuple]) -> list[tuple]:
+        """The records of neighbouring ranges ``(file, offset, length)`` of one file, by one request."""
+        if held[0][0] != self.name:
+            self.__exit__()
+            self.name = held[0][0]
+            fs, path = arrow_fs.FileSystem.from_uri(self.name)
+            self.handle = fs.open_input_file(path)
+        start = held[0][1]
+        data = self.handle.read_at(max(o + n for _, o, n in held) - start, start)
+        return [parse(data[o - start : o - start + n]) for _, o, n in held]
 
 
 def _frame(rows: list[tuple], payloads: bool) -> pd.DataFrame:

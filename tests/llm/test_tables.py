@@ -141,6 +141,14 @@ def test_running_starts_are_those_of_one_order(spark):
             at += size
 
 
+def gzip_head(spark, r):
+    import gzip
+
+    with open(r.file.removeprefix("file://"), "rb") as f:
+        f.seek(r.offset)
+        return gzip.decompress(f.read(r.length)).partition(b"\r\n\r\n")[0].decode()
+
+
 def test_archives_round_trip(spark):
     html = ["<p>é</p>", "same", "same", "", None, "same", "big " * 100000, "x\r\n\r\ny", "<p>é</p>"]
     rows = [(i, None if i == 3 else f"http://h/{i}?a=%20 b\n", t, 1, "d") for i, t in enumerate(html)] + [(5, "http://again", "same", 1, "d"), (None, "u", "same", 1, "d")]
@@ -159,12 +167,22 @@ def test_archives_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len((t or "").encode()), digest(t))
         assert (r.record_type, r.refers_to) == (("response", None) if i == first else ("revisit", first))
         assert (None if r.payload is None else bytes(r.payload)) == ((t or "").encode() if r.record_type == "response" else None)
+    heads = [re.search(r"WARC-Record-ID: (\S+)", gzip_head(spark, r))[1] for r in index.collect()]
+    assert len(set(heads)) == len(rows)
     some = warc.read_records(index.where("page_id in (6, 7)")).collect()
     assert sorted(r.page_id for r in some) == [6, 7]
     assert warc.read_records(warc.write_archives(pages, min_bytes=5)).where("record_type = 'revisit'").count() == 1
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_target_uris_are_those_of_the_page():
+    import gzip
+
+    for url, target in (("http://h/a%20b?x=%C3%A9", "http://h/a%20b?x=%C3%A9"), ("http://h/a b%20c", "http://h/a%20b%20c"), ("http://h/é\n", "http://h/é%0A")):
+        member = warc.record(1, url, b"p", warc.base32_sha1(b"p"), None)
+        assert f"WARC-Target-URI: {target}\r\n" in gzip.decompress(member).decode() and warc.parse(member)[1] == url
+
+
 def test_a_damaged_payload_fails():
     member = warc.record(1, "u", b"payload", warc.base32_sha1(b"payload"), None)
     assert warc.parse(member)[2] == b"payload"
