@@ -132,7 +132,8 @@ class Plan:
         cut = rows.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         begin = F.greatest("start", F.col("block") * b)
         cut = cut.select("row", "src", "block", (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("words"))
-        times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
+        # Both sides grow with the corpus, and the counts compress so well that they would pass for a small table.
+        times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times")).hint("merge")
         used = cut.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
         used = used.groupBy("row").agg(F.sum(F.expr("words * times")).alias("taken"), F.sort_array(F.collect_list(F.struct("block", "words", "times"))).alias("spans"))
         kept = ["row", "id", "source", "size", "source_size", "target"]
