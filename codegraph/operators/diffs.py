@@ -50,13 +50,14 @@ def path_of_line(line: Column) -> Column:
 
 
 def hunk_header(line: Column) -> Column:
-    """Four numbers as a struct; a count that is left out is 1, a count of 0 stays."""
+    """Four numbers as a struct; a count that is left out is 1, a count of 0 stays. The line is matched twice, whatever it holds."""
+    names = ("old_start_line", "old_line_count", "new_start_line", "new_line_count")
 
-    def number(group, missing):
-        return F.coalesce(F.nullif(F.regexp_extract(line, HUNK, group), F.lit("")), F.lit(missing)).cast("int")
+    def of(parts):
+        number = lambda g: F.coalesce(F.nullif(F.get(parts, g), F.lit("")), F.lit("01"[g % 2])).cast("int")
+        return F.struct(*[number(g).alias(n) for g, n in enumerate(names)])
 
-    names = ("old_start_line", "old_line_count", "new_start_line", "new_line_count")
-    return F.when(line.rlike(HUNK), F.struct(*[number(g + 1, "01"[g % 2]).alias(n) for g, n in enumerate(names)]))
+    return F.when(line.rlike(HUNK), let(F.split(F.regexp_replace(line, rf"(?s){HUNK}.*", "$1/$2/$3/$4"), "/", -1), of))
 
 
 def _last(lines: Column, prefix: str, value) -> Column:
@@ -92,7 +93,7 @@ def _file(section: Column) -> Column:
         said = F.get(mode, F.size(mode) - 1)
         said = F.when(said.startswith("new"), "added").when(said.startswith("deleted"), "deleted")
         old, new = _last(rest, "--- ", path_of_line), _last(rest, "+++ ", path_of_line)
-        hunks = F.transform(F.filter(rest, lambda x: x.rlike(HUNK)), hunk_header)
+        hunks = F.transform(F.filter(rest, lambda x: x.startswith("@@ ") & x.rlike(HUNK)), hunk_header)
         return F.struct(
             F.when(~good, "bad_header").otherwise(F.get(faults, 0).error).alias("error"),
             F.when(~good, first).otherwise(F.get(faults, 0).line).alias("line"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,8 +10,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import CALLABLES, collection_name, document_text
 
-#: Queries that one pass over the documents holds in each task.
-QUERY_BLOCK = 4096
+#: Queries and documents of a block: what one task compares.
+QUERY_BLOCK, BLOCK = 1024, 8192
 
 
 def callable_symbols(symbols: DataFrame) -> DataFrame:
@@ -31,41 +29,46 @@ def similar(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """``queries(query_id, language, embedding)`` and ``documents(id, language, embedding)`` -> ``(query_id, id, rank, distance)``.
 
     The ``k`` nearest documents of the query's language by squared Euclidean distance in double precision; ties go to
-    the smaller id. Vectors that are null find and are nothing; ``k`` below 1 gives no rows. Queries go to the tasks
-    in blocks of bounded size; a task keeps the best ``k`` of its documents for each query, and only those are
-    shuffled.
+    the smaller id. Vectors that are null find and are nothing; ``k`` below 1 gives no rows. Of a language, queries
+    and documents are dealt to blocks of bounded size, each block of the one meets each of the other in a task, which
+    keeps the best ``k`` for each query; nothing goes through the driver.
     """
     out = "query_id string, id string, distance double"
-    spark = queries.sparkSession
-    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("string").alias("query_id"), "language", "embedding")
-    docs = documents.where("id is not null and embedding is not null").select(F.col("id").cast("string").alias("id"), "language", "embedding")
-    found = spark.createDataFrame([], out)
-    n = asked.count() if k > 0 else 0
-    blocks = -(-n // QUERY_BLOCK)
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        held = {x: (g["query_id"].to_numpy(), np.stack(g["embedding"].to_numpy()).astype(np.float64)) for x, g in rows.groupby("language")}
-        found = found.unionAll(docs.where(F.col("language").isin(*held)).mapInPandas(lambda it, held=held: _nearest(it, held, k), out))
+    if k < 1:
+        return queries.sparkSession.createDataFrame([], "query_id string, id string, rank int, distance double")
+    # Queries may be rows of the documents, so both sides get columns of their own.
+    columns = [F.col(c).alias(c) for c in ("language", "embedding")]
+    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("string").alias("id"), *columns)
+    docs = documents.where("id is not null and embedding is not null").select(F.col("id").cast("string").alias("id"), *columns)
+    count = lambda df, size, name: df.groupBy("language").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    grid = count(asked, QUERY_BLOCK, "qs").join(count(docs, BLOCK, "ds"), "language")
+
+    def dealt(df, own, other):
+        block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        return df.join(grid, "language").withColumn(own[0], block).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(*[F.col(c).alias(c) for c in ("language", "q", "d", "id", "embedding")])
+
+    pairs = dealt(asked, "qs", "ds").groupBy("language", "q", "d").cogroup(dealt(docs, "ds", "qs").groupBy("language", "q", "d"))
+    found = pairs.applyInPandas(lambda q, d: _nearest(q, d, k), out)
     best = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
 
 
-def _nearest(frames: Iterator[pd.DataFrame], held: dict, k: int) -> Iterator[pd.DataFrame]:
-    best: dict[str, pd.DataFrame] = {}
-    for frame in frames:
-        for language, part in frame.groupby("language"):
-            ids, q = held[language]
-            x, names = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["id"].to_numpy()
-            # A row at a time, so that equal vectors have exactly equal distances.
-            d = np.array([((x - v) ** 2).sum(axis=1) for v in q])
-            m = min(k, len(names))
-            top = np.argpartition(d, m - 1, axis=1)[:, :m]
-            edge = np.take_along_axis(d, top, axis=1).max(axis=1)
-            i, j = np.nonzero(d <= edge[:, None])
-            new = pd.DataFrame({"query_id": ids[i], "id": names[j], "distance": d[i, j]})
-            new = pd.concat([best[language], new]) if language in best else new
-            best[language] = new.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-    yield from best.values()
+def _nearest(queries: pd.DataFrame, documents: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of a block of documents for each query of a block."""
+    if not len(queries) or not len(documents):
+        return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": str, "id": str, "distance": float})
+    x, names = np.stack(documents["embedding"].to_numpy()).astype(np.float64), documents["id"].to_numpy()
+    ids, nearest, distances = [], [], []
+    # A query at a time, so that equal vectors have exactly equal distances and one row of them is held.
+    for query, v in zip(queries["id"], queries["embedding"]):
+        d = ((x - np.asarray(v, np.float64)) ** 2).sum(axis=1)
+        edge = np.partition(d, k - 1)[k - 1] if k < len(d) else np.inf
+        near = np.flatnonzero(d <= edge)
+        near = near[np.lexsort((names[near].astype(str), d[near]))][:k]
+        ids += [query] * len(near)
+        nearest.append(names[near])
+        distances.append(d[near])
+    return pd.DataFrame({"query_id": ids, "id": np.concatenate(nearest), "distance": np.concatenate(distances)})
 
 
 def similar_code(seeds: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:

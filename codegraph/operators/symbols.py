@@ -65,6 +65,10 @@ TYPE_KINDS = {"class_declaration": "class", "interface_declaration": "interface"
 #: Below a symbol: where its parameters and super types are, as patterns of the rest of the type path.
 PARAMETERS = {"java": "formal_parameters/formal_parameter", "c": r"(?:[a-z_]+_declarator/)*function_declarator/parameter_list/parameter_declaration", "cpp": r"(?:[a-z_]+_declarator/)*function_declarator/parameter_list/parameter_declaration"}
 SUPER_TYPES = {"java": r"(?:superclass|super_interfaces|extends_interfaces)/(?:.*/)?(?:type_identifier|generic_type|scoped_type_identifier)", "cpp": "base_class_clause/(?:type_identifier|qualified_identifier|template_type)"}
+#: Node types whose text is the code of the declarators below them (fixed values).
+DECLARATIONS = ("field_declaration", "local_variable_declaration", "declaration", "type_definition")
+#: Symbols and what is below them meet by blocks of so many lines.
+LINES = 32
 WITH_BODY = ("class", "interface", "enum", "record", "annotation", "struct", "union", "namespace", "function", "method", "constructor")
 
 
@@ -104,6 +108,12 @@ def body_of(text: Column, start: Column, body_start: Column, body_end: Column) -
     return F.when(body_start.isNotNull(), _bytes(text, body_start - start, body_end - body_start)).otherwise("")
 
 
+def absolute(nodes: DataFrame) -> DataFrame:
+    """``nodes`` as they are; a relative path is an error, as files of two repositories could share it (see ``storage_path``)."""
+    known = F.col("path").startswith("/") | F.col("path").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:/")
+    return nodes.withColumn("path", F.when(known, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("not an absolute path: "), F.coalesce("path", F.lit("null"))))))
+
+
 def file_symbols(nodes: DataFrame) -> DataFrame:
     """One symbol for each file, from its root node."""
     root = nodes.where("parent_id is null and not parse_error")
@@ -123,10 +133,12 @@ def extract_symbols(nodes: DataFrame) -> DataFrame:
     The kind, names, signature, code and body come from the node's own row, but for declarators, whose code is their
     declaration, and for Java packages.
     """
+    nodes = absolute(nodes)
     rows = nodes.where("not parse_error").withColumn("kind", symbol_kind()).where("kind is not null")
-    up = nodes.select("path", F.col("node_id").alias("parent_id"), F.col("text").alias("up_text"))
+    # Only declarations lend their text to their declarators, and only Java files have a package.
+    up = nodes.where(F.col("type").isin(*DECLARATIONS)).select("path", F.col("node_id").alias("parent_id"), F.col("text").alias("up_text"))
     package = nodes.where("type = 'package_declaration'").groupBy("path").agg(F.min_by("name", "node_id").alias("package"))
-    of_type = nodes.where("field = 'type'").select("path", "parent_id", F.col("text").alias("type_text"))
+    of_type = nodes.where("field = 'type' and (type_path like '%type_definition/%' or type_path like '%alias_declaration/%')").select("path", "parent_id", F.col("text").alias("type_text"))
     rows = rows.join(up, ["path", "parent_id"], "left").join(package, "path", "left").join(of_type.groupBy("path", "parent_id").agg(F.first("type_text").alias("type_text")), ["path", "parent_id"], "left")
     kind, language, python = F.col("kind"), F.col("language"), F.col("language") == "python"
     scopes = _by_language(SCOPES, lambda types: F.filter(F.col("anc_names"), lambda a: a["type"].isin(*types)))
@@ -156,9 +168,9 @@ def extract_symbols(nodes: DataFrame) -> DataFrame:
 def _with_lists(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     """Parameter and super type texts, joined by span; super types once each, in first-seen order."""
     wanted = nodes.where(F.col("type").isin("formal_parameter", "parameter_declaration", "type_identifier", "generic_type", "scoped_type_identifier", "qualified_identifier", "template_type"))
-    below = wanted.select("path", F.col("node_id").alias("n"), F.col("type_path").alias("n_path"), F.col("start_byte").alias("n_start"), F.col("end_byte").alias("n_end"), strip(F.col("text")).alias("n_text"), F.col("parent_id").alias("n_parent"))
-    holders = symbols.where("language <> 'python' and kind not in ('file', 'variable', 'import')").select("path", "ordinal", "language", "type_path", "start_byte", "end_byte")
-    pairs = holders.join(below, "path").where("n_start >= start_byte and n_end <= end_byte and n > ordinal and startswith(n_path, concat(type_path, '/'))")
+    below = wanted.select("path", F.col("node_id").alias("n"), F.col("type_path").alias("n_path"), F.col("start_byte").alias("n_start"), F.col("end_byte").alias("n_end"), strip(F.col("text")).alias("n_text"), F.col("parent_id").alias("n_parent"), F.floor(F.col("start_line") / LINES).alias("block"))
+    holders = symbols.where("language <> 'python' and kind not in ('file', 'variable', 'import')").select("path", "ordinal", "language", "type_path", "start_byte", "end_byte", F.explode(F.sequence(F.floor(F.col("start_line") / LINES), F.floor(F.greatest("start_line", "end_line") / LINES))).alias("block"))
+    pairs = holders.join(below, ["path", "block"]).where("n_start >= start_byte and n_end <= end_byte and n > ordinal and startswith(n_path, concat(type_path, '/'))")
     pairs = pairs.withColumn("rest", F.expr("substring(n_path, length(type_path) + 2)"))
     is_one = lambda patterns: _by_language(patterns, lambda p: F.col("rest").rlike(rf"\A{p}\z"))
     pairs = pairs.withColumn("parameter", F.coalesce(is_one(PARAMETERS), F.lit(False))).withColumn("super", F.coalesce(is_one(SUPER_TYPES), F.lit(False))).where("parameter or super")
@@ -189,9 +201,12 @@ _CALL_NODE = {"python": "call", "java": "method_invocation", "c": "call_expressi
 
 def expressions(nodes: DataFrame) -> DataFrame:
     """The parts of statements that are written or read: ``(path, language, stmt, mode, node_id, type_path, span of the statement)``."""
-    up = nodes.select("path", F.col("node_id").alias("parent_id"), F.col("type").alias("up_type"), F.col("type_path").alias("up_path"), *[F.col(c).alias(f"u_{c}") for c in ("start_line", "start_column", "end_line", "end_column")])
-    last = nodes.where("type_path like '%return_statement/%'").groupBy("path", "parent_id").agg(F.max("child_ord").alias("last"))
-    e = nodes.join(up, ["path", "parent_id"]).join(last, ["path", "parent_id"], "left")
+    # The parent's type is the last but one of the path, so only parts of the statements that count meet their statement.
+    statements = [rule[0] for rules in ACCESSES.values() for rule in rules] + ["return_statement"]
+    parts = nodes.withColumn("up_path", F.regexp_extract("type_path", r"\A(.*)/[^/]*\z", 1)).withColumn("up_type", F.substring_index("up_path", "/", -1)).where(F.col("up_type").isin(*statements))
+    up = nodes.where(F.col("type").isin(*statements)).select("path", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"u_{c}") for c in ("start_line", "start_column", "end_line", "end_column")])
+    last = parts.where("up_type = 'return_statement'").groupBy("path", "parent_id").agg(F.max("child_ord").alias("last"))
+    e = parts.join(up, ["path", "parent_id"]).join(last, ["path", "parent_id"], "left")
 
     def mode(rules):
         out = F.lit(None).cast("string")

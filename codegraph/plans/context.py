@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import language_of_path
 from ..operators import changed, documents, explore, package
+from ..sources.shared import stage
 
 
 def changed_code_context(diff_files: DataFrame, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,38 +25,46 @@ def changed_code_context(diff_files: DataFrame, files: DataFrame, symbols: DataF
     return changed.changed_files_last(found), changed.changed_symbols(touched)
 
 
-def context_package(diff_files: DataFrame, files: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, docs: DataFrame, vectors: DataFrame, max_depth: int = 2) -> DataFrame:
-    """One row for each diff: arrays of changed files, changed symbols, graph paths, modified code and neighbour code.
+def context_tables(diff_files: DataFrame, files: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, docs: DataFrame, vectors: DataFrame, max_depth: int = 2) -> dict[str, DataFrame]:
+    """The parts of context packages as tables: changed_files, changed_symbols, graph_paths, modified_code and neighbor_code.
 
     ``vectors(id, language, embedding)`` holds the vectors of documents and of changed symbols, made by the caller.
-    Arrays are sorted as the parts are: files and symbols as first seen, paths by length and ids, snippets by path and
-    line, neighbours from the graph before those from vectors.
+    What several parts read is written once. With hubs the paths of a diff can be many; here they stay rows.
     """
     changed_files, seeds = changed_code_context(diff_files, files, symbols)
+    seeds = stage(seeds, "seeds")
     start = explore.known_seeds(seeds.select("diff_id", F.col("symbol_id").alias("id")), nodes)
-    best = explore.best_paths(explore.paths(start, explore.adjacency(edges), max_depth))
+    best = stage(explore.nearest_paths(start, explore.adjacency(edges), max_depth), "best")
     around = explore.explore_nodes(start, best, nodes)
     graph = package.graph_neighbors(around, seeds, symbols)
-    queries = package.query_seeds(seeds, symbols).where("query_text <> ''")
+    queries = stage(package.query_seeds(seeds, symbols).where("query_text <> ''").drop("query_text"), "queries")
     asked = queries.select("query_id", "language").distinct().join(vectors.select(F.col("id").alias("query_id"), "embedding"), "query_id")
     stored = docs.select("id", "language").join(vectors.select("id", "embedding"), "id")
     vector = package.vector_neighbors(documents.similar(asked, stored, package.VECTOR_LIMIT), queries, seeds, docs)
-    near = package.neighbor_code(graph, vector)
     modified = changed.modified_code(seeds, symbols).join(seeds.select("diff_id", "symbol_id", "matched_line_ranges"), ["diff_id", "symbol_id"])
+    return {"changed_files": changed_files, "changed_symbols": seeds, "graph_paths": best, "modified_code": modified, "neighbor_code": package.neighbor_code(graph, vector)}
+
+
+def context_package(diff_files: DataFrame, *tables: DataFrame, max_depth: int = 2) -> DataFrame:
+    """One row for each diff: the parts of :func:`context_tables`, which has the same arguments, as arrays.
+
+    Arrays are sorted as the parts are: files and symbols as first seen, paths by length and ids, snippets by path and
+    line, neighbours from the graph before those from vectors.
+    """
 
     def packed(df, name, order, cols):
         rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("order"), F.struct(*cols).alias("row"))))
         return df.groupBy("diff_id").agg(rows.alias("x")).select("diff_id", F.transform("x", lambda r: r.row).alias(name))
 
     place = ["path", "start_line", "end_line", "qualified_name", "symbol_id"]
-    parts = [
-        packed(changed_files, "changed_files", ["file_ordinal"], ["path", "change_type", "old_path", "new_path", "source_path", "skip_reason", "hunks"]),
-        packed(seeds, "changed_symbols", ["seed_ordinal", "symbol_id"], ["symbol_id", "matched_line_ranges"]),
-        packed(best, "graph_paths", ["hop_count", "seed_id", "terminal_node_id", "edge_ids"], ["seed_id", "terminal_node_id", "node_ids", "edge_ids", "hop_count"]),
-        packed(modified, "modified_code", place, [*package.SNIPPET, "matched_line_ranges"]),
-        packed(near, "neighbor_code", ["source_rank", *place], [*package.SNIPPET, "source"]),
-    ]
-    out = diff_files.select("diff_id").distinct()
-    for part in parts:
-        out = out.join(part, "diff_id", "left")
+    parts = {
+        "changed_files": (["file_ordinal"], ["path", "change_type", "old_path", "new_path", "source_path", "skip_reason", "hunks"]),
+        "changed_symbols": (["seed_ordinal", "symbol_id"], ["symbol_id", "matched_line_ranges"]),
+        "graph_paths": (["hop_count", "seed_id", "terminal_node_id", "edge_ids"], ["seed_id", "terminal_node_id", "node_ids", "edge_ids", "hop_count"]),
+        "modified_code": (place, [*package.SNIPPET, "matched_line_ranges"]),
+        "neighbor_code": (["source_rank", *place], [*package.SNIPPET, "source"]),
+    }
+    rows, out = context_tables(diff_files, *tables, max_depth=max_depth), diff_files.select("diff_id").distinct()
+    for name, (order, cols) in parts.items():
+        out = out.join(packed(rows[name], name, order, cols), "diff_id", "left")
     return out

@@ -52,9 +52,11 @@ def skip_reason(s, d):
     return _scanned(s, d).select("path", "size", "skip_reason")
 
 
-@query("SELECT path, excluded FROM fx_files")
+@query("SELECT path AS relative_path, language, size, CASE WHEN language IS NULL THEN 'unsupported_language' WHEN size > 8000 THEN 'file_too_large' END AS skip_reason, CASE WHEN language IS NOT NULL AND size <= 8000 THEN md5(p.html) END AS content FROM fx_files f JOIN pages p ON p.page_id = regexp_extract(path, 'm([0-9]+)[.]', 1)::BIGINT WHERE NOT excluded")
 def scan_files(s, d):
-    return fx.files(s, d).select("path", scan.excluded_path(F.col("path")).alias("excluded"))
+    """The pages are written as files, listed, filtered and read."""
+    f = scan.scan_files(s, fx.written_files(s, d), max_file_bytes=8000)
+    return f.select("relative_path", "language", "size", "skip_reason", F.md5("content").alias("content"))
 
 
 @query(f"SELECT CASE WHEN {_REASON} IS NULL THEN 'scanned' ELSE 'skipped' END AS status, {_REASON} AS skip_reason, count(*) AS files FROM fx_files WHERE NOT excluded GROUP BY ALL")
@@ -77,9 +79,9 @@ def callable_symbols(s, d):
     return documents.callable_symbols(fx.all_symbols(s, d)).select("id", "language")
 
 
-@query("SELECT DISTINCT o.symbol_id AS id, s.path, s.kind, s.qualified_name FROM fx_overlaps o JOIN fx_symbols s ON s.id = o.symbol_id WHERE s.kind NOT IN ('variable', 'import')")
+@query("SELECT DISTINCT o.diff_id, o.symbol_id AS id, s.path, s.kind, s.qualified_name FROM fx_overlaps o JOIN fx_symbols s ON s.id = o.symbol_id WHERE s.kind NOT IN ('variable', 'import')")
 def build_seed_nodes(s, d):
-    return _changed(s, d).select(F.col("symbol_id").alias("id")).distinct().join(fx.symbols(s, d).select("id", "path", "kind", "qualified_name"), "id")
+    return explore.build_seed_nodes(_changed(s, d), fx.symbols(s, d))
 
 
 def _relations(s, d):
@@ -400,26 +402,34 @@ def _paths(s, d, depth=2):
     return explore.paths(explore.known_seeds(fx.seeds(s, d), fx.nodes(s, d)), explore.adjacency(fx.edges(s, d)), depth)
 
 
-def _path_row(p):
-    return p.select("seed_id", "terminal_node_id", F.col("hop_count"), _join("edge_ids").alias("edge_ids"), _join("node_ids").alias("node_ids"))
+def _digest(*texts):
+    """A sum over rows that tells sets of texts apart; it needs no order and no list."""
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("long"))
 
 
-_PATH = "seed_id, terminal_node_id, hop_count, array_to_string(edge_ids, ',') AS edge_ids, array_to_string(node_ids, ',') AS node_ids"
+def _path_rows(p, *keys):
+    """How many paths each group has, and a digest of them all."""
+    return p.groupBy(*keys).agg(F.count("*").alias("n"), _digest("seed_id", "terminal_node_id", _join("edge_ids"), _join("node_ids")).alias("digest"))
 
 
-@query(f"SELECT {_PATH} FROM fx_one")
+_DIGEST = "sum(('0x' || substr(md5({}), 1, 8))::BIGINT)::BIGINT"
+_PATHS = "count(*) AS n, " + _DIGEST.format("concat_ws('|', seed_id, terminal_node_id, array_to_string(edge_ids, ','), array_to_string(node_ids, ','))") + " AS digest"
+
+
+@query(f"SELECT seed_id, terminal_node_id, {_PATHS} FROM fx_one GROUP BY ALL")
 def one_hop(s, d):
-    return _path_row(_paths(s, d, 1))
+    return _path_rows(_paths(s, d, 1), "seed_id", "terminal_node_id")
 
 
-@query(f"SELECT {_PATH} FROM fx_two")
+@query(f"SELECT seed_id, edge_ids[1] AS first_edge, {_PATHS} FROM fx_two GROUP BY ALL")
 def two_hop(s, d):
-    return _path_row(_paths(s, d).where("hop_count = 2"))
+    return _path_rows(_paths(s, d).where("hop_count = 2").withColumn("first_edge", F.get("edge_ids", 0)), "seed_id", "first_edge")
 
 
-@query(f"SELECT {_PATH} FROM fx_best")
+@query(f"SELECT seed_id, edge_ids[1] AS first_edge, hop_count, {_PATHS} FROM fx_best GROUP BY ALL")
 def best_paths(s, d):
-    return _path_row(explore.best_paths(_paths(s, d)))
+    seeds, adj = explore.known_seeds(fx.seeds(s, d), fx.nodes(s, d)), explore.adjacency(fx.edges(s, d))
+    return _path_rows(explore.nearest_paths(seeds, adj).withColumn("first_edge", F.get("edge_ids", 0)), "seed_id", "first_edge", "hop_count")
 
 
 _ON = "(SELECT DISTINCT unnest(node_ids) AS id FROM fx_best)"
@@ -428,7 +438,7 @@ _ON = "(SELECT DISTINCT unnest(node_ids) AS id FROM fx_best)"
 @query(f"SELECT 'node' AS what, n.id, n.path, n.start_line FROM fx_nodes n JOIN {_ON} o ON o.id = n.id UNION ALL SELECT 'node', n.id, n.path, 0 FROM fx_nodes n JOIN fx_seeds s ON s.id = n.id WHERE n.id NOT IN (SELECT id FROM {_ON}) UNION ALL SELECT 'edge', e.id, e.path, 0 FROM fx_edges e JOIN (SELECT DISTINCT unnest(edge_ids) AS id FROM fx_best) b ON b.id = e.id")
 def explore_result(s, d):
     seeds, nodes, edges = fx.seeds(s, d), fx.nodes(s, d), fx.edges(s, d)
-    best = explore.best_paths(_paths(s, d))
+    best = explore.nearest_paths(explore.known_seeds(seeds, nodes), explore.adjacency(edges))
     n = explore.explore_nodes(seeds, best, nodes).select(F.lit("node").alias("what"), "id", "path", "start_line")
     return n.unionAll(explore.explore_edges(best, edges).select(F.lit("edge").alias("what"), "id", "path", F.lit(0).cast("long").alias("start_line")))
 
@@ -487,10 +497,10 @@ def qualified_name(s, d):
 def _hits(s, d):
     v = fx.vectors(s, d)
     q = v.where("is_query").select(F.col("id").alias("query_id"), "language", "embedding")
-    return documents.similar(q, v.where("not is_query"), 5)
+    return documents.similar(q, v.select("id", "language", "embedding"), 5)
 
 
-@query("SELECT query_id, id, rank FROM (SELECT q.id AS query_id, v.id, row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), v.id) AS rank FROM fx_vectors q JOIN fx_vectors v ON v.language = q.language AND NOT v.is_query WHERE q.is_query) WHERE rank <= 5")
+@query("SELECT query_id, id, rank FROM (SELECT q.id AS query_id, v.id, row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), v.id) AS rank FROM fx_vectors q JOIN fx_vectors v ON v.language = q.language WHERE q.is_query) WHERE rank <= 5")
 def similar_code(s, d):
     return _hits(s, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
@@ -537,14 +547,14 @@ def _vector_tables(s, d):
     """Hits of the vectors as hits of diffs: a query is a seed of three diffs, a vector is a document with a symbol."""
     v = fx.vectors(s, d)
     k = F.substring("id", 2, 8).cast("long")
-    docs = v.where("not is_query").select("id", F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("doc "), k % 40)).alias("document"), F.concat(F.lit("sym"), k % 60).alias("symbol_id"), F.lit("function").alias("symbol_kind"), F.when(k % 7 == 0, "rust").otherwise(F.col("language")).alias("language"), F.lit("p").alias("path"), F.concat(F.lit("q"), k % 30).alias("qualified_name"), k.alias("start_line"), k.alias("end_line"))
-    seeds = v.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"), "*").select(((k / 50).cast("long") % 4 + F.col("i")).alias("diff_id"), k.alias("seed_ordinal"), F.col("id").alias("query_id"), "language")
+    docs = v.select("id", F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("doc "), k % 40)).alias("document"), F.concat(F.lit("sym"), k % 60).alias("symbol_id"), F.lit("function").alias("symbol_kind"), F.when(k % 7 == 0, "rust").otherwise(F.col("language")).alias("language"), F.lit("p").alias("path"), F.concat(F.lit("q"), k % 30).alias("qualified_name"), k.alias("start_line"), k.alias("end_line"))
+    seeds = v.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"), "*").select(((k / 100).cast("long") % 4 + F.col("i")).alias("diff_id"), k.alias("seed_ordinal"), F.col("id").alias("query_id"), "language")
     changed_ids = s.range(6).select(F.col("id").alias("diff_id"), F.concat(F.lit("sym"), F.col("id") * 3).alias("symbol_id"))
     return _hits(s, d), seeds, changed_ids, docs
 
 
-_RANKS = "(SELECT q.id AS query_id, substr(q.id, 2, 8)::BIGINT AS qk, q.language AS qlang, substr(v.id, 2, 8)::BIGINT AS k, v.language, row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), v.id) AS rank FROM fx_vectors q JOIN fx_vectors v ON v.language = q.language AND NOT v.is_query WHERE q.is_query)"
-_VHITS = f"(SELECT (qk // 50) % 4 + i AS diff_id, 'sym' || (k % 60) AS symbol_id, qk, rank, 'doc ' || (k % 40) AS code, 'q' || (k % 30) AS qualified_name, k FROM {_RANKS} r, (SELECT unnest([0, 1, 2]) AS i) t WHERE rank <= 5 AND k % 9 <> 0 AND k % 7 <> 0)"
+_RANKS = "(SELECT q.id AS query_id, substr(q.id, 2, 8)::BIGINT AS qk, q.language AS qlang, substr(v.id, 2, 8)::BIGINT AS k, v.language, row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), v.id) AS rank FROM fx_vectors q JOIN fx_vectors v ON v.language = q.language WHERE q.is_query)"
+_VHITS = f"(SELECT (qk // 100) % 4 + i AS diff_id, 'sym' || (k % 60) AS symbol_id, qk, rank, 'doc ' || (k % 40) AS code, 'q' || (k % 30) AS qualified_name, k FROM {_RANKS} r, (SELECT unnest([0, 1, 2]) AS i) t WHERE rank <= 5 AND k % 9 <> 0 AND k % 7 <> 0)"
 _VFIRST = f"(SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY qk, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, symbol_id ORDER BY qk, rank) AS f FROM {_VHITS} WHERE diff_id >= 6 OR symbol_id <> 'sym' || (diff_id * 3)) WHERE f = 1)"
 
 
@@ -615,12 +625,14 @@ def replace_documents_by_path(s, d):
     return update.replace_documents(_documents(s, d), last, new).select("id")
 
 
-@query("SELECT (SELECT count(*) FROM fx_changes) AS changed_files, (SELECT count(*) FROM fx_all a JOIN fx_last l ON l.path = a.path WHERE l.status = 'analysed' AND a.ordinal % 2 = 0) AS updated_nodes, 0 AS updated_edges, (SELECT count(*) FROM fx_callable c JOIN fx_last l ON l.path = c.path WHERE l.status = 'analysed' AND c.ordinal % 2 = 0) AS reindexed_embeddings, 'ok' AS status")
+_FRESH = "(SELECT a.id FROM fx_all a JOIN fx_last l ON l.path = a.path WHERE l.status = 'analysed' AND a.ordinal % 2 = 0)"
+
+
+@query(f"SELECT (SELECT count(*) FROM fx_changes) AS changed_files, (SELECT count(*) FROM {_FRESH}) AS updated_nodes, (SELECT count(*) FROM {_E} e JOIN fx_last l ON l.path = e.path WHERE l.status = 'analysed' AND e.ordinal % 2 = 0 AND e.source_id IN (SELECT id FROM {_FRESH}) AND e.destination_id IN (SELECT id FROM {_FRESH})) AS updated_edges, (SELECT count(*) FROM fx_callable c JOIN fx_last l ON l.path = c.path WHERE l.status = 'analysed' AND c.ordinal % 2 = 0) AS reindexed_embeddings, 'ok' AS status")
 def update_summary(s, d):
-    *_, new_nodes, _ = _graph_tables(s, d)
+    *_, new_nodes, new_edges = _graph_tables(s, d)
     new = _documents(s, d).where("start_line % 2 = 0").join(update.last_per_path(_changes(s, d)).where("status = 'analysed'").select("path"), "path", "left_semi")
-    u = update.update_summary(_changes(s, d), new_nodes, fx.edges(s, d).limit(0), new)
-    return u.withColumn("updated_edges", F.col("updated_edges").cast("int"))
+    return update.update_summary(_changes(s, d), new_nodes, index.accepted_edges(new_edges, new_nodes), new)
 
 
 # --- syntax nodes to symbols ------------------------------------------------------------------------------------------
@@ -700,10 +712,20 @@ def reference_names(s, d):
 # --- whole jobs -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT (SELECT count(DISTINCT path) FROM fx_src) AS scanned_files, 0 AS skipped_files, n AS upserted_nodes, e AS upserted_edges, dn AS upserted_documents, n AS verified_nodes, e AS verified_edges, dn AS verified_documents, NULL::VARCHAR AS mismatch FROM (SELECT (SELECT count(*) FROM fx_py) + (SELECT count(DISTINCT path) FROM fx_src) AS n, (SELECT count(*) FROM fx_pyedges) AS e, (SELECT count(*) FROM fx_py WHERE kind IN ('function', 'method')) AS dn)")
+def _rows(what, df):
+    return df.select(F.lit(what).alias("what"), "id")
+
+
+@query("SELECT what, id FROM fx_pyrows UNION ALL SELECT 'counts', 'scanned ' || (SELECT count(DISTINCT path) FROM fx_src) || ' skipped 0 nodes ' || count(*) FILTER (what = 'node') || ' edges ' || count(*) FILTER (what = 'edge') || ' documents ' || count(*) FILTER (what = 'document') || ' mismatch none' FROM fx_pyrows")
 def initial_index(s, d):
-    f = fx.sources(s, d)
-    return index.initial_index(f.select("path", F.lit(None).cast("string").alias("skip_reason")), syntax.python_syntax_nodes(f)).withColumn("skipped_files", F.col("skipped_files").cast("int"))
+    """The ids of all rows that are read back, and the counts, for two repositories with the same relative paths."""
+    f, path = fx.sources(s, d), shared_path(s, "index")
+    row = index.initial_index(f.select("path", F.lit(None).cast("string").alias("skip_reason")), syntax.python_syntax_nodes(f), path)
+    counts = F.concat_ws(" ", F.lit("scanned"), "scanned_files", F.lit("skipped"), "skipped_files", F.lit("nodes"), "verified_nodes", F.lit("edges"), "verified_edges", F.lit("documents"), "verified_documents", F.lit("mismatch"), F.coalesce("mismatch", F.lit("none")))
+    out = _rows("counts", row.select(counts.alias("id")))
+    for what in ("node", "edge", "document"):
+        out = out.unionAll(_rows(what, s.read.schema("id string").parquet(f"{path}/{what}s")))
+    return out
 
 
 _TOUCHED = f"(SELECT DISTINCT o.diff_id, o.symbol_id FROM fx_overlaps o JOIN fx_repo r ON r.path = o.path AND NOT r.parse_error {_SEEDS_ONLY})"
@@ -720,8 +742,8 @@ def _package(s, d):
     e = store.dedupe_first(relations.contains_edges(sym)).drop("ordinal", "metadata")
     docs = _documents(s, d)
     v = fx.vectors(s, d).select(F.substring("id", 2, 8).cast("long").alias("k"), "embedding")
-    size = F.lit(500)
-    placed = lambda df: df.select("id", F.pmod(F.xxhash64("id"), size).alias("k")).join(v, "k").select("id", "embedding")
+    k = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % max(v.count(), 1)
+    placed = lambda df: df.select("id", k.alias("k")).join(v, "k").select("id", "embedding")
     return context.context_package(fx.diff_files(s, d), fx.repo_files(s, d), fx.symbols(s, d), sym, e, docs, placed(fx.symbols(s, d)))
 
 
@@ -743,21 +765,30 @@ def context_package_json(s, d):
     return p.select("diff_id", F.to_json(F.struct(*[c for c in p.columns if c != "diff_id"])).alias("package"))
 
 
-def _update(s, d):
-    n, e, _, new_nodes, new_edges = _graph_tables(s, d)
-    sym = fx.all_symbols(s, d).where("ordinal % 2 = 0 and kind <> 'none'")
-    rel = new_edges
-    return incremental.incremental_update(fx.diff_files(s, d), fx.repo_files(s, d), sym, rel.withColumn("source", F.col("source_id")), n, e, _documents(s, d))
+def _index(s, d):
+    """Symbols, storable relations and documents of the source files, written once."""
+    found, edges = index.analyse(syntax.python_syntax_nodes(fx.sources(s, d)))
+    return found, index.accepted_edges(edges, found).withColumn("ordinal", F.col("ordinal.at")), documents.callable_documents(found)
+
+
+def _source_changes(diffs_):
+    return incremental.stored_paths(diffs.parse_diffs(diffs_), fx.source_root())
 
 
-@query(f"SELECT 'nodes' AS what, count(*) AS rows FROM {_NEWN} UNION ALL SELECT 'edges', count(*) FROM {_E} e LEFT JOIN fx_last l ON l.path = e.path WHERE (l.status IS NULL OR l.status NOT IN ('deleted', 'analysed')) OR (l.status = 'analysed' AND e.ordinal % 2 = 0 AND e.source_id IN (SELECT id FROM {_NEWN}) AND e.destination_id IN (SELECT id FROM {_NEWN})) UNION ALL SELECT 'documents', count(*) FROM fx_callable c LEFT JOIN fx_last l ON l.path = c.path WHERE l.status IS NULL OR l.status = 'parse_error' OR (l.status = 'analysed' AND c.ordinal % 2 = 0)")
+_AFTER = "SELECT what, id FROM fx_pyafter"
+
+
+@query(f"{_AFTER} UNION ALL SELECT 'summary', 'changed ' || (SELECT count(*) FROM fx_pychanges) || ' nodes ' || count(*) FILTER (what = 'node') || ' edges ' || count(*) FILTER (what = 'edge') || ' documents ' || count(*) FILTER (what = 'document') || ' ok' FROM fx_pyafter WHERE status = 'analysed'")
 def incremental_update(s, d):
-    return incremental.counts(_update(s, d))
+    """Diffs of two repositories with the files after them: the changed files are analysed again, all ids are compared."""
+    out = incremental.incremental_update(_source_changes(fx.source_diffs(s, d)), fx.sources(s, d, after=True), *_index(s, d))
+    row = out["summary"].select(F.concat_ws(" ", F.lit("changed"), "changed_files", F.lit("nodes"), "updated_nodes", F.lit("edges"), "updated_edges", F.lit("documents"), "reindexed_embeddings", "status").alias("id"))
+    return _rows("node", out["nodes"]).unionAll(_rows("edge", out["edges"])).unionAll(_rows("document", out["documents"])).unionAll(_rows("summary", row))
 
 
-def _diffs_written(s, d):
+def _diffs_written(s, d, diffs_=None):
     path = shared_path(s, "diffs")
-    fx.diffs(s, d).select(F.lpad(F.col("diff_id").cast("string"), 8, "0").alias("diff_id"), "diff").write.partitionBy("diff_id").text(path)
+    (diffs_ or fx.diffs(s, d)).select(F.lpad(F.col("diff_id").cast("string"), 8, "0").alias("diff_id"), "diff").write.partitionBy("diff_id").text(path)
     return path
 
 
@@ -767,21 +798,12 @@ def read_diffs(s, d):
     return r.select(F.col("diff_id").cast("long").alias("diff_id"), F.size(F.regexp_extract_all("diff", F.lit("(?m)^diff --git "), 0)).cast("long").alias("files"))
 
 
-@query("SELECT c.id FROM fx_callable c LEFT JOIN fx_last l ON l.path = c.path WHERE l.status IS NULL OR l.status = 'parse_error' OR (l.status = 'analysed' AND c.ordinal % 2 = 0)")
+@query(_AFTER)
 def stream_incremental_update(s, d):
-    """The diffs arrive as files; the document table is as after a batch update."""
-    table = updates.Versions(s, shared_path(s, "documents"))
-    table.write(_documents(s, d), -1)
-
-    def apply(files, rows):
-        spark = files.sparkSession
-        files = files.withColumn("path", F.concat(F.lit("/repo/"), "path"))
-        last = update.last_per_path(update.classify_changes(files, fx.repo_files(spark, d)))
-        new = _documents(spark, d).where("start_line % 2 = 0").join(last.where("status = 'analysed'").select("path"), "path", "left_semi")
-        return update.replace_documents(rows, last, new.select(*rows.columns))
-
-    updates.stream_incremental_update(s, _diffs_written(s, d), shared_path(s, "stream"), table, apply)
-    return table.read().select("id")
+    """The same diffs arrive as files; the store's tables are as after a batch update."""
+    store_ = sinks.Store(s, shared_path(s, "store"), buckets=16).create(*_index(s, d))
+    updates.stream_incremental_update(s, _diffs_written(s, d, fx.source_diffs(s, d)), shared_path(s, "stream"), store_, lambda: fx.sources(s, d, after=True), fx.source_root(), max_files=100_000)
+    return _rows("node", store_.read("nodes")).unionAll(_rows("edge", store_.read("edges"))).unionAll(_rows("document", store_.read("documents")))
 
 
 @query("SELECT 'nodes' AS what, path, count(*) AS n FROM fx_nodes GROUP BY path UNION ALL SELECT 'edges', path, count(*) FROM fx_edges GROUP BY path")

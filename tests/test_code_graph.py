@@ -165,8 +165,12 @@ def test_best_paths_against_a_plain_model(spark):
         for ids, x in found:
             if x != s and ((s, x) not in best or (len(ids), ids) < best[s, x]):
                 best[s, x] = len(ids), ids
-    got = explore.best_paths(explore.paths(explore.known_seeds(seeds, n), explore.adjacency(e, kinds)))
+    known, adj = explore.known_seeds(seeds, n), explore.adjacency(e, kinds)
+    got = explore.best_paths(explore.paths(known, adj))
     assert {(r.seed_id, r.terminal_node_id): (r.hop_count, r.edge_ids) for r in got.collect()} == best
+    for depth in (1, 2):
+        listed, direct = explore.best_paths(explore.paths(known, adj, depth)), explore.nearest_paths(known, adj, depth)
+        assert listed.columns == direct.columns and sorted(map(str, listed.collect())) == sorted(map(str, direct.collect()))
     with pytest.raises(ValueError):
         explore.paths(seeds, explore.adjacency(e), 3)
 
@@ -218,7 +222,9 @@ def test_scan_lists_hidden_files_and_skips_folders(spark, tmp_path):
     for name in ("pkg/__init__.py", "pkg/.hidden.py", "pkg/a.py", "node_modules/x.py", "pkg/build/y.py", "build.py", "readme.md", "big.java"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x = 1\n" * (20 if name == "big.java" else 1))
-    got = {r.path: (r.language, r.skip_reason, r.content and bytes(r.content)) for r in scan.scan_files(spark, str(tmp_path), max_file_bytes=32).collect()}
+    rows = scan.scan_files(spark, str(tmp_path), "r", max_file_bytes=32).collect()
+    got = {r.relative_path: (r.language, r.skip_reason, r.content and bytes(r.content)) for r in rows}
+    assert all(r.path == f"{tmp_path}/{r.relative_path}" and r.repo_id == "r" for r in rows) and [r.relative_path for r in rows] == sorted(got)
     ok = ("python", None, b"x = 1\n")
     assert got == {"pkg/__init__.py": ok, "pkg/.hidden.py": ok, "pkg/a.py": ok, "build.py": ok, "readme.md": (None, "unsupported_language", None), "big.java": ("java", "file_too_large", None)}
 
@@ -228,24 +234,59 @@ def test_index_then_update_then_the_same_again(spark, repo, tmp_path):
     row = index.initial_index(files.select("path", F.lit(None).cast("string").alias("skip_reason")), nodes, str(tmp_path / "index")).first()
     assert (row.scanned_files, row.skipped_files, row.mismatch) == (3, 2, None) and row.upserted_nodes == row.verified_nodes == found.count()
     docs = documents.callable_documents(found)
-    flat = edges.withColumn("ordinal", F.col("ordinal.at"))
     stored = index.accepted_edges(edges, found).withColumn("ordinal", F.col("ordinal.at"))
-    change = spark.createDataFrame([(1, 0, "/r/g.py", "deleted"), (1, 1, "/r/one.py", "modified")], "diff_id long, file_ordinal int, path string, change_type string")
-    now = spark.createDataFrame([("/r/one.py", False)], "path string, parse_error boolean")
-    once = incremental.incremental_update(change, now, found, flat, found, stored, docs)
-    assert {r.path for r in once["nodes"].collect()} == {"/r/one.py", "/r/empty.py"} and {r.path for r in once["documents"].collect()} == {"/r/one.py"}
-    assert tuple(once["summary"].first())[0] == 2
-    twice = incremental.incremental_update(change, now, found, flat, once["nodes"], once["edges"], once["documents"])
-    for name in ("nodes", "edges", "documents"):
-        assert sorted(r.id for r in twice[name].collect()) == sorted(r.id for r in once[name].collect())
+    text = "".join(f"diff --git a/{p} b/{p}\n{m}--- a/{p}\n+++ b/{p}\n@@ -1 +1 @@\n" for p, m in (("g.py", "deleted file mode 1\n"), ("one.py", ""), ("empty.py", ""), ("gone.py", ""), ("x.md", "")))
+    change = incremental.stored_paths(diffs.parse_diffs(spark.createDataFrame([(1, text)], DIFF)), "/r")
+    now = spark.createDataFrame([("r", "/r/one.py", "python", bytearray(b"class B:\n    def k(self):\n        return 1\n")), ("r", "/r/empty.py", "python", bytearray(b"def (")), ("r", "/r/x.md", None, None), ("r", "/r/bin.py", "python", bytearray(b"z = 1"))], "repo_id string, path string, language string, content binary")
+    once = incremental.incremental_update(change, now, found, stored, docs)
+    names = {(r.path, r.kind, r.name) for r in once["nodes"].collect()}
+    assert names == {("/r/one.py", "file", "one.py"), ("/r/one.py", "class", "B"), ("/r/one.py", "method", "k"), ("/r/empty.py", "file", "empty.py")}
+    assert [(r.path, r.name) for r in once["documents"].collect()] == [("/r/one.py", "k")]
+    assert tuple(once["summary"].first()) == (5, 3, 2, 1, "ok")
+    twice = incremental.incremental_update(change, now, once["nodes"], once["edges"], once["documents"])
+    kept = sinks.Store(spark, str(tmp_path / "store"), buckets=4).create(found, stored, docs)
+    before = {name: set(kept._read(name).inputFiles()) for name in ("nodes", "edges", "documents")}
+    ids = lambda table: sorted(r.id for r in table.select("id").collect())
+    want = {name: ids(once[name]) for name in before}
+    assert {name: ids(twice[name]) for name in before} == want
+    for _ in range(2):
+        assert tuple(incremental.update_store(change, now, kept).first()) == (5, 3, 2, 1, "ok")
+        assert {name: ids(kept.read(name)) for name in before} == want
+    assert before["nodes"] - set(kept._read("nodes").inputFiles())
+
+
+def test_a_store_rewrites_only_what_is_touched(spark, tmp_path):
+    n, e = _graph(spark, [("calls", f"n{i}", f"n{i + 1}") for i in range(40)])
+    docs = n.select("id", "path", "language", F.col("id").alias("document"))
+    kept = sinks.Store(spark, str(tmp_path), buckets=32).create(n, e, docs)
+    files = lambda name: set(kept._read(name).inputFiles())
+    folders = lambda names: {f.rpartition("/")[0] for f in names}
+    old = files("nodes"), files("edges")
+    change = spark.createDataFrame([("/n7.py", "deleted")], "path string, status string")
+    kept.replace(change, n.limit(0), e.limit(0), docs.limit(0))
+    assert {r.id for r in kept.read("nodes").collect()} == {f"n{i}" for i in range(41)} - {"n7"}
+    assert {r.id for r in kept.read("edges").collect()} == {f"calls:n{i}->n{i + 1}" for i in range(40)} - {"calls:n6->n7", "calls:n7->n8"}
+    assert {r.path for r in kept.read("documents").collect()} == {f"/n{i}.py" for i in range(41)} - {"/n7.py"}
+    assert len(folders(old[0] - files("nodes"))) == 1 and len(folders(old[1] - files("edges"))) <= 2 and old[0] & files("nodes") and old[1] & files("edges")
+
+
+def test_two_repositories_with_the_same_paths(spark):
+    """The same sources under two roots give the same symbols and relations, each with its own ids."""
+    one, two = ([("r" + root, f"{root}/src/m.py", "python", bytearray(SOURCE)), ("r" + root, f"{root}/src/k.py", "python", bytearray(b"def helper():\n    return 1\n"))] for root in ("/a", "/b"))
+    files = "repo_id string, path string, language string, content binary"
+    both = [index.analyse(syntax.python_syntax_nodes(spark.createDataFrame(x, files))) for x in (one, two, one + two)]
+    ids = [[sorted(r.id for r in table.collect()) for table in pair] for pair in both]
+    for k in (0, 1):
+        assert sorted(ids[0][k] + ids[1][k]) == ids[2][k] and len(set(ids[2][k])) == len(ids[2][k])
+        assert [i.replace("/a/", "/b/") for i in ids[0][k]] == ids[1][k]
+    with pytest.raises(Exception, match="not an absolute path"):
+        symbols.extract_symbols(syntax.python_syntax_nodes(spark.createDataFrame([("r", "src/m.py", "python", bytearray(SOURCE))], files))).collect()
 
 
 def test_context_package(spark, repo):
     _, _, found, edges = repo
     text = "diff --git a/g.py b/g.py\n--- a/g.py\n+++ b/g.py\n@@ -18,1 +18,1 @@\ndiff --git a/none.py b/none.py\n--- a/none.py\n+++ b/none.py\n@@ -1 +1 @@\n"
-    f = diffs.parse_diffs(spark.createDataFrame([(1, text)], DIFF))
-    for c in ("path", "old_path", "new_path"):
-        f = f.withColumn(c, F.concat(F.lit("/r/"), c))
+    f = incremental.stored_paths(diffs.parse_diffs(spark.createDataFrame([(1, text)], DIFF)), "/r")
     docs = documents.callable_documents(found)
     vectors = found.select("id", F.array(F.length("code").cast("double"), F.lit(1.0)).alias("embedding"))
     stored = index.accepted_edges(edges, found)
@@ -264,19 +305,21 @@ def test_neighbours_from_the_graph_win(spark):
     assert sorted((r.source, r.symbol_id) for r in package.neighbor_code(graph, vector).collect()) == [("graph", "g"), ("vector", "w")]
 
 
-def test_the_stream_applies_diffs_once(spark, tmp_path):
-    table = updates.Versions(spark, str(tmp_path / "table"))
-    table.write(spark.createDataFrame([("a.py", 0), ("b.py", 0)], "path string, n int"), -1)
+def test_the_stream_applies_diffs_once(spark, repo, tmp_path):
+    _, _, found, edges = repo
+    stored = index.accepted_edges(edges, found).withColumn("ordinal", F.col("ordinal.at"))
+    kept = sinks.Store(spark, str(tmp_path / "store"), buckets=4).create(found, stored, documents.callable_documents(found))
+    now = spark.createDataFrame([("r", "/r/one.py", "python", bytearray(b"def k():\n    return 1\n"))], "repo_id string, path string, language string, content binary")
     (tmp_path / "in").mkdir()
-    apply = lambda files, rows: rows.join(files.select("path").distinct().withColumn("hit", F.lit(1)), "path", "left").select("path", (F.col("n") + F.coalesce("hit", F.lit(0))).alias("n"))
-    go = lambda: updates.stream_incremental_update(spark, str(tmp_path / "in"), str(tmp_path / "cp"), table, apply)
-    (tmp_path / "in/one.diff").write_text("diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n")
+    go = lambda: updates.stream_incremental_update(spark, str(tmp_path / "in"), str(tmp_path / "cp"), kept, lambda: now, "/r")
+    (tmp_path / "in/one.diff").write_text("diff --git a/one.py b/one.py\n--- a/one.py\n+++ b/one.py\n@@ -1 +1 @@\n")
     go()
     go()
-    assert {r.path: r.n for r in table.read().collect()} == {"a.py": 1, "b.py": 0}
-    (tmp_path / "in/two.diff").write_text("diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1 +1 @@\n")
+    assert {r.qualified_name for r in kept.read("nodes").where("path = '/r/one.py'").collect()} == {"/r/one.py", "k"} and kept.read("nodes").where("path = '/r/g.py'").count() > 5
+    assert [r.destination for r in kept.read("edges").where("path = '/r/one.py'").collect()] == ["k"]
+    (tmp_path / "in/two.diff").write_text("diff --git a/one.py b/one.py\ndeleted file mode 1\n--- a/one.py\n+++ /dev/null\n@@ -1 +0,0 @@\n")
     go()
-    assert {r.path: r.n for r in table.read().collect()} == {"a.py": 1, "b.py": 1}
+    assert kept.read("nodes").where("path = '/r/one.py'").count() == 0 and kept.read("documents").where("path = '/r/one.py'").count() == 0
 
 
 def test_sinks(spark, tmp_path):
