@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .decontaminate import let
 from .prp import key_of, permute
 from .shared import WORD, free_name, stage
 
@@ -121,7 +120,7 @@ class Plan:
         return chunks.select("shard", "src", "blocks", F.explode(js).alias("j")).select("shard", "src", choose("src", "blocks", "j").alias("block"))
 
     def taken(self) -> DataFrame:
-        """``(row, id, source, size, source_size, target, taken, spans)``; spans: (words, times) in the order of the text."""
+        """``(row, id, source, size, source_size, target, taken, spans)``; spans: (at, words, times) in the order of the text."""
         b = self.block
         sources = self.sources.withColumnRenamed("source", "name").drop("blocks", "due")
         sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
@@ -131,11 +130,11 @@ class Plan:
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
         cut = rows.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         begin = F.greatest("start", F.col("block") * b)
-        cut = cut.select("row", "src", "block", (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("words"))
+        cut = cut.select("row", "src", "block", (begin - F.col("start")).alias("at"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("words"))
         # Both sides grow with the corpus, and the counts compress so well that they would pass for a small table.
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times")).hint("merge")
         used = cut.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-        used = used.groupBy("row").agg(F.sum(F.expr("words * times")).alias("taken"), F.sort_array(F.collect_list(F.struct("block", "words", "times"))).alias("spans"))
+        used = used.groupBy("row").agg(F.sum(F.expr("words * times")).alias("taken"), F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("spans"))
         kept = ["row", "id", "source", "size", "source_size", "target"]
         return rows.select(*kept).join(used, "row", "left").select(*kept, F.coalesce("taken", F.lit(0)).alias("taken"), "spans")
 
@@ -155,23 +154,18 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return Plan(rows, **how).taken().select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _copies(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, parts in zip(texts, spans):
-        copies = []
-        for k in range(1, max((p["times"] for p in parts), default=0) + 1):
-            if all(p["times"] >= k for p in parts):
-                copies.append(text)
-                continue
-            words, at, some = re.findall(WORD, text), 0, []
-            for p in parts:
-                if p["times"] >= k:
-                    some += words[at : at + p["words"]]
-                at += p["words"]
-            copies.append(" ".join(some))
-        out.append(copies)
-    return pd.Series(out)
+def _copies(text, spans):
+    """The copies of a text: the k-th has the words of the spans that are taken at least k times, or is the whole text."""
+
+    def of(words):
+        def copy(k):
+            some = F.filter(spans, lambda p: p.times >= k)
+            part = F.flatten(F.transform(some, lambda p: F.slice(words, (p.at + 1).cast("int"), p.words.cast("int"))))
+            return F.when(F.size(some) == F.size(spans), text).otherwise(F.array_join(part, " "))
+
+        return F.transform(F.sequence(F.lit(1), F.array_max(F.transform(spans, lambda p: p.times)).cast("int")), copy)
+
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
