@@ -9,7 +9,7 @@ from .functions import text as tx
 from .operators import changed, diffs, documents, explore, package, relations, store, symbols, update
 from .plans import context, incremental, index
 from .sources import scan, sinks, syntax
-from .sources.shared import shared_path
+from .sources.shared import shared_path, stage
 from .streaming import updates
 
 QUERIES: dict = {}
@@ -598,11 +598,11 @@ def paths_to_replace(s, d):
 def _graph_tables(s, d):
     """A graph of the files' symbols, and new rows for the changed files: their symbols of even lines."""
     cols = ["id", "kind", "path", "qualified_name", "ordinal"]
-    n = fx.all_symbols(s, d).select(*cols)
-    e = relations.contains_edges(fx.all_symbols(s, d)).select("id", "kind", "path", "source_id", "destination_id", F.col("ordinal.at").alias("ordinal"))
-    e = store.dedupe_first(e)
-    gone = update.paths_to_replace(update.last_per_path(_changes(s, d)))
-    fresh = update.last_per_path(_changes(s, d)).where("status = 'analysed'").select("path")
+    n = stage(fx.all_symbols(s, d).select(*cols, "parent_name", "start_line"), "nodes")
+    e = relations.contains_edges(n).select("id", "kind", "path", "source_id", "destination_id", F.col("ordinal.at").alias("ordinal"))
+    n, e = n.select(*cols), stage(store.dedupe_first(e), "edges")
+    last = stage(update.last_per_path(_changes(s, d)), "last")
+    gone, fresh = update.paths_to_replace(last), last.where("status = 'analysed'").select("path")
     new_nodes = n.where("ordinal % 2 = 0").join(fresh, "path", "left_semi")
     new_edges = e.where("ordinal % 2 = 0").join(fresh, "path", "left_semi")
     return n, e, gone, new_nodes, new_edges
@@ -738,24 +738,41 @@ def changed_code_context(s, d):
 
 
 def _package(s, d):
-    sym = fx.all_symbols(s, d)
-    e = store.dedupe_first(relations.contains_edges(sym)).drop("ordinal", "metadata")
-    docs = _documents(s, d)
+    sym = stage(fx.all_symbols(s, d), "symbols")
+    plain = sym.where("kind <> 'file'")
+    e = stage(store.dedupe_first(relations.contains_edges(sym)).drop("ordinal", "metadata"), "edges")
+    docs = stage(documents.callable_documents(plain), "documents")
     v = fx.vectors(s, d).select(F.substring("id", 2, 8).cast("long").alias("k"), "embedding")
     k = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % max(v.count(), 1)
     placed = lambda df: df.select("id", k.alias("k")).join(v, "k").select("id", "embedding")
-    return context.context_package(fx.diff_files(s, d), fx.repo_files(s, d), fx.symbols(s, d), sym, e, docs, placed(fx.symbols(s, d)))
+    return context.context_package(stage(fx.diff_files(s, d), "diffs"), fx.repo_files(s, d), plain, sym, e, docs, stage(placed(plain), "vectors"))
 
 
 _ADJ = f"(SELECT source_id AS here, destination_id AS there, id FROM {_E} UNION ALL SELECT destination_id, source_id, id FROM {_E} WHERE source_id <> destination_id)"
 
 
+_WALK = f"(SELECT DISTINCT diff_id, symbol_id, there FROM (SELECT t.diff_id, t.symbol_id, a.there FROM {_TOUCHED} t JOIN {_ADJ} a ON a.here = t.symbol_id UNION ALL SELECT t.diff_id, t.symbol_id, b.there FROM {_TOUCHED} t JOIN {_ADJ} a ON a.here = t.symbol_id JOIN {_ADJ} b ON b.here = a.there AND b.id <> a.id) WHERE there <> symbol_id)"
+_OTHER = f"NOT EXISTS (SELECT 1 FROM {_TOUCHED} t WHERE t.diff_id = a.diff_id AND t.symbol_id = a.id)"
+_P_GRAPH = f"(SELECT a.diff_id, s.id AS symbol_id, s.qualified_name, trim(s.code) AS code, row_number() OVER (PARTITION BY a.diff_id ORDER BY s.path, s.start_line, s.end_line, s.qualified_name, s.id) AS place FROM (SELECT DISTINCT diff_id, there AS id FROM {_WALK}) a JOIN fx_symbols s ON s.id = a.id WHERE trim(s.code) <> '' AND {_OTHER})"
+_KEY = "('0x' || substr(md5(id), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS k"
+_DIST = "(SELECT a.vec_id AS qk, b.vec_id AS k, list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM embeddings a, embeddings b)"
+_P_HITS = f"(SELECT x.qk, d.language, d.id, row_number() OVER (PARTITION BY x.qk, d.language ORDER BY x.dist, d.id) AS rank FROM {_DIST} x JOIN (SELECT id, language, {_KEY} FROM fx_callable) d ON d.k = x.k)"
+_P_SEEDS = f"(SELECT o.diff_id, o.symbol_id, any_value(s.language) AS language, any_value(s.k) AS k, min([o.event_id, o.symbol_ordinal]) AS seen FROM fx_overlaps o JOIN fx_repo r ON r.path = o.path AND NOT r.parse_error JOIN (SELECT id, language, {_KEY} FROM fx_symbols WHERE trim(code) <> '') s ON s.id = o.symbol_id {_SEEDS_ONLY} GROUP BY o.diff_id, o.symbol_id)"
+_P_FIRST = f"(SELECT a.diff_id, a.id, min([a.seen[1], a.seen[2], a.rank]) AS seen FROM (SELECT q.diff_id, q.seen, h.id, h.rank FROM {_P_SEEDS} q JOIN {_P_HITS} h ON h.qk = q.k AND h.language = q.language AND h.rank <= 5) a WHERE {_OTHER} GROUP BY a.diff_id, a.id)"
+_P_VECTOR = f"(SELECT f.diff_id, f.id AS symbol_id, c.qualified_name, trim(c.document) AS code, row_number() OVER (PARTITION BY f.diff_id ORDER BY f.seen, f.id) AS place FROM {_P_FIRST} f JOIN fx_callable c ON c.id = f.id)"
+_PLAIN = "array_to_string(list_transform(string_split(trim(code, ' ' || chr(10)), chr(10)), lambda x: trim(x)), chr(10))"
+_P_NEAR = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, qualified_name, {_PLAIN} ORDER BY source, place) AS rn FROM (SELECT *, 'graph' AS source FROM {_P_GRAPH} WHERE place <= 10 UNION ALL SELECT *, 'vector' FROM {_P_VECTOR} WHERE place <= 5)) WHERE rn = 1)"
+
+
 @query(
-    f"SELECT f.diff_id, f.n AS changed_files, coalesce(t.n, 0) AS changed_symbols, coalesce(t.m, 0) AS modified_code, coalesce(p.n, 0) AS graph_paths FROM (SELECT diff_id, count(DISTINCT path) AS n FROM fx_hunks GROUP BY diff_id) f LEFT JOIN (SELECT diff_id, count(*) AS n, count(*) FILTER (trim(s.code) <> '') AS m FROM {_TOUCHED} x JOIN fx_symbols s ON s.id = x.symbol_id GROUP BY diff_id) t ON t.diff_id = f.diff_id LEFT JOIN (SELECT diff_id, count(*) AS n FROM (SELECT DISTINCT diff_id, symbol_id, there FROM (SELECT t.diff_id, t.symbol_id, a.there FROM {_TOUCHED} t JOIN {_ADJ} a ON a.here = t.symbol_id UNION ALL SELECT t.diff_id, t.symbol_id, b.there FROM {_TOUCHED} t JOIN {_ADJ} a ON a.here = t.symbol_id JOIN {_ADJ} b ON b.here = a.there AND b.id <> a.id) WHERE there <> symbol_id) GROUP BY diff_id) p ON p.diff_id = f.diff_id"
+    f"SELECT f.diff_id, f.n AS changed_files, coalesce(t.n, 0) AS changed_symbols, coalesce(t.m, 0) AS modified_code, coalesce(p.n, 0) AS graph_paths, coalesce(c.n, 0) AS neighbor_code, coalesce(c.digest, 0) AS neighbors FROM (SELECT diff_id, count(DISTINCT path) AS n FROM fx_hunks GROUP BY diff_id) f LEFT JOIN (SELECT diff_id, count(*) AS n, count(*) FILTER (trim(s.code) <> '') AS m FROM {_TOUCHED} x JOIN fx_symbols s ON s.id = x.symbol_id GROUP BY diff_id) t ON t.diff_id = f.diff_id LEFT JOIN (SELECT diff_id, count(*) AS n FROM {_WALK} GROUP BY diff_id) p ON p.diff_id = f.diff_id LEFT JOIN (SELECT diff_id, count(*) AS n, {_DIGEST.format("concat_ws('|', source, symbol_id)")} AS digest FROM {_P_NEAR} GROUP BY diff_id) c ON c.diff_id = f.diff_id"
 )
 def context_package(s, d):
+    """Sizes of the packages' parts, and which neighbours each has from which source."""
     p = _package(s, d)
-    return p.select("diff_id", *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c) for c in ("changed_files", "changed_symbols", "modified_code", "graph_paths")])
+    mark = F.transform("neighbor_code", lambda x: F.conv(F.substring(F.md5(F.concat_ws("|", x.source, x.symbol_id)), 1, 8), 16, 10).cast("long"))
+    sizes = [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(c) for c in ("changed_files", "changed_symbols", "modified_code", "graph_paths", "neighbor_code")]
+    return p.select("diff_id", *sizes, F.coalesce(F.aggregate(mark, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).alias("neighbors"))
 
 
 @query()
