@@ -71,6 +71,20 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_crowded_buckets_find_what_pairs_find(spark, monkeypatch):
+    """Fingerprints that agree on a whole mask, with buckets above and below the size that is compared pair by pair."""
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    prints = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(60)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(prints)], "fp long, node long")
+    want = _roots(range(len(prints)), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    for size in (0, 16, 10**6):
+        monkeypatch.setattr(simhash, "PAIRS", size)
+        links = simhash.near_links(df).collect()
+        assert _roots(range(len(prints)), [(r.a, r.b) for r in links]) == want
+        assert all((prints[r.a] ^ prints[r.b]).bit_count() <= 2 for r in links)
+
+
 def test_a_bit_is_set_by_more_than_half_of_the_shingles():
     import xxhash
 

@@ -67,6 +67,18 @@ def test_stages(spark, sf_dir):
         assert sorted(r.slot for r in last if r.shard == s) == list(range(len(last) // 16 + (s < len(last) % 16)))
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Columns with the names that stages use inside are kept as they are; all texts are clean and differ."""
+    rng = random.Random(5)
+    names = ("spans", "row", "doc", "found_lang", "found_score", "part", "at", "got", "h", "node", "item", "src")
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)), "yy", "s", 9, *[f"{n}{i}" for n in names]) for i in range(20)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, sf_dir), name)
+        got = docs.collect()
+        assert len(got) == 20 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+
+
 def test_run_is_the_registered_query(spark, sf_dir):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     a, b = (sorted((r.doc_id, r.text) for r in corpus_pipeline.run(spark, sf_dir).collect()) for _ in range(2))
