@@ -17,8 +17,8 @@ from .shared import WORD, free_name, stage
 WEIGHTS, CAP, SHARDS, BLOCK_WORDS, SEED = (5, 2, 1), 3, 16, 32, 10
 #: Running sums are made in chunks of about so many rows, and chunks are summed in runs of so many.
 CHUNK_ROWS, RUN = 128, 4096
-#: Slots are listed in chunks of so many.
-CHUNK_SLOTS = 1 << 16
+#: Slots are listed in chunks of so many, and dealt to tasks of about so many.
+CHUNK_SLOTS, TASK_SLOTS = 1 << 14, 1 << 18
 #: The table of sources is broadcast up to so many sources (under 200 bytes each, longer names apart).
 BROADCAST_SOURCES = 100_000
 
@@ -115,7 +115,9 @@ class Plan:
         shards = self.shard_counts().withColumn("ends", sums).select("src", "blocks", F.posexplode("counts").alias("shard", "n"), "ends").where("n > 0")
         shards = shards.withColumn("first", F.get("ends", F.col("shard")) - F.col("n"))
         chunks = shards.select("shard", "src", "blocks", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK_SLOTS).cast("long"))).alias("at"))
-        chunks = chunks.repartition("src", "shard", "at")
+        # A chunk is a short row that many slots come of, so the number of tasks is set by the slots, not by bytes.
+        tasks = 1 + (self.sources.agg(F.coalesce(F.sum("due"), F.lit(0))).first()[0] // TASK_SLOTS)
+        chunks = chunks.repartition(tasks, "src", "shard", "at")
         js = F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + CHUNK_SLOTS, F.col("n")) - 1)
         return chunks.select("shard", "src", "blocks", F.explode(js).alias("j")).select("shard", "src", choose("src", "blocks", "j").alias("block"))
 

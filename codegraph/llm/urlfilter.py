@@ -95,15 +95,14 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     """``urls(url)``, distinct and not null -> ``(url, score)``: the mean over bytes of log P(allow) - log P(block); 0 for an empty URL.
 
     Each distinct gram is looked up once; URLs then collect the ratios of their grams. Sums are of whole parts of
-    2**-40, so their order doesn't matter.
+    2**-32, so their order doesn't matter.
     """
     numbered = urls.select("url", F.xxhash64("url").alias("u1"), F.xxhash64(F.lit(FOLD), "url").alias("u2"))
-    placed = numbered.where("url <> ''").select("u1", "u2", F.explode(_grams(F.col("url"))).alias("gram")).groupBy("u1", "u2", "gram").agg(F.count("*").alias("n"))
-    placed = stage(placed, "grams")
+    placed = stage(numbered.where("url <> ''").select("u1", "u2", F.explode(_grams(F.col("url"))).alias("gram")), "grams")
     ratios = stage(_ratios(placed.select("gram").distinct(), model), "ratios")
-    part = F.round(F.col("ratio") * F.lit(float(1 << 40))).cast("long") * F.col("n")
-    sums = placed.join(ratios, "gram").groupBy("u1", "u2").agg(F.sum(part.cast("decimal(38,0)")).alias("s"), F.sum("n").alias("n"))
-    return numbered.join(sums, ["u1", "u2"], "left").select("url", F.coalesce(F.col("s").cast("double") / F.lit(float(1 << 40)) / F.col("n"), F.lit(0.0)).alias("score"))
+    part = F.round(F.col("ratio") * F.lit(float(1 << 32))).cast("long")
+    sums = placed.join(ratios, "gram").groupBy("u1", "u2").agg(F.sum(part).alias("s"), F.count("*").alias("n"))
+    return numbered.join(sums, ["u1", "u2"], "left").select("url", F.coalesce(F.col("s").cast("double") / F.lit(float(1 << 32)) / F.col("n"), F.lit(0.0)).alias("score"))
 
 
 def threshold_of(fold: DataFrame) -> float:
