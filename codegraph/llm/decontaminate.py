@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import stage
+from .shared import free_name, stage
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: The filter of benchmark shingles has from 2**MIN_BITS to 2**MAX_BITS bits (512 KB), about 16 for each shingle.
@@ -135,11 +135,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **h
 
 
 def drop_rows(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a test item. Rows are told apart by their place, so equal or missing ids don't matter."""
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
-    texts = rows.select("row", F.lit(None).cast("long").alias("doc_id"), F.col(f"doc.{text_col}").alias(text_col))
-    leaks = _pairs(texts, items, k, threshold, item_id, text_col).select("row").distinct()
-    return rows.join(leaks, "row", "left_anti").select("doc.*")
+    """``docs`` without the rows that hold a test item, whatever their ids.
+
+    Whether a row goes depends on its text alone, so texts are judged once each and told apart by 128 bits of hashes.
+    Null and empty texts stay; repeated rows go or stay together.
+    """
+    one, two = free_name("text_hash", docs), free_name("text_hash2", docs)
+    hashes = [F.xxhash64(text_col).alias(one), F.xxhash64(F.lit(k), F.col(text_col)).alias(two)]
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.struct(*hashes).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias(text_col))
+    leaks = stage(_pairs(texts, items, k, threshold, item_id, text_col).select(F.col(f"row.{one}").alias(one), F.col(f"row.{two}").alias(two)).distinct(), "leaks")
+    return docs.select("*", *hashes).join(leaks, [one, two], "left_anti").select(*docs.columns)
 
 
 #: The same pairs in DuckDB. Documents give shingles of five words, and of as many as a shorter item has.
