@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, mixing, multiindex, pseudonyms, sharding, simhash, urlfilter, warc
+from . import alignment, decontaminate, hard_negatives, langid, licences, mixing, multiindex, pieces, pseudonyms, sharding, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,31 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_pseudonyms, op4_multiindex, op5_urlfilter, op6_langid, op7_licences, op8_decontaminate, op9_shard, op10_mix)}
+def tokenizer_file(name: str) -> str:
+    """Where the machine has a public tokenizer's file."""
+    import public_tokenizers
 
-ORACLE_SQL = {"op7_licences": licences.oracle_sql(), "op8_decontaminate": decontaminate.ORACLE_SQL}
+    return public_tokenizers.path(name)
+
+
+def op11_pieces(spark, sf_dir):
+    model = tokenizer_file("piece_bpe_32k.model")
+    ids = pieces.encode(_table(spark, sf_dir, "documents"), model)
+    decoded = ids.select("doc_id", "piece_ids", pieces.decode(F.col("piece_ids"), model).alias("text"))
+    digest = F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256)
+    return decoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark, sf_dir):
+    return alignment.link_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_pseudonyms, op4_multiindex, op5_urlfilter, op6_langid, op7_licences, op8_decontaminate, op9_shard, op10_mix, op11_pieces, op12_alignment, op13_hard_negatives)}
+
+ORACLE_SQL = {"op7_licences": licences.oracle_sql(), "op8_decontaminate": decontaminate.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
