@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -15,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .shared import stage
 
 MARK = "▁"
 #: A run of marks with what follows up to the next; only at the start of a text there may be none.
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words that a task segments at once.
-WORDS = 4096
+#: Words that the library segments at once, and rows of words that a task holds.
+WORDS, HELD = 4096, 1 << 18
+#: Characters of text in a block.
+BLOCK_CHARS = 16 << 20
 
 
 @cache
@@ -64,7 +64,7 @@ def segment(words: list[str], model: str) -> list[list[int]]:
 
 def _code(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, ids in blocks.of_texts(batches):
+        for texts, ids in blocks.of_texts(batches, BLOCK_CHARS):
             codes, known, lengths = [], {}, []
             for text in texts:
                 words = marked_words(text, model)
@@ -75,18 +75,52 @@ def _code(model: str):
     return run
 
 
+def _segment(model: str):
+    """Rows ``(word, block, at)`` in the order of the words -> for each block many of its words at once, packed."""
+
+    def packed(words, blocks_, at) -> Iterator[pa.RecordBatch]:
+        first = np.concatenate([[True], words[1:] != words[:-1]])
+        lists = pa.array([ids for part in np.array_split(words[first], len(words) // WORDS + 1) for ids in segment(part.tolist(), model)], pa.list_(pa.int32()))
+        begins, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        which = np.cumsum(first) - 1
+        order = np.argsort(blocks_, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(blocks_[order])) + 1):
+            begin, size = begins[which[part]], begins[which[part] + 1] - begins[which[part]]
+            yield blocks.row_of({"block": int(blocks_[part[0]]), "at": blocks.pack(at[part]), "sizes": blocks.pack(size), "pieces": blocks.pack(_gather(values, begin, size))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += len(batch)
+            if n >= HELD:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                # The last word goes on in the next rows, so that it is segmented once.
+                cut = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
+                if cut:
+                    yield from packed(*[c[:cut] for c in rows])
+                held, n = [[c[cut:] for c in rows]], n - cut
+        if n:
+            yield from packed(*[np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _expand(id_type: pa.DataType, id_name: str):
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         lengths, codes = (blocks.unpack(block.column(c)[0].as_py()) for c in ("lengths", "codes"))
-        order = np.argsort(words.column("at").to_numpy())
-        lists = words.column("pieces").combine_chunks()
-        begins, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        begin, size = begins[:-1][order][codes], np.diff(begins)[order][codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        pieces = values[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
+        at, sizes, values = (np.concatenate([np.zeros(0, np.int64), *map(blocks.unpack, words.column(c).to_pylist())]) for c in ("at", "sizes", "pieces"))
+        order = np.argsort(at)
+        begin, size = (np.cumsum(sizes) - sizes)[order][codes], sizes[order][codes]
+        offsets = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])]
         ids = block.column("ids").combine_chunks().flatten()
-        return pa.table({id_name: ids.cast(id_type), "piece_ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pieces, pa.int32()))})
+        return pa.table({id_name: ids.cast(id_type), "piece_ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_gather(values, begin, size), pa.int32()))})
 
     return run
 
@@ -96,27 +130,19 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     Pieces of the model never hold a whitespace mark after another character (else this raises), so no merge crosses the
     start of a marked word. Each distinct word of the corpus is segmented once; a text is the ids of its words by
-    position. Documents are coded by blocks of about 4 million characters, so a word meets the table once for each block
-    that has it, and the most frequent words are broadcast. Null and empty texts have no ids; rows with equal or null
-    ids are rows like others; further columns are not read. A longer text is a block of its own.
+    position. Documents are coded by blocks of about 16 million characters, a longer text by itself, so a word has one row
+    for each block that it is in; rows of a word follow each other in a partition, which holds a few at a time. Null
+    and empty texts have no ids; rows with equal or null ids are rows like others; further columns are not read.
     """
     check(model)
     id_field = docs.schema[id_col]
     schema = T.StructType([T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("lengths", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
     coded = blocks.numbered(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string")).mapInArrow(_code(model), schema), "coded")
     words = coded.select("block", F.posexplode("words").alias("at", "word"))
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), WORDS):
-                part = frame.iloc[at : at + WORDS]
-                yield pd.DataFrame({"word": part["word"], "weight": part["weight"], "pieces": segment(list(part["word"]), model)})
-
-    table = stage(words.groupBy("word").agg(F.count("*").alias("weight")).mapInPandas(cut, "word string, weight long, pieces array<int>"), "words")
-    found = blocks.lookup(words, table, ["word"]).select(F.col("block").alias("block"), "at", "pieces")
+    found = words.select("word", "block", "at").repartition("word").sortWithinPartitions("word").mapInArrow(_segment(model), "block long, at binary, sizes binary, pieces binary")
     out = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    id_type = _arrow_type(id_field.dataType)
-    return coded.select("block", "ids", "lengths", "codes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_expand(id_type, id_col), out)
+    whole = coded.select("block", "ids", "lengths", "codes").groupBy("block")
+    return whole.cogroup(found.groupBy("block")).applyInArrow(_expand(_arrow_type(id_field.dataType), id_col), out)
 
 
 def _arrow_type(data_type: T.DataType) -> pa.DataType:
