@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .pieces import MARK, _arrow_type, processor
+from .pieces import MARK, _arrow_type, _gather, processor
 from .shared import stage
 
-#: Characters of text that a block has: its links are held at once.
-BLOCK_CHARS = 1 << 20
-#: Texts of so many characters are tokenized at once.
-BATCH_CHARS = 1 << 17
+#: Characters of text that a block has.
+BLOCK_CHARS = 16 << 20
+#: Words, and characters of texts, that are tokenized at once.
+WORDS, BATCH_CHARS = 4096, 1 << 17
 
 
 class Side:
@@ -28,7 +29,7 @@ class Side:
 
     def __init__(self, encode, tokens: list[bytes]):
         self.encode, self.tokens = encode, tokens
-        self.widths, self.names = np.array([len(t) for t in tokens], np.int64), [str(i) for i in range(len(tokens))]
+        self.widths, self.names = [len(t) for t in tokens], [str(i) for i in range(len(tokens))]
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -61,7 +62,7 @@ def sentence_pieces(path: str) -> Side:
 
 def ends_of(ids: list[int], side: Side) -> dict[int, int]:
     """For each byte offset at which a token ends, how many tokens have ended there."""
-    return dict(zip(np.cumsum(side.widths[ids]).tolist(), range(1, len(ids) + 1)))
+    return dict(zip(accumulate(map(side.widths.__getitem__, ids)), count(1)))
 
 
 def cuts(a: list[int], b: list[int], left: Side, right: Side) -> tuple[list[int], list[int]]:
@@ -74,31 +75,28 @@ def cuts(a: list[int], b: list[int], left: Side, right: Side) -> tuple[list[int]
     return [ends_a[e] for e in common], [ends_b[e] for e in common]
 
 
-def links(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int], left: Side, right: Side) -> tuple[np.ndarray, np.ndarray]:
-    """The places in ``a`` and in ``b`` of all pairs of tokens whose byte ranges overlap, group by group."""
-    end_a, end_b = np.array(cut_a, np.int64), np.array(cut_b, np.int64)
-    size_a, size_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
-    # A group with one token on a side links it with all of the other side.
-    single = (size_a == 1) | (size_b == 1)
-    n = np.maximum(size_a, size_b)[single]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    i = np.repeat((end_a - size_a)[single], n) + np.where(np.repeat(size_a[single], n) > 1, step, 0)
-    j = np.repeat((end_b - size_b)[single], n) + np.where(np.repeat(size_b[single], n) > 1, step, 0)
-    more_i, more_j = [], []
-    for g in np.flatnonzero(~single):
-        x, y, stop = int(end_a[g] - size_a[g]), int(end_b[g] - size_b[g]), int(end_a[g])
-        at_x, at_y = left.widths[a[x]], right.widths[b[y]]
-        while x < stop:
-            more_i.append(x)
-            more_j.append(y)
-            shift = at_x - at_y
-            if shift <= 0:
-                x += 1
-                at_x += left.widths[a[x]] if x < stop else 0
-            if shift >= 0 and x < stop:
-                y += 1
-                at_y += right.widths[b[y]]
-    return np.concatenate([i, np.array(more_i, np.int64)]), np.concatenate([j, np.array(more_j, np.int64)])
+def links(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int], left: Side, right: Side) -> list[int]:
+    """The pairs of ids (``pair``) of all pairs of tokens whose byte ranges overlap, group by group."""
+    out, x, y = [], 0, 0
+    for i, j in zip(cut_a, cut_b):
+        if i == x + 1 or j == y + 1:
+            # A token that is alone on its side is linked with all of the other side.
+            out += [s << 32 | t for s in a[x:i] for t in b[y:j]]
+        else:
+            at_x, at_y = left.widths[a[x]], right.widths[b[y]]
+            while True:
+                out.append(pair(a[x], b[y]))
+                shift = at_x - at_y
+                x, y = x + (shift <= 0), y + (shift >= 0)
+                if x == i or y == j:
+                    break
+                at_x, at_y = at_x + (left.widths[a[x]] if shift <= 0 else 0), at_y + (right.widths[b[y]] if shift >= 0 else 0)
+        x, y = i, j
+    return out
+
+
+def pair(a: int, b: int) -> int:
+    return a << 32 | b
 
 
 def tokens_of(texts: list[str], left: Side, right: Side) -> list[tuple[list[int], list[int]]]:
@@ -114,15 +112,20 @@ def tokens_of(texts: list[str], left: Side, right: Side) -> list[tuple[list[int]
     return out
 
 
-def _batches(texts: list[str]) -> Iterator[list[str]]:
-    some, held = [], 0
-    for t in texts:
-        some.append(t)
-        held += len(t)
-        if held > BATCH_CHARS:
-            yield some
-            some, held = [], 0
-    yield some
+def words_of(text: str) -> list[str]:
+    """A space and the text, cut before each space between a character that is no space and one that is not blank.
+
+    No token of either side crosses such a place: a pattern of the left side begins there, and pieces of the right side
+    have marks at their start alone. So tokens, groups and links of a text are those of its words.
+    """
+    out, open_ = [], False
+    for part in text.split(" "):
+        if open_ and part and not part[0].isspace() or not out:
+            out.append(" " + part)
+        else:
+            out[-1] += " " + part
+        open_ = part != ""
+    return out
 
 
 def groups_text(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int], left: Side, right: Side) -> str:
@@ -138,29 +141,47 @@ def groups_text(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int],
 PER_DOCUMENT = ("n_a", "n_b", "n_groups", "n_links")
 
 
+class Words:
+    """Distinct words, aligned: ``good`` unless bytes differ, counts as in PER_DOCUMENT, groups as text, and all links."""
+
+    def __init__(self, words: list[str], left: Side, right: Side):
+        self.good, self.counts, self.groups, self.links = [], [], [], []
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            for w, a, b in zip(part, left.encode(part), right.encode([w[1:] for w in part])):
+                good = b"".join(map(left.tokens.__getitem__, a)) == w.encode() == b"".join(map(right.tokens.__getitem__, b))
+                self.good.append(good)
+                if not good:
+                    a, b = [], []
+                cut_a, cut_b = cuts(a, b, left, right)
+                before = len(self.links)
+                self.links += links(a, b, cut_a, cut_b, left, right)
+                self.groups.append(groups_text(a, b, cut_a, cut_b, left, right))
+                self.counts += (len(a), len(b), len(cut_a), len(self.links) - before)
+
+
 def _align(left_path: str, right_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = byte_level(left_path), sentence_pieces(right_path)
         for texts, ids in blocks.of_texts(batches, BLOCK_CHARS):
-            counts, digests, pairs = {c: [] for c in PER_DOCUMENT}, [], []
-            for some in _batches(texts):
-                for a, b in tokens_of(some, left, right):
-                    cut_a, cut_b = cuts(a, b, left, right)
-                    i, j = links(a, b, cut_a, cut_b, left, right)
-                    for c, n in zip(PER_DOCUMENT, (len(a), len(b), len(cut_a), len(i))):
-                        counts[c].append(n)
-                    digests.append(hashlib.sha256(groups_text(a, b, cut_a, cut_b, left, right).encode()).hexdigest() if a else "")
-                    pairs.append((np.array(a, np.int64)[i] << 32) | np.array(b, np.int64)[j])
-            known, codes, met = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
-            lengths, own, times = [], [], []
-            for part in np.split(codes, np.cumsum([len(p) for p in pairs])[:-1]):
-                some, n = np.unique(part, return_counts=True)
-                lengths.append(len(some))
-                own.append(some)
-                times.append(n)
-            packed = {"lengths": blocks.pack(lengths), "codes": blocks.pack(np.concatenate(own)), "times": blocks.pack(np.concatenate(times))}
-            numbers = {c: pa.array(v, pa.int64()) for c, v in counts.items()}
-            yield blocks.row_of({"ids": ids, **numbers, "groups_sha256": pa.array(digests, pa.string()), **packed, "a": pa.array(known >> 32, pa.int32()), "b": pa.array(known & 0xFFFFFFFF, pa.int32()), "met": pa.array(met, pa.int64())})
+            # Each distinct word of the block is tokenized and aligned once.
+            known: dict[str, int] = {}
+            coded = [np.array([known.setdefault(w, len(known)) for w in words_of(t)] if t else [], np.uint32) for t in texts]
+            words = Words(list(known), left, right)
+            good, counts = np.array(words.good, bool), np.array(words.counts, np.int64).reshape(-1, 4)
+            coded = [c if good[c].all() else c[:0] for c in coded]
+            totals = np.array([counts[c].sum(axis=0) for c in coded], np.int64).reshape(-1, 4)
+            digests = [hashlib.sha256(";".join(map(words.groups.__getitem__, c.tolist())).encode()).hexdigest() if len(c) else "" for c in coded]
+            pairs, of_link = np.unique(np.array(words.links, np.int64), return_inverse=True)
+            size = counts[:, 3]
+            begin = np.cumsum(size) - size
+            own = [np.unique(_gather(of_link, begin[c], size[c]), return_counts=True) for c in coded]
+            codes, times = (np.concatenate([o[i] for o in own]) for i in (0, 1))
+            met = np.bincount(codes, weights=times, minlength=len(pairs)).astype(np.int64)
+            packed = {"lengths": blocks.pack([len(o[0]) for o in own]), "codes": blocks.pack(codes), "times": blocks.pack(times)}
+            numbers = {c: pa.array(totals[:, i], pa.int64()) for i, c in enumerate(PER_DOCUMENT)}
+            used = np.flatnonzero(met)
+            yield blocks.row_of({"ids": ids, **numbers, "groups_sha256": pa.array(digests, pa.string()), **packed, "at": pa.array(used, pa.int32()), "a": pa.array(pairs[used] >> 32, pa.int32()), "b": pa.array(pairs[used] & 0xFFFFFFFF, pa.int32()), "met": pa.array(met[used], pa.int64())})
 
     return run
 
@@ -168,8 +189,11 @@ def _align(left_path: str, right_path: str):
 def _sum(id_type: pa.DataType, id_name: str):
     def run(block: pa.Table, pairs: pa.Table) -> pa.Table:
         lengths, codes, times = (blocks.unpack(block.column(c)[0].as_py()) for c in ("lengths", "codes", "times"))
-        order = np.argsort(pairs.column("at").to_numpy())
-        count, best = pairs.column("links").to_numpy()[order], pairs.column("links").to_numpy()[order] == pairs.column("most").to_numpy()[order]
+        at = pairs.column("at").to_numpy()
+        count = np.zeros(at.max(initial=-1) + 1, np.int64)
+        best = np.zeros(len(count), bool)
+        count[at] = pairs.column("links").to_numpy()
+        best[at] = pairs.column("links").to_numpy() == pairs.column("most").to_numpy()
         ends = np.concatenate([[0], np.cumsum(lengths)])
         part = lambda x: (lambda s: s[ends[1:]] - s[ends[:-1]])(np.concatenate([[0], np.cumsum(x)]))
         of = lambda c: block.column(c).combine_chunks().flatten()
@@ -206,19 +230,19 @@ def link_counts(docs: DataFrame, left: str, right: str, id_col: str = "doc_id",
     included, ``count_sum`` adds the counts of all links. Tokens, groups and texts without tokens are those of
     :func:`align`; texts without tokens have zeros and an empty digest. Rows with equal or null ids are rows like others.
 
-    Documents are aligned by blocks. A block lists its distinct pairs once, with how often it has each; these are summed
-    over the corpus, and the counts go back to the blocks. The highest count is known for each right id, at most the
+    Documents are aligned by blocks, each distinct word of a block once, as no group crosses the space before a word. A
+    block lists its distinct pairs once, with how often it has each; these are summed over the corpus, and the counts go back to the blocks. The highest count is known for each right id, at most the
     vocabulary, which is broadcast.
     """
     id_field = docs.schema[id_col]
-    fields = [("ids", T.ArrayType(id_field.dataType)), *[(c, T.ArrayType(T.LongType())) for c in PER_DOCUMENT], ("groups_sha256", T.ArrayType(T.StringType())), *[(c, T.BinaryType()) for c in ("lengths", "codes", "times")], ("a", T.ArrayType(T.IntegerType())), ("b", T.ArrayType(T.IntegerType())), ("met", T.ArrayType(T.LongType()))]
+    fields = [("ids", T.ArrayType(id_field.dataType)), *[(c, T.ArrayType(T.LongType())) for c in PER_DOCUMENT], ("groups_sha256", T.ArrayType(T.StringType())), *[(c, T.BinaryType()) for c in ("lengths", "codes", "times")], ("at", T.ArrayType(T.IntegerType())), ("a", T.ArrayType(T.IntegerType())), ("b", T.ArrayType(T.IntegerType())), ("met", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     aligned = blocks.numbered(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string")).mapInArrow(_align(left, right), schema), "aligned")
-    pairs = aligned.select("block", F.posexplode(F.arrays_zip("a", "b", "met")).alias("at", "p")).select("block", "at", "p.a", "p.b", "p.met")
+    pairs = aligned.select("block", F.explode(F.arrays_zip("at", "a", "b", "met")).alias("p")).select("block", "p.*")
     counts = stage(pairs.groupBy("a", "b").agg(F.sum("met").alias("links"), F.count("*").alias("weight")), "counts")
     most = counts.groupBy("b").agg(F.max("links").alias("most"))
     table = stage(counts.join(F.broadcast(most), "b"), "pairs")
     found = blocks.lookup(pairs.drop("met"), table, ["a", "b"]).select(F.col("block").alias("block"), "at", "links", "most")
     out = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in (*PER_DOCUMENT, "n_best", "count_sum")], T.StructField("groups_sha256", T.StringType())])
-    whole = aligned.drop("a", "b", "met").groupBy("block").cogroup(found.groupBy("block"))
+    whole = aligned.drop("at", "a", "b", "met").groupBy("block").cogroup(found.groupBy("block"))
     return whole.applyInArrow(_sum(_arrow_type(id_field.dataType), id_col), out)

@@ -104,15 +104,22 @@ def test_alignment_against_all_pairs(spark):
     assert alignment.link_counts(docs.limit(0), BYTES, MODEL).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(st.sampled_from("abc é東🙂\n12"), min_size=1, max_size=40))
-def test_links_are_one_for_each_end(text):
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("  ab'sé東🙂\n\t1\xa0\x85\u3000."), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=40))
+def test_words_align_alone(text):
     left, right = alignment.byte_level(BYTES), alignment.sentence_pieces(MODEL)
+    words = alignment.words_of(text)
+    assert "".join(words) == " " + text
     ((a, b),) = alignment.tokens_of([text], left, right)
-    cut_a, cut_b = alignment.cuts(a, b, left, right)
-    i, j = alignment.links(a, b, cut_a, cut_b, left, right)
-    assert sorted(zip(i.tolist(), j.tolist())) == sorted(plain_alignment(text)[3])
-    assert len(i) == len(a) + len(b) - len(cut_a)
+    if a:
+        assert [i for ids in left.encode(words) for i in ids] == a
+        assert [i for ids in right.encode([w[1:] for w in words]) for i in ids] == b
+        found = alignment.cuts(a, b, left, right)
+        met = alignment.links(a, b, *found, left, right)
+        plain = plain_alignment(text)
+        assert sorted(met) == sorted(alignment.pair(a[i], b[j]) for i, j in plain[3]) and len(met) == len(a) + len(b) - len(found[0])
+        alone = alignment.Words(words, left, right)
+        assert alone.links == met and ";".join(alone.groups) == alignment.groups_text(a, b, *found, left, right)
 
 
 def plain_negatives(rows, is_anchor, positives=5, negatives=3, low=50, high=95):
