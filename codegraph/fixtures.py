@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import symbol_id
+from .operators.diffs import changed_line_ranges
 from .sources.shared import shared_path, stage
 
 LANGUAGE = {"en": ("python", ".py"), "fr": ("java", ".java"), "de": ("c", ".c"), "es": ("cpp", ".cpp")}
@@ -99,7 +100,7 @@ def diff_files(spark, sf_dir) -> DataFrame:
     """The rows that parsing :func:`diffs` gives, made without text; paths are storage paths; file_ordinal is the event."""
     h = F.struct(*[F.col(c).cast("int").alias(f"{c.replace('_start', '_start_line').replace('_count', '_line_count')}") for c in ("old_start", "old_count", "new_start", "new_count")])
     path = F.concat(F.lit("/repo/"), F.col("path"))
-    return hunks(spark, sf_dir).select("diff_id", F.col("event_id").alias("file_ordinal"), path.alias("path"), "change_type", F.when(F.col("change_type") != "added", path).alias("old_path"), F.when(F.col("change_type") != "deleted", path).alias("new_path"), F.array(h).alias("hunks"))
+    return hunks(spark, sf_dir).select("diff_id", F.col("event_id").alias("file_ordinal"), path.alias("path"), "change_type", F.when(F.col("change_type") != "added", path).alias("old_path"), F.when(F.col("change_type") != "deleted", path).alias("new_path"), F.array(h).alias("hunks")).withColumn("changed_line_ranges", changed_line_ranges(F.col("change_type"), F.col("hunks")))
 
 
 def diffs(spark, sf_dir) -> DataFrame:
@@ -168,10 +169,11 @@ def repo_files(spark, sf_dir) -> DataFrame:
     return d.select(_doc_path("/repo/").alias("path"), (F.col("doc_id") % 13 == 0).alias("parse_error"))
 
 
-def sources(spark, sf_dir, after: bool = False) -> DataFrame:
+def sources(spark, sf_dir, after: bool = False, broken: bool = False) -> DataFrame:
     """Python files of two repositories that share all relative paths; what a line says depends on its number alone.
 
-    ``after`` the diffs a tenth of them is missing, some can't be parsed, and the others end after half their lines.
+    ``after`` the diffs a tenth of them is missing, some can't be parsed, and the others end after half their lines. In
+    ``broken`` ones every eleventh line gives a block with an error, in a function's body, a class's header or a bracket.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("nl"))
     if after:
@@ -181,7 +183,11 @@ def sources(spark, sf_dir, after: bool = False) -> DataFrame:
         .when(n % 3 == 2, F.concat(F.lit("class C"), n, F.lit("(Base):\n    x = 1\n\n    def m(self):\n        y = self.x\n        return y\n")))
         .otherwise(F.concat(F.lit("k"), n, F.lit(" = k"), n - 3, F.lit("\n")))
     )
-    content = F.array_join(F.transform(F.sequence(F.lit(1), F.col("nl")), block), "")
+    def wrong(n):
+        text = F.regexp_replace(block(n), r"(v\d+) = a", "$1 = = a")
+        return F.when(n % 11 == 5, F.regexp_replace(F.regexp_replace(text, r"\(Base\)", "(Base"), r"\A(k\d+) = ", "$1 = (")).otherwise(block(n))
+
+    content = F.array_join(F.transform(F.sequence(F.lit(1), F.col("nl")), wrong if broken else block), "")
     if after:
         content = F.when(F.col("doc_id") % 13 == 0, "def (:\n").otherwise(content)
     repo = F.when(F.col("doc_id") % 2 == 0, "repo").otherwise("other")
@@ -219,6 +225,9 @@ SQL = {
     "fx_pyedges": "SELECT DISTINCT path, n, kind, source, destination FROM (SELECT path, n, 'contains' AS kind, coalesce(parent, path) AS source, qn AS destination FROM fx_py UNION ALL SELECT path, n, 'calls', 'f' || n, 'f' || (n - 3) FROM fx_src WHERE n % 3 = 1 AND n > 3 UNION ALL SELECT path, n, 'writes', 'f' || n, 'f' || n || '.v' || n FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'writes', 'f' || n, 'f' || n || '.w' FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'reads', 'f' || n, 'f' || n || '.v' || n FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'reads', 'f' || n, 'f' || n || '.w' FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'writes', 'C' || n || '.m', 'C' || n || '.m.y' FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'reads', 'C' || n || '.m', 'C' || n || '.m.y' FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'reads', 'C' || n || '.m', 'C' || n || '.x' FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'writes', path, 'k' || n FROM fx_src WHERE n % 3 = 0 UNION ALL SELECT path, n, 'reads', path, 'k' || (n - 3) FROM fx_src WHERE n % 3 = 0 AND n > 3)",
     "fx_pyrows": "SELECT 'node' AS what, path, n, kind || ':' || path || ':' || qn || ':' || line AS id FROM fx_py UNION ALL SELECT 'node', path, 0, 'file:' || path || ':' || path || ':1' FROM fx_src WHERE n = 1 UNION ALL SELECT 'edge', path, n, kind || ':' || path || ':' || source || '->' || destination FROM fx_pyedges UNION ALL SELECT 'document', path, n, kind || ':' || path || ':' || qn || ':' || line FROM fx_py WHERE kind IN ('function', 'method')",
     "fx_pychanges": "SELECT e.user_id * 2 + d.doc_id % 2 AS diff_id, e.event_id, CASE WHEN d.doc_id % 2 = 0 THEN '/repo/m' ELSE '/other/m' END || (d.doc_id // 2) || '.py' AS path, CASE WHEN event_type = 'error' THEN 'deleted' WHEN d.doc_id % 10 = 3 THEN 'missing_file' WHEN d.doc_id % 13 = 0 THEN 'parse_error' ELSE 'analysed' END AS status FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT greatest(count(*), 1) FROM documents)",
+    "fx_lenient": "SELECT *, line + CASE kind WHEN 'function' THEN 3 WHEN 'class' THEN 5 WHEN 'method' THEN 2 ELSE 0 END AS last FROM fx_py WHERE n % 11 <> 5 OR (n % 3 = 1 AND qn NOT LIKE '%.v%')",
+    "fx_pyhunks": "SELECT e.user_id * 2 + d.doc_id % 2 AS diff_id, e.event_id, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN '/repo/m' ELSE '/other/m' END || (d.doc_id // 2) || '.py' AS path, 1 + event_id % 9 AS old_start, event_id % 4 AS old_count, 1 + event_id % 7 AS new_start, event_id % 3 AS new_count FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT greatest(count(*), 1) FROM documents)",
+    "fx_pyranges": "SELECT diff_id, path, old_start AS a, old_start + old_count - 1 AS b FROM fx_pyhunks WHERE old_count > 0 AND doc_id % 10 <> 3 UNION ALL SELECT diff_id, path, new_start, new_start + greatest(new_count - 1, 0) FROM fx_pyhunks WHERE (new_count > 0 OR old_count = 0) AND doc_id % 10 <> 3",
     "fx_pylast": "SELECT path, max_by(status, [diff_id, event_id]) AS status FROM fx_pychanges GROUP BY path",
     "fx_pyafter": "SELECT r.what, r.id, l.status FROM fx_pyrows r JOIN (SELECT path, max(n) AS nl FROM fx_src GROUP BY path) s ON s.path = r.path LEFT JOIN fx_pylast l ON l.path = r.path WHERE l.status IS NULL OR l.status = 'parse_error' OR (l.status = 'missing_file' AND r.what <> 'document') OR (l.status = 'analysed' AND 2 * r.n <= s.nl + 1)",
     "fx_callable": "SELECT *, CASE WHEN trim(body) = '' THEN signature ELSE signature || chr(10) || trim(body) END AS document FROM fx_symbols WHERE kind IN ('function', 'method', 'constructor') AND body <> ''",

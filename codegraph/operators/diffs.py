@@ -50,12 +50,12 @@ def path_of_line(line: Column) -> Column:
 
 
 def hunk_header(line: Column) -> Column:
-    """Four numbers as a struct; a count that is left out is 1, a count of 0 stays. The line is matched twice, whatever it holds."""
+    """Four numbers as a struct; a count that is left out is 1, a count of 0 stays. Null for a line that is none or has a number beyond int."""
     names = ("old_start_line", "old_line_count", "new_start_line", "new_line_count")
 
     def of(parts):
-        number = lambda g: F.coalesce(F.nullif(F.get(parts, g), F.lit("")), F.lit("01"[g % 2])).cast("int")
-        return F.struct(*[number(g).alias(n) for g, n in enumerate(names)])
+        number = lambda g: F.coalesce(F.nullif(F.get(parts, g), F.lit("")), F.lit("01"[g % 2])).try_cast("int")
+        return F.when(F.forall(parts, lambda p: (p == "") | p.try_cast("int").isNotNull()), F.struct(*[number(g).alias(n) for g, n in enumerate(names)]))
 
     return F.when(line.rlike(HUNK), let(F.split(F.regexp_replace(line, rf"(?s){HUNK}.*", "$1/$2/$3/$4"), "/", -1), of))
 
@@ -86,14 +86,14 @@ def _file(section: Column) -> Column:
         rest = F.slice(lines, 2, 1 << 30)
 
         def fault(x):
-            return F.when((x.startswith("--- ") | x.startswith("+++ ")) & (strip(F.substring(x, 5, 1 << 30)) == ""), "missing_path").when(x.startswith("@@ ") & ~x.rlike(HUNK), "bad_hunk")
+            return F.when((x.startswith("--- ") | x.startswith("+++ ")) & (strip(F.substring(x, 5, 1 << 30)) == ""), "missing_path").when(x.startswith("@@ ") & hunk_header(x).isNull(), "bad_hunk")
 
         faults = F.filter(F.transform(rest, lambda x: F.struct(fault(x).alias("error"), x.alias("line"))), lambda x: x.error.isNotNull())
         mode = F.filter(rest, lambda x: x.startswith("new file mode ") | x.startswith("deleted file mode "))
         said = F.get(mode, F.size(mode) - 1)
         said = F.when(said.startswith("new"), "added").when(said.startswith("deleted"), "deleted")
         old, new = _last(rest, "--- ", path_of_line), _last(rest, "+++ ", path_of_line)
-        hunks = F.transform(F.filter(rest, lambda x: x.startswith("@@ ") & x.rlike(HUNK)), hunk_header)
+        hunks = F.array_compact(F.transform(F.filter(rest, lambda x: x.startswith("@@ ")), hunk_header))
         return F.struct(
             F.when(~good, "bad_header").otherwise(F.get(faults, 0).error).alias("error"),
             F.when(~good, first).otherwise(F.get(faults, 0).line).alias("line"),

@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import language_of_path
 from ..operators import changed, documents, explore, package
+from ..operators import symbols as symbols_
 from ..sources.shared import stage
+from ..sources.syntax import python_syntax_nodes
+
+
+def lenient_nodes(files: DataFrame) -> DataFrame:
+    return python_syntax_nodes(files, lenient=True)
+
+
+def read_sources(paths: DataFrame, files: DataFrame, parse: Callable[[DataFrame], DataFrame] = lenient_nodes) -> tuple[DataFrame, DataFrame]:
+    """``(files(path, parse_error), symbols)`` of the files of ``paths(path)`` as they are now, errors and all.
+
+    ``files(repo_id, path, language, content)``; only the files that are asked for are read and parsed. A file with
+    errors gives the symbols of what is valid in it, unlike in the index, which leaves it out; ``parse_error`` is left
+    for files that can't be read as text.
+    """
+    there = stage(files.join(paths.select("path").distinct(), "path", "left_semi").select("repo_id", "path", "language", "content"), "there")
+    nodes = stage(parse(there), "syntax")
+    bad = nodes.where("parse_error").select("path").distinct().withColumn("parse_error", F.lit(True))
+    status = there.select("path").distinct().join(bad, "path", "left").select("path", F.coalesce("parse_error", F.lit(False)).alias("parse_error"))
+    return status, stage(symbols_.extract_symbols(nodes.where(~F.coalesce("parse_error", F.lit(False)))), "symbols")
+
+
+def named_paths(diff_files: DataFrame) -> DataFrame:
+    """Every path that a diff names, old and new."""
+    return diff_files.select(F.explode(F.array_compact(F.array("path", "new_path", "old_path"))).alias("path")).distinct()
 
 
 def changed_code_context(diff_files: DataFrame, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(changed_files, changed_symbols)``: the last entry of each path with its status, and the symbols that hunks touch.
 
-    A file that is missing, of no supported language or broken keeps its row with a reason and gives no symbols.
-    Symbols are those of the file that was found, which for a renamed file may be at the old path.
+    ``files(path, parse_error)`` and ``symbols`` are those of :func:`read_sources` for the paths that the diffs name. A
+    file that is missing, of no supported language or unreadable keeps its row with a ``skip_reason`` and gives no
+    symbols; a loaded one has ``source_loaded`` and its ``language``. Symbols are those of the file that was found,
+    which for a renamed file may be at the old path.
     """
     found = changed.resolve_source_path(diff_files, files)
     bad = files.groupBy(F.col("path").alias("source_path")).agg(F.max("parse_error").alias("parse_error"))
     found = found.join(bad, "source_path", "left")
-    found = found.withColumn("skip_reason", changed.changed_file_status(F.col("source_path"), language_of_path(F.col("source_path")), F.col("parse_error"))).drop("parse_error")
-    loaded = found.where("skip_reason is null").withColumn("path", F.col("source_path"))
-    touched = changed.overlap_symbols(changed.ranges_of(loaded), changed.seed_symbols(symbols))
+    language = language_of_path(F.col("source_path"))
+    found = found.withColumn("skip_reason", changed.changed_file_status(F.col("source_path"), language, F.col("parse_error"))).drop("parse_error")
+    loaded = F.col("skip_reason").isNull()
+    found = found.withColumn("source_loaded", loaded).withColumn("language", F.when(loaded, language))
+    touched = changed.overlap_symbols(changed.ranges_of(found.where(loaded).withColumn("path", F.col("source_path"))), changed.seed_symbols(symbols))
     return changed.changed_files_last(found), changed.changed_symbols(touched)
 
 
@@ -58,7 +89,7 @@ def context_package(diff_files: DataFrame, *tables: DataFrame, max_depth: int =
 
     place = ["path", "start_line", "end_line", "qualified_name", "symbol_id"]
     parts = {
-        "changed_files": (["file_ordinal"], ["path", "change_type", "old_path", "new_path", "source_path", "skip_reason", "hunks"]),
+        "changed_files": (["file_ordinal"], ["path", "change_type", "old_path", "new_path", "source_path", "language", "source_loaded", "skip_reason", "hunks", "changed_line_ranges"]),
         "changed_symbols": (["seed_ordinal", "symbol_id"], ["symbol_id", "matched_line_ranges"]),
         "graph_paths": (["hop_count", "seed_id", "terminal_node_id", "edge_ids"], ["seed_id", "terminal_node_id", "node_ids", "edge_ids", "hop_count"]),
         "modified_code": (place, [*package.SNIPPET, "matched_line_ranges"]),

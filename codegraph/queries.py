@@ -644,6 +644,15 @@ def python_syntax_nodes(s, d):
     return n.select("path", "type", "name", F.col("start_line").cast("long").alias("line"))
 
 
+@query("SELECT 'symbol' AS what, kind || ':' || path || ':' || qn || ':' || line AS id, last FROM fx_lenient UNION ALL SELECT DISTINCT 'strict', path, 0 FROM fx_src WHERE n = 5")
+def lenient_symbols(s, d):
+    """Symbols of files with errors: what is valid alone has its own, with its lines; the strict parser leaves such files out."""
+    files = fx.sources(s, d, broken=True)
+    x = symbols.extract_symbols(syntax.python_syntax_nodes(files, lenient=True)).where("kind <> 'file'")
+    strict = syntax.python_syntax_nodes(files).where("parse_error")
+    return x.select(F.lit("symbol").alias("what"), "id", F.col("end_line").cast("long").alias("last")).unionAll(strict.select(F.lit("strict"), "path", F.lit(0).cast("long")))
+
+
 @query("SELECT 'file:/repo/' || rel || ':/repo/' || rel || ':1' AS id, string_split(rel, '/')[-1] AS name, '/repo/' || rel AS signature FROM fx_docs WHERE language <> 'python'")
 def file_symbol(s, d):
     out = None
@@ -737,6 +746,19 @@ def changed_code_context(s, d):
     return seeds.select("diff_id", F.lit("symbol").alias("what"), F.col("symbol_id").alias("name"), F.lit(None).cast("string").alias("reason")).unionAll(f.select("diff_id", F.lit("file"), "path", "skip_reason"))
 
 
+@query(
+    "SELECT DISTINCT r.diff_id, s.kind || ':' || s.path || ':' || s.qn || ':' || s.line AS name, 'symbol' AS state FROM fx_pyranges r JOIN fx_lenient s ON s.path = r.path AND s.kind <> 'variable' AND s.line <= r.b AND s.last >= r.a UNION ALL SELECT DISTINCT diff_id, path, CASE WHEN doc_id % 10 = 3 THEN 'source_missing' ELSE 'python, loaded, ranges ' || max_by(CASE WHEN event_type = 'error' THEN h.old_start || '+' || h.old_count ELSE h.new_start || '+' || h.new_count END, h.event_id) END FROM fx_pyhunks h JOIN events e ON e.event_id = h.event_id GROUP BY diff_id, path, doc_id"
+)
+def lenient_changed_symbols(s, d):
+    """Diffs of files that hold errors now: the files that are named are read as they are, and give the symbols that hunks touch."""
+    changes = stage(_source_changes(fx.source_diffs(s, d)), "diffs")
+    there = fx.sources(s, d, broken=True).where("pmod(2 * cast(regexp_extract(path, 'm([0-9]+)[.]', 1) as long) + if(repo_id = 'repo', 0, 1), 10) <> 3")
+    f, seeds = context.changed_code_context(changes, *context.read_sources(context.named_paths(changes), there))
+    r = F.get("changed_line_ranges", F.lit(0))
+    state = F.coalesce("skip_reason", F.concat("language", F.when(F.col("source_loaded"), ", loaded, ranges "), r.start_line, F.lit("+"), r.line_count))
+    return seeds.select("diff_id", F.col("symbol_id").alias("name"), F.lit("symbol").alias("state")).unionAll(f.select("diff_id", "path", state))
+
+
 def _package(s, d):
     sym = stage(fx.all_symbols(s, d), "symbols")
     plain = sym.where("kind <> 'file'")
@@ -817,9 +839,10 @@ def read_diffs(s, d):
 
 @query(_AFTER)
 def stream_incremental_update(s, d):
-    """The same diffs arrive as files; the store's tables are as after a batch update."""
+    """The same diffs arrive as files, in two batches; the store's tables are as after a batch update."""
     store_ = sinks.Store(s, shared_path(s, "store"), buckets=16).create(*_index(s, d))
-    updates.stream_incremental_update(s, _diffs_written(s, d, fx.source_diffs(s, d)), shared_path(s, "stream"), store_, lambda: fx.sources(s, d, after=True), fx.source_root(), max_files=100_000)
+    diffs_ = stage(fx.source_diffs(s, d), "texts")
+    updates.stream_incremental_update(s, _diffs_written(s, d, diffs_), shared_path(s, "stream"), store_, lambda: fx.sources(s, d, after=True), fx.source_root(), max_files=1 + diffs_.count() // 2, arrival=F.col("diff_id").cast("long"))
     return _rows("node", store_.read("nodes")).unionAll(_rows("edge", store_.read("edges"))).unionAll(_rows("document", store_.read("documents")))
 
 
