@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from . import blocks
 from .pieces import MARK, _arrow_type, _gather, processor
-from .shared import stage
+from .shared import quoted, stage
 
 #: Characters of text that a block has.
 BLOCK_CHARS = 16 << 20
@@ -219,7 +219,7 @@ def align(docs: DataFrame, left: str, right: str, id_col: str = "doc_id", text_c
 
     names = ("ids_a", "ids_b", "cuts_a", "cuts_b")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]])
-    return docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string")).mapInArrow(run, out)
+    return docs.select(docs[quoted(id_col)], docs[quoted(text_col)].cast("string")).mapInArrow(run, out)
 
 
 def link_counts(docs: DataFrame, left: str, right: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +237,7 @@ def link_counts(docs: DataFrame, left: str, right: str, id_col: str = "doc_id",
     id_field = docs.schema[id_col]
     fields = [("ids", T.ArrayType(id_field.dataType)), *[(c, T.ArrayType(T.LongType())) for c in PER_DOCUMENT], ("groups_sha256", T.ArrayType(T.StringType())), *[(c, T.BinaryType()) for c in ("lengths", "codes", "times")], ("at", T.ArrayType(T.IntegerType())), ("a", T.ArrayType(T.IntegerType())), ("b", T.ArrayType(T.IntegerType())), ("met", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
-    aligned = blocks.numbered(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string")).mapInArrow(_align(left, right), schema), "aligned")
+    aligned = blocks.numbered(docs.select(docs[quoted(id_col)], docs[quoted(text_col)].cast("string")).mapInArrow(_align(left, right), schema), "aligned")
     pairs = aligned.select("block", F.explode(F.arrays_zip("at", "a", "b", "met")).alias("p")).select("block", "p.*")
     counts = stage(pairs.groupBy("a", "b").agg(F.sum("met").alias("links"), F.count("*").alias("weight")), "counts")
     most = counts.groupBy("b").agg(F.max("links").alias("most"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -14,14 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
+from .shared import quoted
 
 MARK = "▁"
 #: A run of marks with what follows up to the next; only at the start of a text there may be none.
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words that the library segments at once, and rows of words that a task holds.
-WORDS, HELD = 4096, 1 << 18
-#: Characters of text in a block.
-BLOCK_CHARS = 16 << 20
+#: Words that the library segments at once, and after how many words a table ends with the block.
+WORDS, MOST_WORDS = 4096, 1 << 20
 
 
 @cache
@@ -62,48 +62,24 @@ def segment(words: list[str], model: str) -> list[list[int]]:
     return [[sp.piece_to_id(MARK)] if w == MARK else ids for w, ids in zip(words, found)]
 
 
-def _code(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, ids in blocks.of_texts(batches, BLOCK_CHARS):
-            codes, known, lengths = [], {}, []
-            for text in texts:
-                words = marked_words(text, model)
-                lengths.append(len(words))
-                codes += [known.setdefault(w, len(known)) for w in words]
-            yield blocks.row_of({"ids": ids, "lengths": blocks.pack(lengths), "codes": blocks.pack(codes), "words": pa.array(known, pa.string())})
-
-    return run
-
-
-def _segment(model: str):
-    """Rows ``(word, block, at)`` in the order of the words -> for each block many of its words at once, packed."""
-
-    def packed(words, blocks_, at) -> Iterator[pa.RecordBatch]:
-        first = np.concatenate([[True], words[1:] != words[:-1]])
-        lists = pa.array([ids for part in np.array_split(words[first], len(words) // WORDS + 1) for ids in segment(part.tolist(), model)], pa.list_(pa.int32()))
-        begins, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        which = np.cumsum(first) - 1
-        order = np.argsort(blocks_, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(blocks_[order])) + 1):
-            begin, size = begins[which[part]], begins[which[part] + 1] - begins[which[part]]
-            yield blocks.row_of({"block": int(blocks_[part[0]]), "at": blocks.pack(at[part]), "sizes": blocks.pack(size), "pieces": blocks.pack(_gather(values, begin, size))})
+class Table:
+    """Distinct words with their ids: words are numbered as they come, and each is segmented once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            n += len(batch)
-            if n >= HELD:
-                rows = [np.concatenate(c) for c in zip(*held)]
-                # The last word goes on in the next rows, so that it is segmented once.
-                cut = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
-                if cut:
-                    yield from packed(*[c[:cut] for c in rows])
-                held, n = [[c[cut:] for c in rows]], n - cut
-        if n:
-            yield from packed(*[np.concatenate(c) for c in zip(*held)])
-
-    return run
+    def __init__(self, model: str):
+        self.model, self.known, self.size, self.pieces = model, {}, np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def codes(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of the words of each text by position; new words are added."""
+        before, known = len(self.known), self.known
+        out = [[known.setdefault(w, len(known)) for w in marked_words(t, self.model)] for t in texts]
+        new = list(islice(known, before, None))
+        found = [ids for at in range(0, len(new), WORDS) for ids in segment(new[at : at + WORDS], self.model)]
+        self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
+        self.pieces = np.concatenate([self.pieces, np.fromiter(chain.from_iterable(found), np.int32)])
+        return out
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        return _gather(self.pieces, (np.cumsum(self.size) - self.size)[codes], self.size[codes])
 
 
 def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -112,37 +88,31 @@ def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _expand(id_type: pa.DataType, id_name: str):
-    def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        lengths, codes = (blocks.unpack(block.column(c)[0].as_py()) for c in ("lengths", "codes"))
-        at, sizes, values = (np.concatenate([np.zeros(0, np.int64), *map(blocks.unpack, words.column(c).to_pylist())]) for c in ("at", "sizes", "pieces"))
-        order = np.argsort(at)
-        begin, size = (np.cumsum(sizes) - sizes)[order][codes], sizes[order][codes]
-        offsets = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])]
-        ids = block.column("ids").combine_chunks().flatten()
-        return pa.table({id_name: ids.cast(id_type), "piece_ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_gather(values, begin, size), pa.int32()))})
-
-    return run
-
-
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, piece_ids)`` for each row: the ids that the library gives for the whole text, without begin or end ids.
 
     Pieces of the model never hold a whitespace mark after another character (else this raises), so no merge crosses the
-    start of a marked word. Each distinct word of the corpus is segmented once; a text is the ids of its words by
-    position. Documents are coded by blocks of about 16 million characters, a longer text by itself, so a word has one row
-    for each block that it is in; rows of a word follow each other in a partition, which holds a few at a time. Null
-    and empty texts have no ids; rows with equal or null ids are rows like others; further columns are not read.
+    start of a marked word. A task keeps a table of the distinct words that it has met, each of which it segments once;
+    a text is the ids of its words by position. A table with over a million words is begun anew, which bounds it, so
+    nothing is shuffled or written on the way. Null and empty texts have no ids; rows with equal or null ids are rows
+    like others; further columns are not read. Texts are held by about 4 million characters, a longer one by itself.
     """
     check(model)
-    id_field = docs.schema[id_col]
-    schema = T.StructType([T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("lengths", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    coded = blocks.numbered(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string")).mapInArrow(_code(model), schema), "coded")
-    words = coded.select("block", F.posexplode("words").alias("at", "word"))
-    found = words.select("word", "block", "at").repartition("word").sortWithinPartitions("word").mapInArrow(_segment(model), "block long, at binary, sizes binary, pieces binary")
-    out = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    whole = coded.select("block", "ids", "lengths", "codes").groupBy("block")
-    return whole.cogroup(found.groupBy("block")).applyInArrow(_expand(_arrow_type(id_field.dataType), id_col), out)
+    names = [id_col, "piece_ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(model)
+        for texts, ids in blocks.of_texts(batches):
+            if len(table.known) > MOST_WORDS:
+                table = Table(model)
+            codes = table.codes(texts)
+            ends = np.cumsum([0, *map(len, codes)])
+            flat = np.fromiter(chain.from_iterable(codes), np.int64, ends[-1])
+            offsets = np.concatenate([[0], np.cumsum(table.size[flat])])[ends]
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(table.ids(flat)))], names)
+
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(docs[quoted(id_col)], docs[quoted(text_col)].cast("string")).mapInArrow(run, out)
 
 
 def _arrow_type(data_type: T.DataType) -> pa.DataType:

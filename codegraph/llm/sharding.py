@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .prp import key_of, permute
-from .shared import free_name, stage
+from .shared import free_name, quoted, stage
 
 SHARDS, SEED = 16, 20
 #: Input partitions are joined into at most so many lanes, which bounds the matrix.
@@ -47,12 +47,16 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 
     Row sums are ``rows``; column sums differ by at most one, larger ones first.
     """
-    rng, total = np.random.default_rng(seed), sum(rows)
-    room = [total // shards + (s < total % shards) for s in range(shards)]
-    out = np.zeros((len(rows), shards), np.int64)
+    total = sum(rows)
+    return counts_with_sums(rows, [total // shards + (s < total % shards) for s in range(shards)], np.random.default_rng(seed))
+
+
+def counts_with_sums(rows: list[int], room: list[int], rng: np.random.Generator) -> np.ndarray:
+    """A table of counts with the row sums ``rows`` and the column sums ``room``, drawn as a uniform shuffle gives it."""
+    out = np.zeros((len(rows), len(room)), np.int64)
     for lane, n in enumerate(rows):
         left, rest = n, sum(room)
-        for s in range(shards):
+        for s in range(len(room)):
             rest -= room[s]
             out[lane, s] = hypergeometric(rng, room[s], rest, left)
             left -= out[lane, s]
@@ -73,7 +77,7 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     part, at = free_name("part", df), free_name("at", df)
     low = (1 << 33) - 1
     placed = stage(df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(low)), "placed")
-    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    wide = [F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     tallied = placed.groupBy(part).agg(F.count("*"), F.sum(sum(wide, F.lit(0)).cast("long"))).collect()
     counts, volume = {r[0]: r[1] for r in tallied}, sum(r[2] or 0 for r in tallied)
     parts = max(counts, default=0) + 1
@@ -99,4 +103,4 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
 
     got = free_name("got", df)
     sent = placed.withColumn(got, place(part, at)).repartitionById(shards * slices, F.col(f"{got}.slice"))
-    return sent.select(*df.columns, F.col(f"{got}.shard").alias("shard"), F.col(f"{got}.slot").alias("slot")).sortWithinPartitions("shard", "slot")
+    return sent.select(*map(quoted, df.columns), F.col(f"{got}.shard").alias("shard"), F.col(f"{got}.slot").alias("slot")).sortWithinPartitions("shard", "slot")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop_staged, shared_path, stage
+from ..sources.shared import delete, drop_staged, shared_path
+from ..sources.shared import stage as written
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "drop_staged", "free_name", "new_path", "stage"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "drop_staged", "free_name", "new_path", "quoted", "stage", "step"]
 
 #: What every word-based operator calls a word: a run of characters other than ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +19,40 @@ BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 new_path = shared_path
+#: Folders of tables that the running step of a pipeline has staged; None outside of steps.
+_made: list[str] | None = None
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`codegraph.sources.shared.stage`; inside a :func:`step` the table lives until the next one begins."""
+    out = written(df, name)
+    if _made is not None:
+        _made.extend({f.rpartition("/")[0] for f in out.inputFiles()})
+    return out
+
+
+def step(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A step ``run(spark, docs, ...)`` of a pipeline, whose result is written before the next step reads it.
+
+    When a step begins, the tables that the steps before it staged are deleted, but for those that its ``docs`` read.
+    """
+
+    @wraps(run)
+    def scoped(spark, docs, *rest):
+        global _made
+        read = {f.rpartition("/")[0] for f in docs.inputFiles()}
+        kept = [folder for folder in _made or () if folder in read]
+        for folder in set(_made or ()) - set(kept):
+            delete(spark, folder)
+        _made = kept
+        return run(spark, docs, *rest)
+
+    return scoped
+
+
+def quoted(name: str) -> str:
+    """A column's name as it has to be written to select it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def free_name(name: str, df: DataFrame) -> str:

@@ -47,7 +47,17 @@ def test_a_model_whose_pieces_cross_marks_is_refused(monkeypatch):
         pieces.check("m")
 
 
-def test_each_word_is_segmented_once_and_often_used_ones_are_broadcast(spark, monkeypatch):
+def test_each_word_of_a_table_is_segmented_once(monkeypatch):
+    asked, whole = [], pieces.segment
+    monkeypatch.setattr(pieces, "segment", lambda words, model: asked.extend(words) or whole(words, model))
+    table, sp = pieces.Table(MODEL), pieces.processor(MODEL)
+    for texts in (["one two  two", "", "two one "], ["three one"], []):
+        for text, codes in zip(texts, table.codes(texts)):
+            assert table.ids(np.array(codes, np.int64)).tolist() == sp.encode(text)
+    assert len(asked) == len(set(asked)) == len(table.known)
+
+
+def test_often_used_keys_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(blocks, "HEAVY", 4)
     monkeypatch.setattr(blocks, "HEAVY_LENGTH", 3)
     words = ["ab"] * 30 + ["a long word"] * 30 + [f"w{i}" for i in range(10)]
