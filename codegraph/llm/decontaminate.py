@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import free_name, stage
+from ..functions.text import let
+from .shared import free_name, quoted, stage
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: The filter of benchmark shingles has from 2**MIN_BITS to 2**MAX_BITS bits (512 KB), about 16 for each shingle.
@@ -14,11 +15,6 @@ MIN_BITS, MAX_BITS = 18, 22
 WORD_BREAK = r"[^\p{L}\p{N}\p{M}]+"
 
 
-def let(value, body):
-    """``body(value)`` with ``value`` evaluated once a row: inside lambdas Catalyst would put the expression itself."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _words(text):
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
@@ -144,7 +140,7 @@ def drop_rows(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: fl
     hashes = [F.xxhash64(text_col).alias(one), F.xxhash64(F.lit(k), F.col(text_col)).alias(two)]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.struct(*hashes).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias(text_col))
     leaks = stage(_pairs(texts, items, k, threshold, item_id, text_col).select(F.col(f"row.{one}").alias(one), F.col(f"row.{two}").alias(two)).distinct(), "leaks")
-    return docs.select("*", *hashes).join(leaks, [one, two], "left_anti").select(*docs.columns)
+    return docs.select("*", *hashes).join(leaks, [one, two], "left_anti").select(*map(quoted, docs.columns))
 
 
 #: The same pairs in DuckDB. Documents give shingles of five words, and of as many as a shorter item has.

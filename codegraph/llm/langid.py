@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name, quoted
+
 DIM, SEED = 1024, 6
 #: Bits of a code point, and up to how many different letters a table of all their trigrams is used to number them.
 POINT, TABLE = 21, 160
@@ -161,8 +163,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             score += np.where(some, np.clip(cosines.max(axis=1, initial=0), 0, 1), 0).astype(float).tolist()
         return pd.DataFrame({"lang": [names[i] for i in best], "score": np.array(score, float)}, index=texts.index)
 
-    got = "got_" + "_".join(docs.columns)
-    kept = [c for c in docs.columns if c not in (lang_col, score_col)]
+    got = free_name("got", docs)
+    kept = [quoted(c) for c in docs.columns if c not in (lang_col, score_col)]
     return docs.withColumn(got, judge(F.col(text_col))).select(*kept, F.col(f"{got}.lang").alias(lang_col), F.col(f"{got}.score").alias(score_col))
 
 

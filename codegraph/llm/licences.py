@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decontaminate import let
+from ..functions.text import let
 
 #: Known licence sentences, normalised: lower case, runs of other characters than letters and digits as one blank (fixed values).
 SENTENCES = {

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .decontaminate import let
+from ..functions.text import let
 from .prp import key_of, permute
-from .shared import WORD, free_name, stage
+from .sharding import counts_with_sums
+from .shared import WORD, free_name, quoted, stage
 
 #: A source comes within a block of its target. Blocks of 32 words suit small corpora; over 100 TB some 4096 words keep the
 #: block table near 4 * 10**9 rows.
@@ -19,6 +20,8 @@ WEIGHTS, CAP, SHARDS, BLOCK_WORDS, SEED = (5, 2, 1), 3, 16, 32, 10
 CHUNK_ROWS, RUN = 128, 4096
 #: Slots are listed in chunks of so many, and dealt to tasks of about so many.
 CHUNK_SLOTS, TASK_SLOTS = 1 << 14, 1 << 18
+#: Sources are drawn in at most so many groups, whose counts meet on the driver.
+GROUPS = 4096
 #: The table of sources is broadcast up to so many sources (under 200 bytes each, longer names apart).
 BROADCAST_SOURCES = 100_000
 
@@ -81,64 +84,101 @@ class Plan:
         blocks = F.ceil(F.col("source_size") / block).cast("long")
         due = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0).cast("long")
         self.sources = stage(sources.withColumn("blocks", blocks).withColumn("due", F.least(due, blocks * cap)), "targets")
+        self.total = self.sources.agg(F.coalesce(F.sum("due"), F.lit(0))).first()[0]
         self.block, self.seed, self.shards, self.rows = block, seed, shards, rows
 
+    @property
+    def room(self) -> list[int]:
+        """The blocks of each output shard: equal, or one more in the first ones."""
+        return [self.total // self.shards + (k < self.total % self.shards) for k in range(self.shards)]
+
     def shard_counts(self) -> DataFrame:
-        """``(src, blocks, counts)``: how many blocks of a source go to each output shard.
+        """``(src, blocks, counts, firsts, starts)``: how many blocks of a source each output shard takes.
 
-        What a shard takes from all sources is multinomial. Given how much is due to each source, these counts are
-        independent between sources, and those of a source are multinomial over the shards; so each source draws
-        its own, with a seed that is its place, and its total is exactly what is due.
+        A shard's counts are multinomial over the sources; that all shards have ``room`` and each source is due exactly
+        its sum makes them multivariate hypergeometric together, and so they are drawn. Sources are drawn in groups of
+        neighbours: first what each group gives to each shard, which is at most GROUPS rows on the driver, then in a
+        task for each group what its sources give. ``firsts`` are the source's slots before a shard's, ``starts`` the
+        shard's blocks before the source's.
         """
-        shards, seed = self.shards, self.seed
-
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def draw(src: pd.Series, due: pd.Series) -> pd.Series:
-            return pd.Series([np.random.default_rng([seed, s]).multinomial(n, [1 / shards] * shards) for s, n in zip(src, due)])
-
-        return self.sources.where("due > 0").select("src", "blocks", draw("src", "due").alias("counts"))
+        seed, shards = self.seed, self.shards
+        n = self.sources.count()
+        each = max(1, -(-n // GROUPS))
+        group = F.floor(F.col("src") / each).cast("long")
+        due = {r[0]: r[1] for r in self.sources.groupBy(group.alias("g")).agg(F.sum("due")).collect()}
+        order = sorted(due)
+        drawn = counts_with_sums([due[g] for g in order], self.room, np.random.default_rng([seed, 0]))
+        before = np.cumsum(drawn, axis=0) - drawn
+        rows = self.sources.sparkSession.createDataFrame([(g, drawn[i].tolist(), before[i].tolist()) for i, g in enumerate(order)], "g long, room array<long>, before array<long>")
+
+        def draw(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("src")
+            g = int(frame["g"].iat[0])
+            counts = counts_with_sums(frame["due"].tolist(), frame["room"].iat[0].tolist(), np.random.default_rng([seed, 1, g]))
+            starts = np.cumsum(counts, axis=0) - counts + frame["before"].iat[0]
+            firsts = np.cumsum(counts, axis=1) - counts
+            return pd.DataFrame({"src": frame["src"], "blocks": frame["blocks"], "counts": list(counts), "firsts": list(firsts), "starts": list(starts)})
+
+        asked = self.sources.select("src", "blocks", "due", group.alias("g")).join(rows, "g")
+        return asked.groupBy("g").applyInPandas(draw, "src long, blocks long, counts array<long>, firsts array<long>, starts array<long>")
 
     def slots(self) -> DataFrame:
-        """``(shard, src, block)``: one row for each block in the output, in no order.
+        """``(shard, slot, src, block)``: one row for each block of the output; the slots of a shard are gapless.
 
-        Slots of a source are numbered through its shards. Slot j is block pi(j mod blocks) of pass j div blocks, with
-        another permutation for each pass. Slots are listed by chunks that are dealt out first, so no source is one task.
+        The i-th block that a shard takes from a source is slot j of the source, its slots in earlier shards plus i: block
+        pi(j mod blocks) of pass j div blocks, with another permutation for each pass. In the shard it stands at a
+        place that the shard's own permutation gives. Slots are listed by chunks that are dealt out first, so no source
+        is one task.
         """
-        seed = self.seed
+        seed, room = self.seed, np.array(self.room or [0], np.int64)
 
-        @F.pandas_udf("long")
-        def choose(src: pd.Series, blocks: pd.Series, j: pd.Series) -> pd.Series:
-            s, b, i = (x.to_numpy() for x in (src, blocks, j))
-            return pd.Series(permute(i % b, b, key_of(seed, s, i // b)))
+        @F.pandas_udf("slot long, block long")
+        def choose(shard: pd.Series, src: pd.Series, blocks: pd.Series, first: pd.Series, start: pd.Series, i: pd.Series) -> pd.DataFrame:
+            k, s, b, at = (x.to_numpy() for x in (shard, src, blocks, i))
+            j = first.to_numpy() + at
+            return pd.DataFrame({"slot": permute(start.to_numpy() + at, room[k], key_of(seed, 2, k)), "block": permute(j % b, b, key_of(seed, s, j // b))})
 
-        sums = F.transform(F.sequence(F.lit(1), F.lit(self.shards)), lambda k: F.aggregate(F.slice("counts", F.lit(1), k), F.lit(0).cast("long"), lambda a, c: a + c))
-        shards = self.shard_counts().withColumn("ends", sums).select("src", "blocks", F.posexplode("counts").alias("shard", "n"), "ends").where("n > 0")
-        shards = shards.withColumn("first", F.get("ends", F.col("shard")) - F.col("n"))
-        chunks = shards.select("shard", "src", "blocks", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK_SLOTS).cast("long"))).alias("at"))
+        shards = self.shard_counts().select("src", "blocks", F.posexplode(F.arrays_zip("counts", "firsts", "starts")).alias("shard", "c")).select("shard", "src", "blocks", "c.*").where("counts > 0")
+        chunks = shards.select("shard", "src", "blocks", "firsts", "starts", "counts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("counts") - 1, F.lit(CHUNK_SLOTS).cast("long"))).alias("at"))
         # A chunk is a short row that many slots come of, so the number of tasks is set by the slots, not by bytes.
-        tasks = 1 + (self.sources.agg(F.coalesce(F.sum("due"), F.lit(0))).first()[0] // TASK_SLOTS)
-        chunks = chunks.repartition(tasks, "src", "shard", "at")
-        js = F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + CHUNK_SLOTS, F.col("n")) - 1)
-        return chunks.select("shard", "src", "blocks", F.explode(js).alias("j")).select("shard", "src", choose("src", "blocks", "j").alias("block"))
+        chunks = chunks.repartition(1 + self.total // TASK_SLOTS, "src", "shard", "at")
+        each = F.sequence("at", F.least(F.col("at") + CHUNK_SLOTS, F.col("counts")) - 1)
+        picked = chunks.select("shard", "src", "blocks", "firsts", "starts", F.explode(each).alias("i"))
+        return picked.select("shard", "src", choose("shard", "src", "blocks", "firsts", "starts", "i").alias("c")).select("shard", "c.slot", "src", "c.block")
 
-    def taken(self) -> DataFrame:
-        """``(row, id, source, size, source_size, target, taken, spans)``; spans: (at, words, times) in the order of the text."""
+    def cut(self) -> tuple[DataFrame, DataFrame]:
+        """``rows`` with ``src``, targets and ``start``, and ``(row, src, block, at, place, words)``: the part of a row in each of its blocks.
+
+        ``at`` is where the part begins in the row, ``place`` where it lies in the block.
+        """
         b = self.block
         sources = self.sources.withColumnRenamed("source", "name").drop("blocks", "due")
         sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
         rows = self.rows.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-        rows = rows.withColumn("at", F.xxhash64("id", F.lit(self.seed)))
-        rows = running_start(rows)
+        rows = running_start(rows.withColumn("at", F.xxhash64("id", F.lit(self.seed))))
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
-        cut = rows.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        parts = rows.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         begin = F.greatest("start", F.col("block") * b)
-        cut = cut.select("row", "src", "block", (begin - F.col("start")).alias("at"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("words"))
+        return rows, parts.select("row", "src", "block", (begin - F.col("start")).alias("at"), (begin - F.col("block") * b).alias("place"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("words"))
+
+    def taken(self) -> DataFrame:
+        """``(row, id, source, size, source_size, target, taken, shard_words, spans)``.
+
+        ``shard_words`` has the words that each output shard takes of the row; spans are (at, words, times) in the
+        order of the text.
+        """
+        rows, parts = self.cut()
         # Both sides grow with the corpus, and the counts compress so well that they would pass for a small table.
-        times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times")).hint("merge")
-        used = cut.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-        used = used.groupBy("row").agg(F.sum(F.expr("words * times")).alias("taken"), F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("spans"))
+        used = self.slots().groupBy("src", "block").agg(F.collect_list("shard").alias("shards")).hint("merge")
+        used = parts.join(used, ["src", "block"], "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+        spans = F.sort_array(F.collect_list(F.struct("at", "words", "shards")))
+        used = used.groupBy("row").agg(F.sum(F.expr("words * size(shards)")).alias("taken"), spans.alias("spans"))
+        in_shard = lambda k: F.aggregate("spans", F.lit(0).cast("long"), lambda a, p: a + p.words * F.size(F.filter(p.shards, lambda s: s == k)))
+        used = used.withColumn("shard_words", F.transform(F.sequence(F.lit(0), F.lit(self.shards - 1)), in_shard))
+        used = used.withColumn("spans", F.transform("spans", lambda p: F.struct(p.at.alias("at"), p.words.alias("words"), F.size(p.shards).cast("long").alias("times"))))
         kept = ["row", "id", "source", "size", "source_size", "target"]
-        return rows.select(*kept).join(used, "row", "left").select(*kept, F.coalesce("taken", F.lit(0)).alias("taken"), "spans")
+        none = F.array_repeat(F.lit(0).cast("long"), self.shards)
+        return rows.select(*kept).join(used, "row", "left").select(*kept, F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shard_words", none).alias("shard_words"), "spans")
 
 
 def _numbered(docs: DataFrame, *cols) -> DataFrame:
@@ -146,14 +186,33 @@ def _numbered(docs: DataFrame, *cols) -> DataFrame:
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for each row of ``docs``: how many of its words the mix takes.
+    """``(doc_id, size, source_size, target, taken, shard_words)`` for each row of ``docs``: how many of its words the mix takes.
+
+    ``shard_words`` has how many of them go to each output shard.
 
     Size is the number of words, 0 for null and empty texts, of which the mix takes nothing. A null source is a
     source. No row is taken more than ``cap`` times. The order of packing is that of a hash of the id, so the result
     doesn't depend on how rows lie in files; rows with equal ids may swap their results.
     """
     rows = stage(_numbered(docs, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    return Plan(rows, **how).taken().select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return Plan(rows, **how).taken().select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "shard_words")
+
+
+def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixed corpus as blocks of words: ``(shard, slot, source, n_words, text)``, one row for each block of each shard.
+
+    Shards have equally many blocks, or one more; the slots of a shard are gapless and in random order of the sources. A
+    block has the words of neighbouring documents of its source, joined by blanks; only a source's last block is shorter.
+    Null and empty texts have no words.
+    """
+    rows = stage(_numbered(docs, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("text")), "rows")
+    plan = Plan(rows.drop("text"), **how)
+    parts = plan.cut()[1].groupBy("row").agg(F.collect_list(F.struct("src", "block", "at", "place", "words")).alias("parts"))
+    piece = lambda words: F.transform("parts", lambda p: F.struct(p.src.alias("src"), p.block.alias("block"), p.place.alias("place"), F.array_join(F.slice(words, (p.at + 1).cast("int"), p.words.cast("int")), " ").alias("text"), p.words.alias("words")))
+    pieces = rows.join(parts, "row").select(F.explode(let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), piece)).alias("p")).select("p.*")
+    whole = pieces.groupBy("src", "block").agg(F.sum("words").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x.text), " ").alias("text"))
+    names = plan.sources.select("src", "source")
+    return plan.slots().hint("merge").join(whole, ["src", "block"]).join(names, "src").select("shard", "slot", "source", "n_words", "text")
 
 
 def _copies(text, spans):
@@ -181,4 +240,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = stage(kept.select(F.col(mark).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     spans = Plan(rows, **how).taken().where("taken > 0").select(F.col("row").alias(mark), F.col("spans").alias(parts))
     copies = kept.join(spans, mark).withColumn(text_col, F.explode(_copies(F.col(text_col), F.col(parts))))
-    return copies.select(*docs.columns)
+    return copies.select(*map(quoted, docs.columns))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .decontaminate import let
+from ..functions.text import let
+from .shared import free_name, quoted
 
 ROUNDS = 8
 DIGITS, HEX, UPPER, LOWER = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -262,8 +263,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
         return let(kinds, lambda ks: F.struct(F.transform(hits, lambda v, i: let(F.get(ks, i), lambda k: F.when(k.isNull(), v).otherwise(_pseudonym(v, k, key)))).alias("values"), ks.alias("kinds")))
 
     found = F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(SHAPE), 0), lambda h: F.when(F.size(h) > 0, replaced(h))))
-    got = "_".join(["found", *docs.columns])
+    got = free_name("found", docs)
     rows = docs.withColumn(got, found)
     joined = F.array_join(F.transform(F.split(text, SHAPE, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(f"{got}.values"), i), F.lit("")))), "")
     kinds = F.filter(F.coalesce(F.col(f"{got}.kinds"), F.array().cast("array<string>")), lambda k: k.isNotNull())
-    return rows.select(*[F.when(F.col(got).isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names], F.array_sort(F.array_distinct(kinds)).alias(kinds_col), F.size(kinds).cast("long").alias(count_col))
+    return rows.select(*[F.when(F.col(got).isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in names], F.array_sort(F.array_distinct(kinds)).alias(kinds_col), F.size(kinds).cast("long").alias(count_col))

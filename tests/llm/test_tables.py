@@ -15,6 +15,10 @@ from codegraph.llm.shared import WORD
 from plain_models import targets
 
 
+def _permuted(i, n, key):
+    return int(prp.permute(np.array([i]), np.array([n]), key)[0])
+
+
 def test_permutations_are_bijections():
     for n in (0, 1, 2, 3, 7, 64, 1000):
         for key in (1, 99):
@@ -32,6 +36,24 @@ def test_the_matrix_has_exact_sums():
     assert abs(means[0] - 2).max() < 0.3
 
 
+def test_a_shuffle_against_a_plain_model(spark):
+    """The place of each row, step by step in plain Python: lanes, the matrix, and both permutations."""
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(101)], "doc_id long, `a.b` string").repartition(5).cache()
+    placed = df.select("doc_id", F.spark_partition_id().alias("part")).collect()
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, shards=4, seed=3).collect()}
+    lanes = [[r.doc_id for r in placed if r.part == p] for p in range(1 + max(r.part for r in placed))]
+    matrix = sharding.communication_matrix([len(x) for x in lanes], 4, 3)
+    want, arrived = {}, [0] * 4
+    for lane, ids in enumerate(lanes):
+        for at, i in enumerate(ids):
+            local = _permuted(at, len(ids), prp.key_of(3, 1, lane))
+            to = next(k for k in range(4) if local < matrix[lane, : k + 1].sum())
+            place = arrived[to] + local - int(matrix[lane, :to].sum())
+            want[i] = (to, _permuted(place, int(matrix[:, to].sum()), prp.key_of(3, 2, to)))
+        arrived = [a + int(m) for a, m in zip(arrived, matrix[lane])]
+    assert got == want
+
+
 @pytest.mark.parametrize("good, bad, n", [(7, 9, 5), (3, 100, 50), (50, 50, 50), (1, 1, 1), (5, 0, 3), (1000, 3, 900)])
 def test_the_draw_is_hypergeometric(good, bad, n):
     rng, got = np.random.default_rng(1), {}
@@ -93,13 +115,15 @@ def test_targets_stop_at_the_cap(spark):
     assert _targets(spark, names, [10] * 6) == pytest.approx(dict(zip(by_place, targets([10] * 6, [5, 2, 1, 5, 2, 1]))))
 
 
-def test_counts_of_shards_are_multinomial_with_the_sum_that_is_due(spark):
+def test_counts_of_shards_are_multivariate_hypergeometric(spark):
     rows = [(i, i, f"s{i % 7}", 32 * (1 + i % 5)) for i in range(2000)]
     plan = mixing.Plan(spark.createDataFrame(rows, "row long, id long, source string, size long"))
     due = {r.src: r.due for r in plan.sources.collect()}
     counts = {r.src: r.counts for r in plan.shard_counts().collect()}
     assert {k: sum(v) for k, v in counts.items()} == due
-    z = [(n - due[k] / 16) / math.sqrt(due[k] * 15 / 256) for k, v in counts.items() for n in v]
+    # Multinomial counts given both sums: the variance has a factor for what the other sources leave.
+    total = sum(due.values())
+    z = [(n - due[k] / 16) / math.sqrt(due[k] * 15 / 256 * (total - due[k]) / (total - 1)) for k, v in counts.items() for n in v]
     assert max(map(abs, z)) < 5 and 0.6 < sum(x * x for x in z) / len(z) < 1.5
     slots = plan.slots().groupBy("shard", "src").count().collect()
     assert {(r.shard, r.src): r["count"] for r in slots} == {(i, k): n for k, v in counts.items() for i, n in enumerate(v) if n}
@@ -131,6 +155,72 @@ def test_mix_against_brute_force(spark):
     assert mixing.mix_sizes(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def _mix_rows(spark, n=240):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.randrange(0, 150))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+
+def test_what_the_mix_takes_against_a_plain_model(spark):
+    rows, docs = _mix_rows(spark)
+    got = {r.doc_id: r for r in mixing.mix_sizes(docs).collect()}
+    at = {r.doc_id: r.at for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("at")).collect()}
+    names, block = ["a", "b", "c", None], mixing.BLOCK_WORDS
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == n) for n in names]
+    taken, total = {}, 0
+    for src, (name, want) in enumerate(zip(names, targets(sizes, [5, 2, 1, 5]))):
+        mine = [(i, t) for i, t, s in rows if s == name]
+        chunks = max(1, -(-len(mine) // mixing.CHUNK_ROWS))
+        words = [i for i, t in sorted(mine, key=lambda x: (at[x[0]] % chunks, at[x[0]])) for _ in t.split()]
+        b = -(-len(words) // block)
+        due = min(round(want * b / len(words)), 3 * b)
+        total += due
+        for j in range(due):
+            k = _permuted(j % b, b, prp.key_of(mixing.SEED, src, j // b))
+            for i in words[k * block : (k + 1) * block]:
+                taken[i] = taken.get(i, 0) + 1
+    assert {i: r.taken for i, r in got.items()} == {i: taken.get(i, 0) for i, _, _ in rows}
+    assert all(sum(r.shard_words) == r.taken and len(r.shard_words) == 16 for r in got.values())
+
+
+def test_the_drawn_counts_decide_the_shards(spark, monkeypatch):
+    rows, docs = _mix_rows(spark)
+    blocks = mixing.mix_blocks(docs).collect()
+    by_shard, text, source = {}, dict((i, t) for i, t, _ in rows), {i: s for i, _, s in rows}
+    for r in blocks:
+        by_shard.setdefault(r.shard, []).append(r)
+        assert len(r.text.split()) == r.n_words <= mixing.BLOCK_WORDS and {source[int(w[1:].split("_")[0])] for w in r.text.split()} == {r.source}
+    sizes = [len(by_shard[k]) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(r.slot for r in v) == list(range(len(v))) for v in by_shard.values())
+    got = {r.doc_id: (r.taken, r.shard_words) for r in mixing.mix_sizes(docs).collect()}
+    words = {}
+    for r in blocks:
+        for w in r.text.split():
+            doc, k = map(int, w[1:].split("_"))
+            assert text[doc].split()[k] == w
+            words.setdefault(doc, [0] * 16)[r.shard] += 1
+    assert {i: g[1] for i, g in got.items() if g[0]} == words
+    plan = mixing.Plan(spark.createDataFrame([(i, i, s, len(t.split())) for i, t, s in rows], "row long, id long, source string, size long"))
+    counts = {r.src: r.counts for r in plan.shard_counts().collect()}
+    due = {r.src: r.due for r in plan.sources.collect()}
+    assert {s: sum(c) for s, c in counts.items()} == due and [sum(c[k] for c in counts.values()) for k in range(16)] == plan.room
+    # Other counts with the same sums: the same words are taken, but they go to other shards.
+    monkeypatch.setattr(mixing, "counts_with_sums", lambda rows, room, rng: sharding.counts_with_sums(rows, room, np.random.default_rng(99)))
+    other = {r.doc_id: (r.taken, r.shard_words) for r in mixing.mix_sizes(docs).collect()}
+    assert {i: g[0] for i, g in other.items()} == {i: g[0] for i, g in got.items()} and other != got
+
+
+def test_sources_are_drawn_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    rows = spark.createDataFrame([(i, i, f"s{i % 11:02}", 40 + i) for i in range(60)], "row long, id long, source string, size long")
+    plan = mixing.Plan(rows, shards=4)
+    drawn = plan.shard_counts().collect()
+    due = {r.src: r.due for r in plan.sources.collect()}
+    assert {r.src: sum(r.counts) for r in drawn} == due and [sum(r.counts[k] for r in drawn) for k in range(4)] == plan.room
+    slots = plan.slots().collect()
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) == sum(due.values()) and all(r.slot < plan.room[r.shard] for r in slots)
+
+
 def test_running_starts_are_those_of_one_order(spark):
     rows = spark.range(5000).select(F.col("id").alias("row"), (F.col("id") % 2).cast("int").alias("src"), F.lit(2500).cast("long").alias("n_rows"), F.xxhash64("id").alias("at"), (F.col("id") % 7).alias("size"))
     got = sorted((r.src, r.start, r.size) for r in mixing.running_start(rows).collect() if r.size)
