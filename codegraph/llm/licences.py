@@ -13,6 +13,10 @@ SENTENCES = {
     "mit_grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
     "mit_notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
     "as_is": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement",),
+    "gpl2_only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 only as published by the free software foundation",),
+    "gpl3_only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",),
+    "lgpl21_only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation version 2 1 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license version 2 1 as published by the free software foundation",),
+    "agpl3_only": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license version 3 as published by the free software foundation",),
     "isc_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "apache_name": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "apache license version 2 0", "released under the apache license version 2 0",),
     "apache_comply": ("you may not use this file except in compliance with the license",),
@@ -94,6 +98,12 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_details", "gpl_received",)),
     ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_received",)),
     ("GPL-2.0-or-later", ("gpl2_free",)),
+    ("GPL-2.0-only", ("gpl2_only", "gpl_hope", "gpl_details", "gpl_received",)),
+    ("GPL-2.0-only", ("gpl2_only",)),
+    ("GPL-3.0-only", ("gpl3_only", "gpl_hope", "gpl_details", "gpl_received",)),
+    ("GPL-3.0-only", ("gpl3_only",)),
+    ("LGPL-2.1-only", ("lgpl21_only",)),
+    ("AGPL-3.0-only", ("agpl3_only",)),
     ("LGPL-3.0", ("lgpl3_name",)),
     ("LGPL-2.1", ("lgpl21_name",)),
     ("AGPL-3.0", ("agpl3_name",)),
@@ -118,10 +128,25 @@ RULES = (
     ("CC0-1.0", ("cc0_name",)),
     ("Unlicense", ("unlicense",)),
 )
+#: Places of known sentences that hold names or come in other words, and the words that the table has there (fixed values).
+SLOTS = (
+    (r"^neither the names? of .+ nor the names? of (?:its |their |any |the |other )*contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    (r"^the names? of .+ may not be used to endorse or promote products derived from this software without", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without"),
+    (r"^this software is provided by .+ as is and any express or implied warranties", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    (r"^in no event shall .+ be liable for any claim damages or other liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    (r"^permission to use copy modify (?:and or|and|or) distribute this software( and its documentation)? for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    (r"^the software is provided as is and .+ disclaims? all warranties", "the software is provided as is and the author disclaims all warranties"),
+    (r"^(?:this|the) (?:library|software|file|package|module|code) is free software you (?:can|may) redistribute it and or modify it", "this program is free software you can redistribute it and or modify it"),
+    (r"^.+ is free software you (?:can|may) redistribute it and or modify it under the terms of the gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu"),
+)
+#: What a sentence with such a place has.
+SLOTTED = r"^neither the name|^the names? of .+ may not be used|^this software is provided by|^in no event shall|^permission to use copy modify|^the software is provided as is and|is free software you "
+#: Short forms whose full stop ends no sentence where a small letter follows.
+SHORT = r"\b(Inc|INC|Ltd|LTD|Corp|CORP|Co|CO|GmbH|Dr|al|No)\.([ \t]+[a-z])"
 #: Licences that are named by an SPDX tag: names joined by operators, up to the first word that is neither.
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
 #: Where a sentence ends inside a paragraph: before a blank after a full stop or mark, a closed bracket with semicolon, or the colon of a list.
-SENTENCE_END = r"([.!?]|\);|conditions:|met:|following:|restrictions:)[ \t]+"
+SENTENCE_END = r"(?i)([.!?]|\);|conditions:|met:|following:|restrictions:)[ \t]+"
 #: The first of the characters that stand for sentences while rules are matched.
 FIRST = 0x3041
 RARE = ("license", "licensed", "permission", "warranty", "copyright", "redistribution", "redistributions", "compliance", "cc0", "cc", "unencumbered", "mpl", "liable", "attribution", "neither")
@@ -137,7 +162,15 @@ def _anchor(sentences=SENTENCES) -> str:
 
 
 def _clean(s):
-    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))
+    """A sentence as the table has it: small letters and digits, single blanks, names in their places replaced."""
+
+    def slots(c):
+        out = c
+        for pattern, words in SLOTS:
+            out = F.regexp_replace(out, pattern, words)
+        return F.when(c.rlike(SLOTTED), out).otherwise(c)
+
+    return let(F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")), slots)
 
 
 def known_sentences(text, sentences=SENTENCES):
@@ -148,8 +181,8 @@ def known_sentences(text, sentences=SENTENCES):
     """
     ids = {s: name for name, group in sentences.items() for s in group}
     table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    lines = F.transform(F.split(F.lower(text), r"\R"), lambda x: let(_clean(x), lambda c: F.when(c == "", "\n").when(c.isin(*ids), F.concat(F.lit("\n"), c, F.lit("\n"))).otherwise(F.regexp_replace(x, r"\A[^\p{L}\p{N}(]+", ""))))
-    joined = F.regexp_replace(F.array_join(lines, " "), SENTENCE_END, "$1\n")
+    lines = F.transform(F.split(text, r"\R"), lambda x: let(_clean(x), lambda c: F.when(c == "", "\n").when(c.isin(*ids), F.concat(F.lit("\n"), c, F.lit("\n"))).otherwise(F.regexp_replace(x, r"\A[^\p{L}\p{N}(]+", ""))))
+    joined = F.regexp_replace(F.regexp_replace(F.array_join(lines, " "), SHORT, "$1$2"), SENTENCE_END, "$1\n")
     found = F.transform(F.filter(F.transform(F.split(joined, "\n"), _clean), lambda s: s.isin(*ids)), lambda s: table[s])
     nothing = F.when(text.isNotNull(), F.array().cast("array<string>"))
     return F.when(text.rlike(f"(?i){_anchor(sentences)}"), found).otherwise(nothing)
@@ -205,11 +238,18 @@ def oracle_sql(sentences=SENTENCES, rules=RULES) -> str:
     ids = ", ".join(f"'{s}': '{name}'" for name, group in sentences.items() for s in group)
     codes = ", ".join(f"'{name}': '{c}'" for name, c in code.items())
     named = " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{name}'" for (name, _), p in zip(rules, patterns))
-    clean = lambda x: rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    plain = lambda x: rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+    def clean(x):
+        out = plain(x)
+        for pattern, words in SLOTS:
+            out = f"regexp_replace({out}, '{pattern}', '{words}')"
+        return f"CASE WHEN regexp_matches({plain(x)}, '{SLOTTED}') THEN {out} ELSE {plain(x)} END"
+
     return rf"""
-WITH lines AS (SELECT doc_id, text, string_split_regex(lower(text), '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM documents),
+WITH lines AS (SELECT doc_id, text, string_split_regex(text, '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM documents),
 ids AS (SELECT MAP {{{ids}}} AS m, MAP {{{codes}}} AS c),
-joined AS (SELECT doc_id, text, m, c, regexp_replace(array_to_string(list_transform(ls, lambda x: CASE WHEN {clean('x')} = '' THEN chr(10) WHEN m[{clean('x')}] IS NOT NULL THEN chr(10) || {clean('x')} || chr(10) ELSE regexp_replace(x, '\A[^\p{{L}}\p{{N}}(]+', '') END), ' '), '{SENTENCE_END}', '\1' || chr(10), 'g') AS line FROM lines, ids),
+joined AS (SELECT doc_id, text, m, c, regexp_replace(regexp_replace(array_to_string(list_transform(ls, lambda x: CASE WHEN {clean('x')} = '' THEN chr(10) WHEN m[{clean('x')}] IS NOT NULL THEN chr(10) || {clean('x')} || chr(10) ELSE regexp_replace(x, '\A[^\p{{L}}\p{{N}}(]+', '') END), ' '), '{SHORT}', '\1\2', 'g'), '{SENTENCE_END}', '\1' || chr(10), 'g') AS line FROM lines, ids),
 found AS (SELECT doc_id, text, c, list_filter(list_transform(string_split(line, chr(10)), lambda s: m[{clean('s')}]), lambda x: x IS NOT NULL) AS f FROM joined),
 spans AS (SELECT doc_id, f, list_transform(regexp_extract_all(array_to_string(list_transform(f, lambda x: c[x]), ''), '{'|'.join(patterns)}'), lambda x: CASE {named} END) AS l, list_transform(regexp_extract_all(text, '{SPDX}', 1), lambda x: regexp_replace(x, '[ \t]+', ' ', 'g')) AS tags FROM found),
 alls AS (SELECT doc_id, f, list_filter(l || tags, lambda x, i: list_position(l || tags, x) = i) AS names FROM spans)

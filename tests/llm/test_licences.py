@@ -36,7 +36,16 @@ def wrapped(text, mark=""):
     return "\n".join(f"{mark}{x}".rstrip() for i, p in enumerate(parts) for x in ([""] if i else []) + p)
 
 
+GOOGLE = BSD3.replace("the copyright holder nor", "Google Inc. nor")
+ISC = """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND ISC DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."""
+NAMED = """Foo Tools is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
 CASES = [
+    (30, wrapped(GOOGLE, " * "), "BSD-3-Clause"), (31, BSD3.replace("the copyright holder", "the University of X, Y & Z"), "BSD-3-Clause"), (32, BSD2 + "\n\n3. The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"), (33, wrapped(ISC, "// "), "ISC"), (34, ISC.split("\n")[0], "ISC"),
+    (35, wrapped(GPL2, "# "), "GPL-2.0-only"), (36, GPL2.replace("License as", "License version 2 as").replace("; version 2 of the License", ""), "GPL-2.0-only"), (37, wrapped(NAMED), "GPL-3.0-or-later"), (38, wrapped(LGPL.replace("This library", "This file")), "LGPL-2.1-or-later"), (39, GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of"), "LGPL-2.1-only"),
+    (40, MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS BE", "ACME INC. BE"), "MIT"), (41, "Neither the name of the rose nor the names of its readers matter.", None), (42, "Made by Foo Co. Licensed under the ISC License.", "ISC"),
     (1, MIT, "MIT"), (2, wrapped(MIT), "MIT"), (3, "/*\n" + wrapped(MIT, " * ") + "\n */\nint main() {}", "MIT"), (4, MIT.split("\n\n", 2)[2].replace("\n", " "), "MIT"), (5, wrapped(MIT, "# ").replace("\n", "\r\n"), "MIT"),
     (6, wrapped(BSD2), "BSD-2-Clause"), (7, wrapped(BSD3, "// "), "BSD-3-Clause"), (8, BSD2 + "\n\n" + BSD3, "BSD-2-Clause AND BSD-3-Clause"), (9, BSD3 + "\n\n" + wrapped(BSD2), "BSD-3-Clause AND BSD-2-Clause"),
     (10, "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}", "MIT OR Apache-2.0"), (11, "# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0)  AND MIT */", "(GPL-2.0-only WITH Classpath-exception-2.0) AND MIT"), (12, "SPDX-License-Identifier: MIT is the tag", "MIT"),
