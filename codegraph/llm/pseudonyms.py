@@ -13,7 +13,9 @@ from .shared import free_name, quoted
 
 ROUNDS = 8
 DIGITS, HEX, UPPER, LOWER = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SECRET_HEAD = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
+#: A name that ends in such a word, or goes on after it with a mark, then a sign and the value.
+SECRET_HEAD = r"(?i:token|secret|passw(?:or)?d|api[_-]?key)(?:[_-][A-Za-z0-9_-]*+)?[\"']?[ \t]*+[=:][ \t]*+[\"']?"
+PASSWORD_HEAD = r"(?i:passw(?:or)?d|pwd)(?:[_-][A-Za-z0-9_-]*+)?[ \t]*+=[ \t]*+[\"']?"
 #: Prefixes by which keys of well-known services show without a name before them, and what follows (fixed values).
 KEY_HEADS = r"(?:(?:AKIA|ASIA)(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[oprsu]_(?=[A-Za-z0-9]{36})|github_pat_(?=[A-Za-z0-9_]{22})|AIza(?=[A-Za-z0-9_-]{35})|xox[abeoprs]-(?=[A-Za-z0-9-]{10})|sk-(?=[A-Za-z0-9_-]{20})|eyJ(?=[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.))"
 #: What may be private, in the order in which alternatives are tried; some of it is validated below. No repeat has an upper
@@ -21,17 +23,20 @@ KEY_HEADS = r"(?:(?:AKIA|ASIA)(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[oprsu]_(?=[A-Za
 SHAPES = {
     "secret": SECRET_HEAD + r"(?=[A-Za-z0-9_+/.-]*\d)[A-Za-z0-9_+/.-]{16,}+",
     "key": r"(?<![A-Za-z0-9])" + KEY_HEADS + r"[A-Za-z0-9_.-]++",
+    "password": PASSWORD_HEAD + r"[\p{L}\p{N}_+/.!@#$%^*-]{6,}+",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}+(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip6": r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
-    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
+    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}|\+[1-9]\d{6,14}|\(0\d{1,4}\) ?\d{3,4}[ -]\d{3,4}|[2-9]\d{2} [2-9]\d{2} \d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
     "card": r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
 }
 SHAPE = "|".join(SHAPES.values())
-#: Days of one Gregorian cycle of 400 years from FIRST_DAY as two factors, and those after the 12th of a month.
-FIRST_DAY, DAYS, LATE_DAYS = "1700-01-01", (189, 773), (9, 9833)
+#: Days of one Gregorian cycle of 400 years from FIRST_DAY as two factors, and those after the 12th of a month. Dates move
+#: within their cycle; those of the whole cycles with years of four digits, CYCLES before and after the first, are dates.
+FIRST_DAY, DAYS, LATE_DAYS, CYCLES = "1700-01-01", (189, 773), (9, 9833), (-4, 19)
 #: Long values are permuted in pieces of so many characters, each with its place as part of the key.
 PIECE = 48
 #: Alphabets as first and last code point: a character moves within its own. Other letters and digits move within their
@@ -144,30 +149,36 @@ def _mod97(s: Column) -> Column:
 
 
 def _date(value: Column) -> Column:
-    iso, slash, dot = (F.to_date(F.try_to_timestamp(value, F.lit(f))) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy"))
+    iso, year, slash, dot = (F.to_date(F.try_to_timestamp(value, F.lit(f))) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd.MM.yyyy"))
     month_first = F.to_date(F.try_to_timestamp(value, F.lit("MM/dd/yyyy")))
-    return F.when(value.rlike(r"\A\d{4}-"), iso).when(value.contains("/"), F.coalesce(slash, month_first)).otherwise(dot)
+    return F.when(value.rlike(r"\A\d{4}-"), iso).when(value.rlike(r"\A\d{4}/"), year).when(value.contains("/"), F.coalesce(slash, month_first)).otherwise(dot)
+
+
+def _cycle(day: Column) -> Column:
+    """The cycle of 400 years that a day lies in, 0 for that from FIRST_DAY."""
+    return F.floor(F.datediff(day, F.lit(FIRST_DAY).cast("date")) / (DAYS[0] * DAYS[1])).cast("int")
 
 
 def _kind(v: Column) -> Column:
     """The kind of a value that has a shape and is valid; null for what only looks like it."""
     digits = F.regexp_replace(v, r"\D", "")
-    plain = F.replace(v, F.lit(" "), F.lit(""))
-    day = F.datediff(_date(v), F.lit(FIRST_DAY).cast("date"))
+    plain = F.upper(F.replace(v, F.lit(" "), F.lit("")))
     valid = {
         "secret": F.lit(True),
         "key": F.substring_index(v, ".", 1).rlike(r"\d") | v.contains("."),
+        "password": F.lit(True),
         "email": ~F.substring_index(v, "@", -1).rlike(r"\.\.|[.-]\z"),
         "iban": F.length(plain).between(15, 34) & (_mod97(F.concat(F.substring(plain, 5, 34), F.substring(plain, 1, 4))) == 1),
+        "ip6": ~v.contains("::") | F.size(F.filter(F.split(v, ":"), lambda x: x != "")).between(2, 7),
         "ip": F.forall(F.split(v, r"\."), lambda x: x.cast("int") <= 255),
-        "date": F.coalesce(day.between(0, DAYS[0] * DAYS[1] - 1), F.lit(False)),
+        "date": F.coalesce(_cycle(_date(v)).between(*CYCLES), F.lit(False)),
         "ssn": ~v.rlike(r"\A(?:000|666|9)|-00-|-0000\z"),
         "phone": F.length(digits).between(7, 15),
         "card": F.length(digits).between(13, 19) & (luhn_sum(digits, False) % 10 == 0) & ~digits.rlike(r"\A0+\z"),
     }
     out = F.lit(None).cast("string")
     for kind, ok in reversed(valid.items()):
-        out = F.when(v.rlike(_whole(SHAPES[kind])), F.when(ok, F.lit("secret" if kind == "key" else kind))).otherwise(out)
+        out = F.when(v.rlike(_whole(SHAPES[kind])), F.when(ok, F.lit({"key": "secret", "password": "secret", "ip6": "ip"}.get(kind, kind)))).otherwise(out)
     return out
 
 
@@ -189,7 +200,7 @@ def _late_date(rank: Column) -> Column:
 
 def _pseudonym(v: Column, kind: Column, key: str) -> Column:
     def secret():
-        head = F.regexp_extract(v, rf"\A(?:{SECRET_HEAD}|{KEY_HEADS})", 0)
+        head = F.regexp_extract(v, rf"\A(?:{SECRET_HEAD}|{PASSWORD_HEAD}|{KEY_HEADS})", 0)
         rest = F.substr(v, F.length(head) + 1)
         return F.concat(head, F.when(rest.rlike(r"\A[0-9a-f]{1,64}\z"), permute_text(rest, key, "hex", HEX)).otherwise(permute_all(rest, key, "secret")))
 
@@ -197,12 +208,13 @@ def _pseudonym(v: Column, kind: Column, key: str) -> Column:
         return F.concat(permute_all(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1))
 
     def iban():
-        plain = F.replace(v, F.lit(" "), F.lit(""))
+        plain = F.upper(F.replace(v, F.lit(" "), F.lit("")))
         country, body = F.substring(plain, 1, 2), permute_text(F.substring(plain, 5, 34), key, "iban")
 
         def spaced(b):
             check = F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
             full = F.concat(country, check, b)
+            full = F.when(v == F.lower(v), F.lower(full)).otherwise(full)
             return F.when(v.contains(" "), F.rtrim(F.regexp_replace(full, "(.{4})", "$1 "))).otherwise(full)
 
         return let(body, spaced)
@@ -211,20 +223,23 @@ def _pseudonym(v: Column, kind: Column, key: str) -> Column:
         return let(feistel(F.array(*[x.cast("long") for x in values]), F.array(*[F.lit(s).cast("long") for s in sizes]), key, tweak), lambda m: out(*[F.get(m, i) for i in range(len(sizes))]))
 
     def ip():
-        parts = F.split(v, r"\.")
-        return numbers([F.get(parts, i).cast("int") for i in range(4)], [256] * 4, "ip", lambda *x: F.concat_ws(".", *[y.cast("string") for y in x]))
+        parts, six = F.split(v, r"\."), permute_text(F.lower(v), key, "ip6", HEX)
+        return F.when(v.contains(":"), F.when(v.rlike("[A-F]"), F.upper(six)).otherwise(six)).otherwise(numbers([F.get(parts, i).cast("int") for i in range(4)], [256] * 4, "ip", lambda *x: F.concat_ws(".", *[y.cast("string") for y in x])))
 
     def date():
-        day = F.datediff(_date(v), F.lit(FIRST_DAY).cast("date"))
+        # The calendar repeats after a cycle, so a date is moved as its like in the first one.
+        shift = _cycle(_date(v)) * (DAYS[0] * DAYS[1])
+        like = F.date_sub(_date(v), shift)
+        day = F.datediff(like, F.lit(FIRST_DAY).cast("date"))
 
         def out(a, b):
-            moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (a * DAYS[1] + b).cast("int"))
-            return F.when(v.rlike(r"\A\d{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(v.contains("/"), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
+            moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (a * DAYS[1] + b).cast("int") + shift)
+            return F.when(v.rlike(r"\A\d{4}-"), F.date_format(moved, "yyyy-MM-dd")).when(v.rlike(r"\A\d{4}/"), F.date_format(moved, "yyyy/MM/dd")).when(v.contains("/"), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
 
         # Month first shows only by a day after the 12th; such dates stay among their like.
-        month_first = v.contains("/") & F.try_to_timestamp(v, F.lit("dd/MM/yyyy")).isNull()
-        late = lambda a, b: F.date_format(_late_date(a * LATE_DAYS[1] + b), "MM/dd/yyyy")
-        rank = _late_rank(_date(v))
+        month_first = v.rlike(r"\A\d\d/") & F.try_to_timestamp(v, F.lit("dd/MM/yyyy")).isNull()
+        late = lambda a, b: F.date_format(F.date_add(_late_date(a * LATE_DAYS[1] + b), shift), "MM/dd/yyyy")
+        rank = _late_rank(like)
         return F.when(month_first, numbers([F.floor(rank / LATE_DAYS[1]), rank % LATE_DAYS[1]], LATE_DAYS, "month first", late)).otherwise(numbers([F.floor(day / DAYS[1]), day % DAYS[1]], DAYS, "date", out))
 
     def ssn():
@@ -234,7 +249,7 @@ def _pseudonym(v: Column, kind: Column, key: str) -> Column:
         return numbers([place, F.substring(v, 5, 2).cast("int") - 1, F.substring(v, 8, 4).cast("int") - 1], (898, 99, 9999), "ssn", lambda a, g, s: F.concat_ws("-", F.lpad(back(a).cast("string"), 3, "0"), F.lpad((g + 1).cast("string"), 2, "0"), F.lpad((s + 1).cast("string"), 4, "0")))
 
     def phone():
-        head = F.regexp_extract(v, r"\A\+\d{1,3}(?=[ .(-])", 0)
+        head = F.regexp_extract(v, r"\A(?:\+\d{1,3}(?=[ .(-])|\+\d{2}|\(0)", 0)
         return F.concat(head, permute_text(F.substr(v, F.length(head) + 1), key, "phone"))
 
     def card():
@@ -250,8 +265,9 @@ def _pseudonym(v: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str = "private_kinds", count_col: str = "n_private") -> DataFrame:
     """``docs`` with private values in the text replaced, and with the kinds found and their number.
 
-    E-mail addresses (but for their domain), phone numbers, secrets after a name like ``token =`` or with the prefix of a
-    well-known service, IPv4 addresses, valid dates, social security numbers, cards and bank accounts with valid check
+    E-mail addresses (but for their domain), phone numbers, secrets of 16 characters or more with a digit after a name like
+    ``token =`` or ``AWS_SECRET_ACCESS_KEY:``, what is set as a password by ``=``, keys with the prefix of a well-known
+    service, IPv4 and IPv6 addresses, valid dates from the year 100 to 9699, social security numbers, cards and bank accounts with valid check
     digits get a value of the same format that is valid again. Values of any length are found and replaced whole.
     Equal values get equal ones in all documents under one ``key``, different values of a kind and format different ones. What only looks like a number of these kinds stays, as does the rest of the text. Null and empty texts
     stay as they are, with no kinds. Columns of the two names are replaced; other columns are kept.
@@ -262,7 +278,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
         kinds = F.transform(hits, _kind)
         return let(kinds, lambda ks: F.struct(F.transform(hits, lambda v, i: let(F.get(ks, i), lambda k: F.when(k.isNull(), v).otherwise(_pseudonym(v, k, key)))).alias("values"), ks.alias("kinds")))
 
-    found = F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(SHAPE), 0), lambda h: F.when(F.size(h) > 0, replaced(h))))
+    found = F.when(text.rlike("(?i)[0-9@]|passw|pwd"), let(F.regexp_extract_all(text, F.lit(SHAPE), 0), lambda h: F.when(F.size(h) > 0, replaced(h))))
     got = free_name("found", docs)
     rows = docs.withColumn(got, found)
     joined = F.array_join(F.transform(F.split(text, SHAPE, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(f"{got}.values"), i), F.lit("")))), "")

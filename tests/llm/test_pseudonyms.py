@@ -119,3 +119,34 @@ def test_detection_against_the_model(spark):
             assert out.count(bad) == t.count(bad)
         for good in ("4539148803436467", "DE89 3704 0044 0532 0130 00", "abcdefgh12345678"):
             assert good not in out
+
+
+HIDDEN = {
+    "token      = abcdefghij1234567890": "token      = ", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCY": "AWS_SECRET_ACCESS_KEY=", "my_password=correcthorsebattery": "my_password=", "Api-Key:\t'a1b2c3d4e5f6a7b8c9": "Api-Key:\t'",
+    "+14155552671": "+14", "(020) 7946 0958": "(0", "555 867 5309": "", "2001:0db8:85a3:0000:0000:8a2e:0370:7334": "", "fe80::1ff:fe23:4567:890a": "", "2001:DB8::A1": "", "de89370400440532013000": "de", "2024/01/31": "", "1650-03-01": "", "2150-01-01": "", "31.12.9699": "", "12/25/1640": "",
+}
+
+
+def test_more_shapes_are_hidden_in_their_format(spark):
+    got = _run(spark, [f"see {v} now" for v in HIDDEN])
+    for (v, head), t in zip(HIDDEN.items(), got):
+        out = t.removeprefix("see ").removesuffix(" now")
+        assert out != v and out.startswith(head) and len(out) == len(v), (v, out)
+        same = lambda c: "d" if c.isdigit() else "x" if c.isalpha() else c
+        if ":" not in v and "=" not in v:
+            assert [same(c) for c in out] == [same(c) for c in v], (v, out)
+    kinds = [r.private_kinds for r in ps.pseudonymise(spark.createDataFrame([(v,) for v in HIDDEN], "text string"), KEY).collect()]
+    assert kinds == [["secret"]] * 4 + [["phone"]] * 3 + [["ip"]] * 3 + [["iban"]] + [["date"]] * 5
+
+
+def test_what_only_looks_private_stays(spark):
+    clean = ["std::cout << a::b", "at 12:30:45 or 1::", "0099-01-01 and 9700-01-01", "100 200 3000", "password: none of it", "the token of my love", "2024/13/31", "1:2:3:4:5:6:7:8:9", "a+b=c", "pwd=x"]
+    assert _run(spark, clean) == clean
+
+
+def test_dates_of_a_cycle_stay_apart(spark):
+    start = datetime.date(2101, 1, 1)
+    written = [(start + datetime.timedelta(i)).strftime("%Y/%m/%d") for i in range(0, 4000, 7)]
+    got = [t.removeprefix("on ") for t in _run(spark, [f"on {d}" for d in written])]
+    days = [datetime.datetime.strptime(t, "%Y/%m/%d") for t in got]
+    assert len(set(got)) == len(written) and all(2100 <= d.year < 2500 for d in days)
