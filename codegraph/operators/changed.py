@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import stab
 from ..functions.text import strip
 from .diffs import hunk_ranges
 
-#: Ranges and symbols of a file meet by blocks of so many lines.
-LINES = 64
 #: Kinds of symbols that a change can seed (fixed values).
 SEED_KINDS = ("class", "struct", "interface", "enum", "record", "annotation", "function", "method", "constructor", "type_alias")
 
@@ -47,15 +46,15 @@ def ranges_of(diff_files: DataFrame) -> DataFrame:
 def overlap_symbols(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Ranges with the symbols of their path that they touch; a range of no lines touches what contains its point.
 
-    They meet by blocks of lines; a pair that shares several blocks counts in the first of them.
+    Two intervals meet if one begins inside the other. Ranges that begin in a symbol, and symbols that begin in a range
+    after its first line, are two joins of points with intervals; a pair is in one of them.
     """
     s = symbols.select("path", F.col("id").alias("symbol_id"), F.col("ordinal").alias("symbol_ordinal"), F.col("start_line").alias("symbol_start"), F.col("end_line").alias("symbol_end"))
-    block = lambda line: F.floor(F.greatest(line, F.lit(0)) / LINES)
-    blocks = lambda a, b: F.explode(F.sequence(block(a), block(F.greatest(a, b))))
-    last = F.col("range_start") + F.greatest(F.col("range_count") - 1, F.lit(0))
-    met = ranges.withColumn("block", blocks(F.col("range_start"), last)).join(s.withColumn("block", blocks(F.col("symbol_start"), F.col("symbol_end"))), ["path", "block"])
-    first = F.col("block") == block(F.greatest("range_start", "symbol_start"))
-    return met.where((F.col("symbol_start") <= last) & (F.col("symbol_end") >= F.col("range_start")) & first).drop("block").select(*ranges.columns, *[c for c in s.columns if c != "path"])
+    r = ranges.withColumn("last_", F.col("range_start") + F.greatest(F.col("range_count") - 1, F.lit(0)))
+    out = [*ranges.columns, *[c for c in s.columns if c != "path"]]
+    inside = stab(r, s, ["path"], "range_start", "symbol_start", "symbol_end").where("symbol_start <= range_start and symbol_end >= range_start")
+    after = stab(s, r, ["path"], "symbol_start", "range_start", "last_").where("symbol_start > range_start and symbol_start <= last_ and symbol_end >= range_start")
+    return inside.select(*out).unionByName(after.select(*out))
 
 
 def changed_symbols(overlaps: DataFrame) -> DataFrame:

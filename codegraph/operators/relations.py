@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import stab
 from ..functions.text import CALLABLES, edge_id
 from .store import dedupe_first
 
 #: Kinds that own reads and writes (fixed values).
 OWNERS = ("file", "class", "struct", "interface", "enum", "record", "function", "method", "constructor")
-#: Spans and symbols of a file meet by blocks of so many lines.
-LINES = 32
 COLUMNS = ["id", "kind", "path", "source", "destination", "source_id", "destination_id", "metadata", "ordinal"]
 
 
@@ -51,11 +50,9 @@ def enclosing_symbol(spans: DataFrame, symbols: DataFrame, kinds=OWNERS) -> Data
     Spans outside all symbols have no row.
     """
     s = symbols.where(F.col("kind").isin(*kinds)).select("path", F.struct("id", "kind", "qualified_name", "parent_name").alias("owner"), *[F.col(c).alias(f"s_{c}") for c in ("start_line", "start_column", "end_line", "end_column")], F.col("ordinal").alias("s_ordinal"))
-    s = s.withColumn("block", F.explode(F.sequence(F.floor(F.col("s_start_line") / LINES), F.floor(F.greatest("s_start_line", "s_end_line") / LINES))))
-    spans = spans.withColumn("block", F.floor(F.col("start_line") / LINES))
     inside = (F.struct("s_start_line", "s_start_column") <= F.struct(F.col("start_line").alias("s_start_line"), F.col("start_column").alias("s_start_column"))) & (F.struct(F.col("end_line").alias("s_end_line"), F.col("end_column").alias("s_end_column")) <= F.struct("s_end_line", "s_end_column"))
     rank = F.struct(F.col("s_end_line") - F.col("s_start_line"), F.col("s_end_column") - F.col("s_start_column"), "s_start_line", "s_start_column", "s_ordinal")
-    return spans.join(s, ["path", "block"]).where(inside).groupBy("path", "node_id").agg(F.min_by("owner", rank).alias("owner"))
+    return stab(spans, s, ["path"], "start_line", "s_start_line", "s_end_line").where(inside).groupBy("path", "node_id").agg(F.min_by("owner", rank).alias("owner"))
 
 
 def calls_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:

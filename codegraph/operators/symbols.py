@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import stab
 from ..functions.text import strip, symbol_id
 
 _DECORATED = "(?:decorated_definition/)?"
@@ -67,8 +68,6 @@ PARAMETERS = {"java": "formal_parameters/formal_parameter", "c": r"(?:[a-z_]+_de
 SUPER_TYPES = {"java": r"(?:superclass|super_interfaces|extends_interfaces)/(?:.*/)?(?:type_identifier|generic_type|scoped_type_identifier)", "cpp": "base_class_clause/(?:type_identifier|qualified_identifier|template_type)"}
 #: Node types whose text is the code of the declarators below them (fixed values).
 DECLARATIONS = ("field_declaration", "local_variable_declaration", "declaration", "type_definition")
-#: Symbols and what is below them meet by blocks of so many lines.
-LINES = 32
 WITH_BODY = ("class", "interface", "enum", "record", "annotation", "struct", "union", "namespace", "function", "method", "constructor")
 
 
@@ -168,9 +167,9 @@ def extract_symbols(nodes: DataFrame) -> DataFrame:
 def _with_lists(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     """Parameter and super type texts, joined by span; super types once each, in first-seen order."""
     wanted = nodes.where(F.col("type").isin("formal_parameter", "parameter_declaration", "type_identifier", "generic_type", "scoped_type_identifier", "qualified_identifier", "template_type"))
-    below = wanted.select("path", F.col("node_id").alias("n"), F.col("type_path").alias("n_path"), F.col("start_byte").alias("n_start"), F.col("end_byte").alias("n_end"), strip(F.col("text")).alias("n_text"), F.col("parent_id").alias("n_parent"), F.floor(F.col("start_line") / LINES).alias("block"))
-    holders = symbols.where("language <> 'python' and kind not in ('file', 'variable', 'import')").select("path", "ordinal", "language", "type_path", "start_byte", "end_byte", F.explode(F.sequence(F.floor(F.col("start_line") / LINES), F.floor(F.greatest("start_line", "end_line") / LINES))).alias("block"))
-    pairs = holders.join(below, ["path", "block"]).where("n_start >= start_byte and n_end <= end_byte and n > ordinal and startswith(n_path, concat(type_path, '/'))")
+    below = wanted.select("path", F.col("node_id").alias("n"), F.col("type_path").alias("n_path"), F.col("start_byte").alias("n_start"), F.col("end_byte").alias("n_end"), strip(F.col("text")).alias("n_text"), F.col("parent_id").alias("n_parent"), F.col("start_line").alias("n_line"))
+    holders = symbols.where("language <> 'python' and kind not in ('file', 'variable', 'import')").select("path", "ordinal", "language", "type_path", "start_byte", "end_byte", "start_line", "end_line")
+    pairs = stab(below, holders, ["path"], "n_line", "start_line", "end_line").where("n_start >= start_byte and n_end <= end_byte and n > ordinal and startswith(n_path, concat(type_path, '/'))")
     pairs = pairs.withColumn("rest", F.expr("substring(n_path, length(type_path) + 2)"))
     is_one = lambda patterns: _by_language(patterns, lambda p: F.col("rest").rlike(rf"\A{p}\z"))
     pairs = pairs.withColumn("parameter", F.coalesce(is_one(PARAMETERS), F.lit(False))).withColumn("super", F.coalesce(is_one(SUPER_TYPES), F.lit(False))).where("parameter or super")
@@ -230,8 +229,7 @@ def reference_names(nodes: DataFrame) -> DataFrame:
     leaf = nodes.where(F.col("type").isin("identifier", "field_identifier", "attribute", "field_access") | (F.col("field") == "object"))
     r = leaf.select("path", F.col("node_id").alias("r_id"), F.col("type").alias("r_type"), F.col("field").alias("r_field"), F.col("type_path").alias("r_path"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"), F.col("start_line").alias("line"), strip(F.col("text")).alias("r_text"))
     # By line, so that a file's expressions don't all meet all its names.
-    lined = expressions(nodes).withColumn("line", F.explode(F.sequence("e_first", "e_last")))
-    pairs = lined.join(r, ["path", "line"]).where("r_start >= e_start and r_end <= e_end and r_id >= e_id").withColumn("rest", F.expr("substring(r_path, cut + 2)"))
+    pairs = stab(r, expressions(nodes), ["path"], "line", "e_first", "e_last", unit=1).where("r_start >= e_start and r_end <= e_end and r_id >= e_id").withColumn("rest", F.expr("substring(r_path, cut + 2)"))
     called = _by_language(_CALL_NODE, lambda t: F.col("rest").rlike(rf"(?:\A|/){t}/(?!argument_list)"))
     inside = F.col("rest").rlike("(?:attribute|field_access)/") & F.col("language").isin("python", "java")
     in_object = F.col("rest").rlike(r"method_invocation/(?!argument_list)[^/]+/") | F.col("rest").rlike(r"(?:\A|/)method_invocation/(?!argument_list)[^/]+/")
