@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import let, split_lines, strip
+from ..sources.shared import stage
 
 #: A shell-like token: quoted pieces, escaped characters and plain runs in any order.
 TOKEN = r"""(?:"(?:[^"\\]|\\.)*"|'[^']*'|\\.|[^ \t\r\n"'\\])+"""
@@ -106,14 +107,8 @@ def _file(section: Column) -> Column:
     return let(split_lines(section), of)
 
 
-def read_files(diffs: DataFrame) -> DataFrame:
-    """``diffs(diff_id, diff, ...)`` -> one row for each file section, with ``error`` and ``line`` where it can't be read.
-
-    Text before the first header is an error unless it is blank. A diff without a header has no rows. Every row of
-    a diff carries ``diff_error``, the first error of the diff.
-    """
-    keys = [c for c in diffs.columns if c != "diff"]
-    sections = F.split(F.col("diff"), FILE_START, -1)
+def _found(diff: Column) -> Column:
+    """The sections of a text as structs, with an error row for what stands before the first header, unless it is blank."""
 
     def begin(s):
         return F.when(s.startswith("diff --git "), _file(s)).when(
@@ -128,9 +123,37 @@ def read_files(diffs: DataFrame) -> DataFrame:
             ),
         )
 
-    found = F.filter(F.transform(sections, begin), lambda f: f.isNotNull())
-    whole = let(found, lambda fs: F.struct(fs.alias("files"), F.get(F.filter(F.transform(fs, _error), lambda e: e.isNotNull()), 0).alias("diff_error")))
-    files = diffs.select(*keys, F.inline(F.array(whole))).select(*keys, F.posexplode("files").alias("file_ordinal", "f"), "diff_error")
+    return F.filter(F.transform(F.split(diff, FILE_START, -1), begin), lambda f: f.isNotNull())
+
+
+def read_files(diffs: DataFrame) -> DataFrame:
+    """``diffs(diff_id, diff, ...)`` -> one row for each file section, with ``error`` and ``line`` where it can't be read.
+
+    Text before the first header is an error unless it is blank. A diff without a header has no rows. Every row of
+    a diff carries ``diff_error``, the first error of the diff. Rows may be whole diffs, or sections with ``part`` and
+    ``offset`` (see :func:`codegraph.sources.scan.read_diff_sections`), which are numbered through their diff.
+    """
+    if "offset" in diffs.columns:
+        return _read_sections(diffs)
+    keys = [c for c in diffs.columns if c != "diff"]
+    whole = let(_found(F.col("diff")), lambda fs: F.struct(fs.alias("files"), F.get(F.filter(F.transform(fs, _error), lambda e: e.isNotNull()), 0).alias("diff_error")))
+    return _rows(diffs.select(*keys, F.inline(F.array(whole))).select(*keys, F.posexplode("files").alias("file_ordinal", "f"), "diff_error"), keys)
+
+
+def _read_sections(sections: DataFrame) -> DataFrame:
+    """Ordinals are sums: of the sections in the parts before, and of those before in the part, so a large diff isn't one task."""
+    keys = [c for c in sections.columns if c not in ("diff", "part", "offset")]
+    rows = stage(sections.select(*keys, "part", "offset", _found(F.col("diff")).alias("files")), "sections")
+    before = "rows between unbounded preceding and 1 preceding"
+    parts = rows.groupBy("diff_id", "part").agg(F.sum(F.size("files")).alias("n"))
+    parts = parts.select("diff_id", "part", F.expr(f"coalesce(sum(n) over (partition by diff_id order by part {before}), 0) as first_"))
+    rows = rows.withColumn("inside_", F.expr(f"coalesce(sum(size(files)) over (partition by diff_id, part order by offset {before}), 0)")).join(parts, ["diff_id", "part"])
+    files = rows.select(*keys, "first_", "inside_", F.posexplode("files").alias("at_", "f")).select(*keys, (F.col("first_") + F.col("inside_") + F.col("at_")).cast("int").alias("file_ordinal"), "f")
+    bad = files.where(_error(F.col("f")).isNotNull()).groupBy("diff_id").agg(F.min_by(_error(F.col("f")), "file_ordinal").alias("diff_error"))
+    return _rows(files.join(bad, "diff_id", "left"), keys)
+
+
+def _rows(files: DataFrame, keys: list[str]) -> DataFrame:
     kind = change_type(F.col("f.mode"), F.col("f.old_path"), F.col("f.new_path"))
     path = F.when(kind == "deleted", F.col("f.old_path")).otherwise(F.col("f.new_path"))
     return files.select(
@@ -150,7 +173,7 @@ def parse_diffs(diffs: DataFrame) -> DataFrame:
 
 def diff_errors(diffs: DataFrame) -> DataFrame:
     """The first error of each diff that can't be read, with its line."""
-    keys = [c for c in diffs.columns if c != "diff"]
+    keys = [c for c in diffs.columns if c not in ("diff", "part", "offset")]
     bad = read_files(diffs).where("error is not null")
     first = bad.groupBy(*keys).agg(F.min_by(F.struct("error", "line"), "file_ordinal").alias("e"))
     return first.select(*keys, "e.error", "e.line")

@@ -831,10 +831,20 @@ def _diffs_written(s, d, diffs_=None):
     return path
 
 
-@query("SELECT diff_id, count(*) AS files FROM fx_hunks GROUP BY diff_id")
+_SECTION = "'diff --git a/' || path || ' b/' || path || chr(10) || CASE change_type WHEN 'added' THEN 'new file mode 100644' || chr(10) WHEN 'deleted' THEN 'deleted file mode 100644' || chr(10) ELSE '' END || '--- ' || CASE change_type WHEN 'added' THEN '/dev/null' ELSE 'a/' || path END || chr(10) || '+++ ' || CASE change_type WHEN 'deleted' THEN '/dev/null' ELSE 'b/' || path END || chr(10) || '@@ -' || old_start || ',' || old_count || ' +' || new_start || ',' || new_count || ' @@' || chr(10) || ' x' || chr(10)"
+
+
+@query(f"SELECT diff_id, md5(string_agg({_SECTION}, '' ORDER BY event_id) || chr(10)) AS diff FROM fx_hunks GROUP BY diff_id")
 def read_diffs(s, d):
     r = scan.read_diffs(s, _diffs_written(s, d))
-    return r.select(F.col("diff_id").cast("long").alias("diff_id"), F.size(F.regexp_extract_all("diff", F.lit("(?m)^diff --git "), 0)).cast("long").alias("files"))
+    return r.select(F.col("diff_id").cast("long").alias("diff_id"), F.md5("diff").alias("diff"))
+
+
+@query("SELECT diff_id, row_number() OVER (PARTITION BY diff_id ORDER BY event_id) - 1 AS file_ordinal, path, change_type, new_start FROM fx_hunks")
+def read_diff_sections(s, d):
+    """The diffs are read in ranges of some hundred bytes, whose sections are parsed and numbered through each diff."""
+    f = diffs.parse_diffs(scan.read_diff_sections(s, _diffs_written(s, d), split_bytes=700))
+    return f.select(F.col("diff_id").cast("long").alias("diff_id"), F.col("file_ordinal").cast("long").alias("file_ordinal"), "path", "change_type", F.get("hunks", F.lit(0)).new_start_line.cast("long").alias("new_start"))
 
 
 @query(_AFTER)
