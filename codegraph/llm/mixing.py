@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import let
 from .prp import key_of, permute
 from .sharding import counts_with_sums
-from .shared import WORD, free_name, quoted, stage
+from .shared import WORD, free_name, quoted, stage, with_rows
 
 #: A source comes within a block of its target. Blocks of 32 words suit small corpora; over 100 TB some 4096 words keep the
 #: block table near 4 * 10**9 rows.
@@ -236,7 +236,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Documents of which nothing is taken have no row; null and empty texts are among them.
     """
     mark, parts = free_name("row", docs), free_name("spans", docs)
-    kept = stage(docs.withColumn(mark, F.monotonically_increasing_id()), "documents")
+    kept = with_rows(docs, mark)
     rows = stage(kept.select(F.col(mark).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     spans = Plan(rows, **how).taken().where("taken > 0").select(F.col("row").alias(mark), F.col("spans").alias(parts))
     copies = kept.join(spans, mark).withColumn(text_col, F.explode(_copies(F.col(text_col), F.col(parts))))

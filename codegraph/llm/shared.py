@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -66,3 +67,25 @@ def free_name(name: str, df: DataFrame) -> str:
 def ascii_lower(text):
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+#: Spark writes the same file's address with one slash or with three.
+SLASHES = ":/+"
+
+
+def with_rows(docs: DataFrame, mark: str) -> DataFrame:
+    """``docs`` with a number for each row in the column ``mark``, the same whenever it is read.
+
+    Rows of Parquet files have the number of their file and their place in it, so nothing is copied. Any other table is
+    written first, with the numbers that its rows have at that moment.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    scan = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString().lower() == "parquet"
+    if not scan or "_metadata" in {c.lower() for c in docs.columns}:
+        return stage(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    file, at, number = (free_name(n, docs) for n in ("file", "at", "number"))
+    # A row for each file of the table, which the driver lists anyway.
+    numbers = docs.sparkSession.createDataFrame([(re.sub(SLASHES, ":/", f, count=1), i) for i, f in enumerate(sorted(docs.inputFiles()))], f"{file} string, {number} long")
+    known = docs.select("*", F.regexp_replace("_metadata.file_path", rf"\A([^/]*){SLASHES}", "$1:/").alias(file), F.col("_metadata.row_index").alias(at)).join(F.broadcast(numbers), file, "left")
+    row = F.shiftleft(F.coalesce(number, F.raise_error(F.concat(F.lit("an unknown file: "), file)).cast("long")), 40).bitwiseOR(F.col(at))
+    return known.select(*map(quoted, docs.columns), row.alias(mark))
