@@ -218,7 +218,7 @@ SQL = {
     "fx_vectors": "SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS id, (['python', 'java', 'c', 'cpp'])[label % 4 + 1] AS language, embedding::DOUBLE[] AS embedding, vec_id % 100 = 0 AS is_query FROM embeddings",
     "fx_repo": "SELECT '/repo/' || rel AS path, doc_id % 13 = 0 AS parse_error FROM fx_docs WHERE doc_id % 10 <> 3",
     "fx_changes": "SELECT h.diff_id, h.event_id AS file_ordinal, '/repo/' || h.path AS path, CASE WHEN change_type = 'deleted' THEN 'deleted' WHEN r.path IS NULL THEN 'missing_file' WHEN r.parse_error THEN 'parse_error' ELSE 'analysed' END AS status FROM fx_hunks h LEFT JOIN fx_repo r ON r.path = '/repo/' || h.path",
-    "fx_last": "SELECT path, max_by(status, [diff_id, file_ordinal]) AS status, max_by(diff_id, [diff_id, file_ordinal]) AS diff_id FROM fx_changes GROUP BY path",
+    "fx_last": "SELECT path, CASE WHEN bool_or(status = 'deleted') AND max_by(status, [diff_id, file_ordinal]) IN ('parse_error', 'missing_file') THEN 'deleted' ELSE max_by(status, [diff_id, file_ordinal]) END AS status, max_by(diff_id, [diff_id, file_ordinal]) AS diff_id FROM fx_changes GROUP BY path",
     "fx_src": "SELECT CASE WHEN doc_id % 2 = 0 THEN '/repo/m' ELSE '/other/m' END || (doc_id // 2) || '.py' AS path, n, 1 + 11 * ((n - 1) // 3) + (CASE n % 3 WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 10 END) AS line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n FROM fx_docs)",
     "fx_py": "SELECT path, n, 'function' AS kind, 'f' || n AS qn, NULL AS parent, line FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'variable', 'f' || n || '.v' || n, 'f' || n, line + 1 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'variable', 'f' || n || '.w', 'f' || n, line + 2 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, n, 'class', 'C' || n, NULL, line FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'variable', 'C' || n || '.x', 'C' || n, line + 1 FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'method', 'C' || n || '.m', 'C' || n, line + 3 FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'variable', 'C' || n || '.m.y', 'C' || n || '.m', line + 4 FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, n, 'variable', 'k' || n, NULL, line FROM fx_src WHERE n % 3 = 0",
     "fx_refs": "SELECT path, r.mode, r.name, s.line + r.at AS line FROM fx_src s, LATERAL (SELECT unnest(CASE n % 3 WHEN 1 THEN [{'mode': 'writes', 'name': 'v' || n, 'at': 1}, {'mode': 'reads', 'name': 'a', 'at': 1}, {'mode': 'writes', 'name': 'w', 'at': 2}, {'mode': 'reads', 'name': 'v' || n, 'at': 2}, {'mode': 'reads', 'name': 'w', 'at': 3}] WHEN 2 THEN [{'mode': 'writes', 'name': 'x', 'at': 1}, {'mode': 'writes', 'name': 'y', 'at': 4}, {'mode': 'reads', 'name': 'x', 'at': 4}, {'mode': 'reads', 'name': 'y', 'at': 5}] ELSE [{'mode': 'writes', 'name': 'k' || n, 'at': 0}, {'mode': 'reads', 'name': 'k' || (n - 3), 'at': 0}] END) AS r)",
@@ -228,7 +228,7 @@ SQL = {
     "fx_lenient": "SELECT *, line + CASE kind WHEN 'function' THEN 3 WHEN 'class' THEN 5 WHEN 'method' THEN 2 ELSE 0 END AS last FROM fx_py WHERE n % 11 <> 5 OR (n % 3 = 1 AND qn NOT LIKE '%.v%')",
     "fx_pyhunks": "SELECT e.user_id * 2 + d.doc_id % 2 AS diff_id, e.event_id, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN '/repo/m' ELSE '/other/m' END || (d.doc_id // 2) || '.py' AS path, 1 + event_id % 9 AS old_start, event_id % 4 AS old_count, 1 + event_id % 7 AS new_start, event_id % 3 AS new_count FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT greatest(count(*), 1) FROM documents)",
     "fx_pyranges": "SELECT diff_id, path, old_start AS a, old_start + old_count - 1 AS b FROM fx_pyhunks WHERE old_count > 0 AND doc_id % 10 <> 3 UNION ALL SELECT diff_id, path, new_start, new_start + greatest(new_count - 1, 0) FROM fx_pyhunks WHERE (new_count > 0 OR old_count = 0) AND doc_id % 10 <> 3",
-    "fx_pylast": "SELECT path, max_by(status, [diff_id, event_id]) AS status FROM fx_pychanges GROUP BY path",
+    "fx_pylast": "SELECT path, CASE WHEN bool_or(status = 'deleted') AND max_by(status, [diff_id, event_id]) IN ('parse_error', 'missing_file') THEN 'deleted' ELSE max_by(status, [diff_id, event_id]) END AS status FROM fx_pychanges GROUP BY path",
     "fx_pyafter": "SELECT r.what, r.id, l.status FROM fx_pyrows r JOIN (SELECT path, max(n) AS nl FROM fx_src GROUP BY path) s ON s.path = r.path LEFT JOIN fx_pylast l ON l.path = r.path WHERE l.status IS NULL OR l.status = 'parse_error' OR (l.status = 'missing_file' AND r.what <> 'document') OR (l.status = 'analysed' AND 2 * r.n <= s.nl + 1)",
     "fx_callable": "SELECT *, CASE WHEN trim(body) = '' THEN signature ELSE signature || chr(10) || trim(body) END AS document FROM fx_symbols WHERE kind IN ('function', 'method', 'constructor') AND body <> ''",
     "fx_named": "SELECT path, qualified_name, max_by(id, ordinal) AS id FROM fx_all GROUP BY path, qualified_name",

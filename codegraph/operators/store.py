@@ -83,6 +83,30 @@ def unique_id_check(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+#: Rows of a table are told apart by two hashes of all their columns.
+DIGEST = ("rows", "sum", "xor")
+
+
+def digests(rows: DataFrame, buckets: int, key: str = "path") -> DataFrame:
+    """``(bucket, rows, sum, xor)``: for each bucket of ``key`` how many rows it has, and what they are, in any order.
+
+    The sum of one hash of each row and the exclusive or of another: repeats count in the sum. Digests of
+    disjoint sets of rows add up, so those of a changed bucket can be computed from its rows alone (see ``Store``).
+    Columns count in the order of their names; maps as their sorted entries.
+    """
+    plain = [F.array_sort(F.map_entries(c)) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in sorted(rows.columns)]
+    marks = [F.isnull(c).cast("int") for c in sorted(rows.columns)]
+    hashed = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64(F.lit(1), *marks, *plain).alias("a"), F.xxhash64(F.lit(2), *marks, *plain).alias("b"))
+    return hashed.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum(F.col("a").cast("decimal(38,0)")).cast("decimal(38,0)").alias("sum"), F.bit_xor("b").alias("xor"))
+
+
+def changed_buckets(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(bucket, expected_rows, stored_rows)`` of the buckets whose :func:`digests` differ, those that one side lacks with 0."""
+    e, s = (df.select("bucket", F.struct(*DIGEST).alias(n)) for df, n in ((expected, "e"), (stored, "s")))
+    both = e.join(s, "bucket", "full").where(~F.col("e").eqNullSafe(F.col("s")))
+    return both.select("bucket", F.coalesce("e.rows", F.lit(0)).alias("expected_rows"), F.coalesce("s.rows", F.lit(0)).alias("stored_rows"))
+
+
 def verify_index(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: the first of nodes, edges and documents whose counts differ, with both counts; nulls if all agree."""
     e, s = expected.select("nodes", "edges", "documents"), stored.select(*[F.col(c).alias(f"s_{c}") for c in ("nodes", "edges", "documents")])

@@ -139,12 +139,12 @@ def imports_edges(s, d):
 
 
 def _spans(s, d):
-    """A node in every third line: it starts in column 5, ends in column 9 and calls a name."""
-    n = fx.symbols(s, d).where("ordinal % 3 = 1")
+    """A node in every line: it starts in column 5, ends in column 9 and calls a name."""
+    n = fx.symbols(s, d)
     return n.select("path", F.col("ordinal").alias("node_id"), "start_line", F.lit(5).alias("start_column"), F.col("start_line").alias("end_line"), F.lit(9).alias("end_column"), F.concat(F.lit("s"), F.col("ordinal") % 9).alias("callee"))
 
 
-_INNER = "(SELECT n.path, n.ordinal AS node_id, s.id AS owner_id, s.kind, s.qualified_name AS owner, s.parent_name, row_number() OVER (PARTITION BY n.path, n.ordinal ORDER BY s.end_line - s.start_line, s.start_line, s.ordinal) AS rn FROM fx_symbols n JOIN fx_all s ON s.path = n.path AND s.start_line <= n.start_line AND s.end_line >= n.start_line WHERE n.ordinal % 3 = 1 AND s.kind IN ({}))"
+_INNER = "(SELECT n.path, n.ordinal AS node_id, s.id AS owner_id, s.kind, s.qualified_name AS owner, s.parent_name, row_number() OVER (PARTITION BY n.path, n.ordinal ORDER BY s.end_line - s.start_line, s.start_line, s.ordinal) AS rn FROM fx_symbols n JOIN fx_all s ON s.path = n.path AND s.start_line <= n.start_line AND s.end_line >= n.start_line WHERE s.kind IN ({}))"
 _ALL_OWNERS = _INNER.format("'file', 'class', 'function', 'method', 'constructor'")
 _CALLERS = _INNER.format("'function', 'method', 'constructor'")
 
@@ -514,14 +514,14 @@ def modified_code(s, d):
 
 
 def _graph_nodes(s, d):
-    """Nodes of each diff: the files' symbols that are not in the first place, some with another id or other lines."""
+    """Nodes of each diff: all symbols of its files, some with another id or other lines."""
     f = fx.diff_files(s, d).select("diff_id", "path").distinct()
-    n = fx.symbols(s, d).where("ordinal % 5 = 2").join(f, "path")
+    n = fx.symbols(s, d).join(f, "path")
     o = F.col("ordinal")
     return n.select("diff_id", F.when(o % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("x:"), "id")).alias("id"), "path", "qualified_name", F.when(o % 3 == 0, o + 1000).otherwise(F.col("start_line")).alias("start_line"), "end_line")
 
 
-_NODES = "(SELECT f.diff_id, CASE WHEN ordinal % 2 = 0 THEN id ELSE 'x:' || id END AS id, s.path, qualified_name, CASE WHEN ordinal % 3 = 0 THEN ordinal + 1000 ELSE start_line END AS start_line, end_line FROM fx_symbols s JOIN (SELECT DISTINCT diff_id, '/repo/' || path AS path FROM fx_hunks) f ON f.path = s.path WHERE ordinal % 5 = 2)"
+_NODES = "(SELECT f.diff_id, CASE WHEN ordinal % 2 = 0 THEN id ELSE 'x:' || id END AS id, s.path, qualified_name, CASE WHEN ordinal % 3 = 0 THEN ordinal + 1000 ELSE start_line END AS start_line, end_line FROM fx_symbols s JOIN (SELECT DISTINCT diff_id, '/repo/' || path AS path FROM fx_hunks) f ON f.path = s.path)"
 _MATCHED = f"(SELECT n.*, s.id AS symbol_id, s.code, row_number() OVER (PARTITION BY n.diff_id, n.id ORDER BY CASE WHEN s.id = n.id THEN 0 WHEN s.start_line = n.start_line AND s.end_line = n.end_line THEN 1 ELSE 2 END, s.ordinal) AS mn FROM {_NODES} n JOIN fx_symbols s ON s.path = n.path AND (s.id = n.id OR s.qualified_name = n.qualified_name))"
 _CHANGED_IDS = f"(SELECT DISTINCT diff_id, symbol_id AS id FROM fx_overlaps {_SEEDS_ONLY})"
 
@@ -638,9 +638,9 @@ def update_summary(s, d):
 # --- syntax nodes to symbols ------------------------------------------------------------------------------------------
 
 
-@query("SELECT path, 'function_definition' AS type, name, line FROM (SELECT path, 'f' || n AS name, line FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'm', line + 3 FROM fx_src WHERE n % 3 = 2) UNION ALL SELECT path, 'class_definition', 'C' || n, line FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, 'call', 'g', line + 2 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'call', 'f' || greatest(n - 3, 0), line + 3 FROM fx_src WHERE n % 3 = 1")
+@query("SELECT path, 'function_definition' AS type, name, line FROM (SELECT path, 'f' || n AS name, line FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'm', line + 3 FROM fx_src WHERE n % 3 = 2) UNION ALL SELECT path, 'class_definition', 'C' || n, line FROM fx_src WHERE n % 3 = 2 UNION ALL SELECT path, 'call', 'g', line + 2 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'call', 'f' || greatest(n - 3, 0), line + 3 FROM fx_src WHERE n % 3 = 1 UNION ALL SELECT path, 'assignment', string_split(qn, '.')[-1], line FROM fx_py WHERE kind = 'variable' UNION ALL SELECT path, 'return_statement', NULL, line + CASE n % 3 WHEN 1 THEN 3 ELSE 5 END FROM fx_src WHERE n % 3 > 0 UNION ALL SELECT DISTINCT path, 'module', NULL, 1 FROM fx_src")
 def python_syntax_nodes(s, d):
-    n = syntax.python_syntax_nodes(fx.sources(s, d)).where("type in ('function_definition', 'class_definition', 'call')")
+    n = syntax.python_syntax_nodes(fx.sources(s, d)).where("type in ('module', 'function_definition', 'class_definition', 'call', 'assignment', 'return_statement')")
     return n.select("path", "type", "name", F.col("start_line").cast("long").alias("line"))
 
 

@@ -113,13 +113,14 @@ def test_documents_of_many_paths_are_replaced_row_by_row(spark):
 def test_late_diffs_undo_nothing(spark, tmp_path, order):
     """Diffs of the same paths, in batches of two files with a restart between, give what one batch in order gives."""
     files = "repo_id string, path string, language string, content binary"
-    old = spark.createDataFrame([("r", f"/r/{x}.py", "python", bytearray(b"def old():\n    return 1\n")) for x in "abc"], files)
+    old = spark.createDataFrame([("r", f"/r/{x}.py", "python", bytearray(b"def old():\n    return 1\n")) for x in "abcd"], files)
     now = spark.createDataFrame([("r", f"/r/{x}.py", "python", bytearray(b"def new():\n    return 1\n")) for x in "ab"], files)
     found, edges = index.analyse(syntax.python_syntax_nodes(old))
     stored, docs = index.accepted_edges(edges, found).withColumn("ordinal", F.col("ordinal.at")), documents.callable_documents(found)
     kept = sinks.Store(spark, str(tmp_path / "store"), buckets=4).create(found, stored, docs)
-    # By arrival: a is deleted and comes back, b is changed and then deleted, c is deleted.
-    texts = {"9": _diff("a.py", True) + _diff("b.py"), "10": _diff("a.py"), "11": _diff("b.py", True), "12": _diff("c.py", True)}
+    now = now.union(spark.createDataFrame([("r", "/r/c.py", "python", bytearray(b"def (")), ("r", "/r/d.py", "python", bytearray(b"def ("))], files))
+    # By arrival: a is deleted and comes back, b is changed and then deleted, c is deleted and comes back broken, d gets broken.
+    texts = {"9": _diff("a.py", True) + _diff("b.py") + _diff("c.py", True), "10": _diff("a.py"), "11": _diff("b.py", True) + _diff("d.py"), "12": _diff("c.py")}
     for when, ids in enumerate((("9", "10"), ("11", "12")) if order == "given" else (("11", "10"), ("12", "9"))):
         (tmp_path / "in").mkdir(exist_ok=True)
         for i in ids:
@@ -129,7 +130,7 @@ def test_late_diffs_undo_nothing(spark, tmp_path, order):
     change = incremental.stored_paths(diffs.parse_diffs(spark.createDataFrame([(i, t) for i, t in texts.items()], "diff_id string, diff string")), "/r")
     want = incremental.incremental_update(change, now, found, stored, docs)
     assert _state(kept) == {name: sorted(r.id for r in want[name].collect()) for name in ("nodes", "edges", "documents")}
-    assert {r.qualified_name for r in kept.read("nodes").where("kind <> 'file'").collect()} == {"new"}
+    assert {(r.path, r.qualified_name) for r in kept.read("nodes").where("kind <> 'file'").collect()} == {("/r/a.py", "new"), ("/r/d.py", "old")}
 
 
 @pytest.mark.parametrize("line", ["@@ -99999999999 +1 @@", "@@ -1,3000000000 +1 @@", "@@ -1 +1,2147483648 @@ x"])
@@ -138,3 +139,25 @@ def test_numbers_beyond_int_are_an_error_row(spark, line):
     df = spark.createDataFrame([(1, good), (2, good + line + "\n"), (3, good.replace("@@ -1 +1 @@", "@@ -2147483647,0 +1 @@"))], "diff_id long, diff string")
     assert {r.diff_id for r in diffs.parse_diffs(df).collect()} == {1, 3}
     assert [tuple(r) for r in diffs.diff_errors(df).collect()] == [(2, "bad_hunk", line)]
+
+
+def test_digests_find_what_counts_hide(spark, tmp_path):
+    n, e, d = _tables(spark, [f"f{i}.n" for i in range(40)], [(f"f{i}.n", f"f{i + 1}.n") for i in range(39)])
+    kept = sinks.Store(spark, str(tmp_path), buckets=16).create(n, e, d)
+    assert kept.verify({"nodes": n.repartition(7), "edges": e, "documents": d}).count() == 0
+    other = n.withColumn("kind", F.when(F.col("path") == "/f7", "class").otherwise(F.col("kind")))
+    found = kept.verify({"nodes": other, "edges": e}).collect()
+    at = n.where("path = '/f7'").select(F.pmod(F.xxhash64("path"), F.lit(16)).cast("int")).first()[0]
+    assert [(r.table, r.bucket) for r in found] == [("nodes", at)] and found[0].expected_rows == found[0].stored_rows
+    swapped = n.withColumn("kind", F.when(F.col("path") == "/f7", F.lit(None)).otherwise(F.col("kind")))
+    assert [r.bucket for r in kept.verify({"nodes": swapped}).collect()] == [at]
+    assert {r.table for r in kept.verify({"nodes": n.unionAll(n.where("path = '/f7'")), "documents": d.limit(0)}).collect()} == {"nodes", "documents"}
+    kept.replace(spark.createDataFrame([("/f7", "analysed"), ("/f9", "deleted")], "path string, status string"), other.where("path = '/f7'"), e.limit(0), d.limit(0))
+    now = {name: kept.read(name) for name in ("nodes", "edges", "documents")}
+    assert kept.verify(now).count() == 0 and all(kept.damaged(name).count() == 0 for name in now)
+    assert kept.verify({"nodes": n}).count() > 0
+    # A folder that was changed behind the store's back shows by its rows.
+    name = f"{tmp_path}/nodes/bucket={at}"
+    spark.read.parquet(name).withColumn("kind", F.lit("x")).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(name)
+    assert [r.bucket for r in kept.damaged("nodes").collect()] == [at] and kept.damaged("nodes", [at]).count() == 1 and kept.damaged("nodes", [(at + 1) % 16]).count() == 0
