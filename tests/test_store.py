@@ -161,3 +161,13 @@ def test_digests_find_what_counts_hide(spark, tmp_path):
     spark.read.parquet(name).withColumn("kind", F.lit("x")).write.parquet(str(tmp_path / "copy"))
     spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(name)
     assert [r.bucket for r in kept.damaged("nodes").collect()] == [at] and kept.damaged("nodes", [at]).count() == 1 and kept.damaged("nodes", [(at + 1) % 16]).count() == 0
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    from codegraph.sources import shared
+
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark.range(10).count()
+    before, setting = blocks(), spark.conf.get(shared.CLEANUP, None)
+    staged = shared.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert staged.count() == 7 and spark.conf.get(shared.CLEANUP, None) == setting and blocks() <= before + 8
