@@ -428,7 +428,7 @@ def two_hop(s, d):
 
 @query(f"SELECT seed_id, edge_ids[1] AS first_edge, hop_count, {_PATHS} FROM fx_best GROUP BY ALL")
 def best_paths(s, d):
-    seeds, adj = explore.known_seeds(fx.seeds(s, d), fx.nodes(s, d)), explore.adjacency(fx.edges(s, d))
+    seeds, adj = explore.known_seeds(fx.seeds(s, d), fx.nodes(s, d)), explore.adjacency(stage(fx.edges(s, d), "edges"))
     return _path_rows(explore.nearest_paths(seeds, adj).withColumn("first_edge", F.get("edge_ids", 0)), "seed_id", "first_edge", "hop_count")
 
 
@@ -437,7 +437,7 @@ _ON = "(SELECT DISTINCT unnest(node_ids) AS id FROM fx_best)"
 
 @query(f"SELECT 'node' AS what, n.id, n.path, n.start_line FROM fx_nodes n JOIN {_ON} o ON o.id = n.id UNION ALL SELECT 'node', n.id, n.path, 0 FROM fx_nodes n JOIN fx_seeds s ON s.id = n.id WHERE n.id NOT IN (SELECT id FROM {_ON}) UNION ALL SELECT 'edge', e.id, e.path, 0 FROM fx_edges e JOIN (SELECT DISTINCT unnest(edge_ids) AS id FROM fx_best) b ON b.id = e.id")
 def explore_result(s, d):
-    seeds, nodes, edges = fx.seeds(s, d), fx.nodes(s, d), fx.edges(s, d)
+    seeds, nodes, edges = fx.seeds(s, d), fx.nodes(s, d), stage(fx.edges(s, d), "edges")
     best = explore.nearest_paths(explore.known_seeds(seeds, nodes), explore.adjacency(edges))
     n = explore.explore_nodes(seeds, best, nodes).select(F.lit("node").alias("what"), "id", "path", "start_line")
     return n.unionAll(explore.explore_edges(best, edges).select(F.lit("edge").alias("what"), "id", "path", F.lit(0).cast("long").alias("start_line")))
