@@ -1,7 +1,8 @@
 """Near duplicates by exact Jaccard similarity of word shingles.
 
-Candidates come from the covering tables of SimHash fingerprints, which hold every pair within their radius, and, as
-similar texts may lie farther apart than any radius that can be covered, from a prefix filter, which holds every pair.
+Each pair of texts is the matter of one of two searches. Pairs whose SimHash fingerprints lie within the radius of the
+covering tables are found by these alone. Similar texts may lie farther apart than any radius that can be covered, so
+pairs beyond it, and those of fingerprints that too many texts share, are found by a prefix filter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import drop_staged, free_name, quoted, stage, with_rows
-from .simhash import majority, near_links
+from .simhash import RADIUS, majority, near_links
 
 #: The similarity is a fraction, so that it is compared in whole numbers.
 SHINGLE, THRESHOLD, SEED = 5, (4, 5), 42
@@ -26,7 +27,7 @@ SLOT_BITS = 16
 #: A sketch has the parities of the shingles that fall on each of its bits, so sets differ in at least as many shingles as
 #: their sketches in bits. It has over SKETCH_SPREAD bits for each shingle, a power of two: halves fold onto each other.
 SKETCH_SPREAD, LEAST_SKETCH = 1, 128
-#: In buckets of up to so many documents all pairs are candidates.
+#: In buckets of up to so many documents all pairs are candidates. Fingerprints of more texts aren't looked up in the tables.
 SMALL = 16
 #: Texts whose shingles a task holds at once.
 TEXTS = 256
@@ -45,6 +46,15 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(k))))), np.uint64, len(words) - k + 1)).view(np.int64)
 
 
+def word_print(text: str | None) -> int:
+    """The SimHash fingerprint of a text's distinct words.
+
+    A changed word changes ``k`` shingles of ``k`` words but one word, so similar texts are nearer than by shingles.
+    """
+    words = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
+    return majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)))
+
+
 def _slots(h: np.ndarray) -> np.ndarray:
     return h & ((1 << SLOT_BITS) - 1)
 
@@ -92,6 +102,11 @@ def _may_be_similar(apart, n, threshold):
     return (over + under) * apart <= (under - over) * n
 
 
+def _by_tables(fx, fy):
+    """Whether a pair is the covering tables' matter; one with a null fingerprint isn't."""
+    return F.coalesce(F.bit_count(fx.bitwiseXOR(fy)) <= RADIUS, F.lit(False))
+
+
 def _similar(both, n, threshold):
     """Whether sets of ``n`` shingles together, ``both`` of them in both, reach the threshold."""
     over, under = threshold
@@ -152,18 +167,21 @@ def _meet(frame: pd.DataFrame, threshold: tuple[int, int]) -> pd.DataFrame:
 def _links(crowded: DataFrame, sketches: DataFrame, printed: DataFrame, sets_of, threshold: tuple[int, int]) -> DataFrame:
     """``crowded(h, node, n, least)``, the buckets of shingles -> edges ``(a, b)`` that connect what is similar in a bucket.
 
-    First the documents of buckets up to SMALL meet each other; in larger ones each meets the least. The pairs of the
-    covering tables, ``printed(a, b)``, come with them. A larger bucket whose others are then one component is done. In the rest all pairs of different components are compared,
-    block by block; buckets of the same documents are one. Sets are fetched only where sketches let two documents be
-    similar.
+    First the documents of buckets up to SMALL meet each other; in larger ones each meets the least, unless they are a
+    pair that the covering tables answer for. Such pairs, ``printed(a, b)``, come with them. A larger bucket whose
+    others are then one component is done. In the rest all pairs of different components are compared, block by block;
+    buckets of the same documents are one. Sets are fetched only where sketches let two documents be similar.
     """
     small = crowded.where(F.col("n") <= SMALL)
     small = small.select("h", "node").join(small.select("h", F.col("node").alias("least")), "h").where("node > least").select("node", "least")
     large = crowded.where((F.col("n") > SMALL) & (F.col("node") != F.col("least")))
-    pairs = small.unionAll(large.select("node", "least")).unionAll(printed.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("least")))
+    pairs = small.unionAll(large.select("node", "least")).withColumn("tables", F.lit(False))
+    pairs = pairs.unionAll(printed.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("least"), F.lit(True)))
     pairs = stage(pairs.distinct(), "pairs")
+    left, right = sketches.select("node", F.col("n").alias("nx"), F.col("fp").alias("fx")), sketches.select(F.col("node").alias("least"), F.col("n").alias("ny"), F.col("fp").alias("fy"))
+    fit = _same_size(F.col("nx"), F.col("ny"), threshold) & (F.col("tables") == _by_tables(F.col("fx"), F.col("fy")))
+    sized = stage(pairs.join(right, "least").join(left, "node").where(fit).select("node", "least"), "sized")
     left, right = sketches.select("node", F.col("n").alias("nx"), F.col("sketch").alias("sx")), sketches.select(F.col("node").alias("least"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-    sized = stage(pairs.join(right.drop("sy"), "least").join(left.drop("sx"), "node").where(_same_size(F.col("nx"), F.col("ny"), threshold)).select("node", "least"), "sized")
     apart = F.aggregate(F.zip_with(_folded("sx", "sy"), _folded("sy", "sx"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, c: a + c)
     likely = stage(sized.join(right, "least").join(left, "node").where(_may_be_similar(apart, F.col("nx") + F.col("ny"), threshold)).select("node", "least"), "likely")
     drop_staged(pairs, sized)
@@ -177,7 +195,7 @@ def _links(crowded: DataFrame, sketches: DataFrame, printed: DataFrame, sets_of,
     buckets = rest.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("s2")).where("low < high")
     buckets = stage(buckets.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
     dealt = rest.join(buckets, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("block", "other").alias("r"), F.greatest("block", "other").alias("s"), "block", "node", "component").join(sketches, "node")
+    dealt = dealt.select("h", F.least("block", "other").alias("r"), F.greatest("block", "other").alias("s"), "block", "node", "component").join(sketches.drop("fp"), "node")
     possible = stage(dealt.groupBy("h", "r", "s").applyInPandas(lambda f: _possible(f, threshold), "h long, r int, s int, block int, node long, component long"), "possible")
     drop_staged(rest, buckets, parts)
     sets = sets_of(possible.select(F.col("node").alias("row")).distinct())
@@ -191,9 +209,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THR
     """``docs`` with one row of each group of near duplicates: that with the smallest id, rows without an id last.
 
     Two rows are near duplicates if their sets of ``k``-word shingles have at least the Jaccard similarity
-    ``threshold`` (over, under); groups are the components of that relation, and no pair is missed. Shingles are
-    compared by 64-bit hashes. Texts without words, null ones too, are one group. Rows are told apart by their place,
-    so equal or missing ids don't matter.
+    ``threshold`` (over, under); groups are the components of that relation, and no pair is missed: those whose
+    fingerprints of distinct words differ in up to RADIUS bits come from the covering tables, unless over SMALL classes
+    of texts have the same fingerprint, all others from the prefix filter. Shingles are compared by 64-bit hashes. Texts
+    without words, null ones too, are one group. Rows are told apart by their place, so equal or missing ids don't matter.
     """
     number = free_name("row", docs)
     rows = with_rows(docs, number)
@@ -206,22 +225,26 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THR
         for part in (frame.iloc[at : at + TEXTS] for frame in frames for at in range(0, len(frame), TEXTS)):
             found = [shingles(t, k) for t in part["text"]]
             prints = [xxhash.xxh3_128_digest(h.tobytes()) for h in found]
-            yield pd.DataFrame({"row": part["row"], "print": prints, "fp": [majority(h) for h in found], "n": [len(h) for h in found], "sketch": [sketch(h) for h in found], "prefix": [prefix(h, fill, threshold) for h in found]})
+            yield pd.DataFrame({"row": part["row"], "print": prints, "fp": [word_print(t) for t in part["text"]], "n": [len(h) for h in found], "sketch": [sketch(h) for h in found], "prefix": [prefix(h, fill, threshold) for h in found]})
 
     marked = stage(texts.mapInPandas(mark, "row long, print binary, fp long, n long, sketch array<long>, prefix array<long>"), "marked")
     # One class for each set of shingles, named by its row that is kept; among classes the same rule decides.
     named = marked.select("row", "print").join(rows.select(F.col(number).alias("row"), F.col(quoted(id_col)).alias("id")), "row")
     classes = stage(named.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select("best", F.col("best.row").alias("node")), "classes")
     placed = stage(marked.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("prefix").alias("h"), F.col("row").alias("node")), "prefixes")
-    kept_rows = marked.where("n > 0").select(F.col("row").alias("node"), "fp").join(classes.select("node"), "node", "left_semi")
-    prints = stage(kept_rows.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("w")), "prints")
-    equal = kept_rows.join(prints.where("w > 1"), "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    printed = stage(near_links(prints.select("fp", F.col("least").alias("node"))).unionByName(equal), "printed")
+    worded = stage(marked.where("n > 0").select(F.col("row").alias("node"), "fp").join(classes.select("node"), "node", "left_semi"), "worded")
+    prints = stage(worded.groupBy("fp").agg(F.count("*").alias("w")), "prints")
+    few = prints.where(F.col("w") <= SMALL)
+    met = near_links(few.select("fp", F.col("fp").alias("node")), every=True).unionAll(few.where("w > 1").select("fp", "fp"))
+    met = met.join(worded.select(F.col("fp").alias("a"), "node"), "a").join(worded.select(F.col("fp").alias("b"), F.col("node").alias("other")), "b")
+    printed = stage(met.where("a <> b or node > other").select(F.col("node").alias("a"), F.col("other").alias("b")), "printed")
     shared = stage(placed.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("h", "n", "least"), "shared")
     crowded = stage(placed.join(shared, "h").select("h", "node", "n", "least"), "crowded")
     met = crowded.select("node").unionAll(printed.select(F.explode(F.array("a", "b")))).distinct()
-    sketches = stage(marked.select(F.col("row").alias("node"), "n", "sketch").join(met, "node", "left_semi"), "sketches")
-    drop_staged(placed, shared, marked, prints)
+    many = prints.where(F.col("w") > SMALL).select("fp", F.lit(True).alias("many"))
+    sketches = marked.select(F.col("row").alias("node"), "n", "fp", "sketch").join(met, "node", "left_semi").join(many, "fp", "left")
+    sketches = stage(sketches.select("node", "n", F.when(F.col("many").isNull(), F.col("fp")).alias("fp"), "sketch"), "sketches")
+    drop_staged(placed, shared, marked, worded, prints)
     hashed = F.pandas_udf(lambda ts: pd.Series([shingles(t, k) for t in ts]), T.ArrayType(T.LongType()))
     sets_of = lambda some: texts.join(some, "row", "left_semi").select(F.col("row").alias("node"), hashed("text").alias("set"))
     parts = connected_components(_links(crowded, sketches, printed, sets_of, threshold))

@@ -72,13 +72,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(classes: DataFrame) -> DataFrame:
+def near_links(classes: DataFrame, every: bool = False) -> DataFrame:
     """``classes(fp, node)``, one row for each fingerprint -> edges ``(a, b)`` that connect those within 2 bits.
 
     Buckets of the covering tables hold every such pair. In a bucket of up to PAIRS fingerprints they are compared with
     each other. In a larger one the pairs aren't listed: each fingerprint goes to itself and to its one-bit
     neighbours in the positions that the mask leaves free. Two fingerprints are within two bits if and only if they
     meet at such a point, and at most 1 + 37 fingerprints meet at one, so the work is linear in a bucket of any size.
+    With ``every`` the edges are all pairs within 2 bits, each once with ``a > b``, at most 2080 for a fingerprint.
     """
     masks = covering_masks()
     tables = F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
@@ -90,7 +91,10 @@ def near_links(classes: DataFrame) -> DataFrame:
     pairs = small.join(other, ["t", "key"]).where((F.col("node") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS)).select(F.col("node").alias("a"), "b")
     flips = F.array(*[F.array(*[F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]]) for m in masks])
     points = buckets.where(F.col("n") > PAIRS).select("t", "node", "fp", F.explode(flips[F.col("t").cast("int")]).alias("flip")).select("t", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    met = points.select("node", F.expr("min(node) over (partition by t, point)").alias("least"))
+    if every:
+        met = points.select("t", "point", "node").join(points.select("t", "point", F.col("node").alias("least")), ["t", "point"]).where("node > least")
+    else:
+        met = points.select("node", F.expr("min(node) over (partition by t, point)").alias("least"))
     return pairs.unionAll(met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
 
 

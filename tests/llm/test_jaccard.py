@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codegraph.llm import jaccard, shared
+from codegraph.llm import jaccard, shared, simhash
 
 
 def _grams(text):
@@ -93,3 +93,55 @@ def test_prefixes_of_similar_sets_meet():
         a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
         keep = a[rng.permutation(len(a))[: -(-len(a) * 4 // 5)]]
         assert set(jaccard.prefix(a, fill)) & set(jaccard.prefix(keep, fill))
+
+
+def _apart(a, b):
+    return ((jaccard.word_print(a) ^ jaccard.word_print(b)) & (1 << 64) - 1).bit_count()
+
+
+def test_pairs_within_the_radius_come_from_the_covering_tables(spark, monkeypatch):
+    """Without the tables such a pair isn't found; pairs farther apart are found all the same."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{c}{i}" for i in range(200)) for c in "vw"]
+    edits = [[_edited(rng, t, 1) for _ in range(200)] for t in texts]
+    near = next(e for e in edits[0] if 0 < _apart(texts[0], e) <= simhash.RADIUS)
+    far = max(edits[1], key=lambda e: _apart(texts[1], e))
+    assert _apart(texts[1], far) > simhash.RADIUS
+    rows = [(1, texts[0]), (2, near), (3, texts[1]), (4, far)]
+    _check(spark, rows)
+    links = simhash.near_links
+    monkeypatch.setattr(jaccard, "near_links", lambda *a, **k: links(*a, **k).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2, 3]
+
+
+def test_texts_of_the_same_words_in_other_orders(spark):
+    """Their fingerprints are equal: those of few texts are looked up in the tables, those of many aren't."""
+    rng, texts = random.Random(4), []
+    for base, n in (("x", 4), ("y", 30)):
+        for _ in range(n):
+            w = [f"{base}{i}" for i in range(120)]
+            rng.shuffle(w)
+            texts.append(" ".join(w))
+            if rng.random() < 0.6:
+                i = rng.randrange(119)
+                w[i], w[i + 1] = w[i + 1], w[i]
+                texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    assert 34 == len(_expected(rows)) < len(rows)
+    _check(spark, rows)
+
+
+def test_all_pairs_of_fingerprints_within_the_radius(spark):
+    rng, prints = random.Random(6), set()
+    for size in (400, 10):
+        base = rng.getrandbits(64)
+        for _ in range(size):
+            x = base
+            for _ in range(rng.randrange(5)):
+                x ^= 1 << rng.randrange(24)
+            prints.add(x - (1 << 64) if x >> 63 else x)
+    prints = sorted(prints)
+    want = {(a, b) for a in prints for b in prints if a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.RADIUS}
+    got = simhash.near_links(spark.createDataFrame([(x, x) for x in prints], "fp long, node long"), every=True).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
