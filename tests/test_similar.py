@@ -62,3 +62,19 @@ def test_hits_without_names(spark):
     got = package.vector_neighbors(hits, seeds, changed, docs).orderBy("place")
     assert [tuple(r) for r in got.select("symbol_id", "path", "kind", "qualified_name", "start_line", "end_line").collect()] == [("r1", "", "", "nm", 0, 0), ("r2", "/p", "function", "r2", 3, 4), ("s3", "/p", "function", "q3", 5, 6)]
     assert got.where(F.col("language") == "c").count() == 3
+
+
+def test_equal_vectors_are_searched_for_once(spark, monkeypatch):
+    """Ids that share vectors, of queries as of documents, get all that is theirs; vectors too long for squares in double precision too."""
+    monkeypatch.setattr(documents, "BLOCK", 6)
+    searched = []
+    monkeypatch.setattr(documents, "_to_pivots", lambda rows, pivots, plain=documents._to_pivots: searched.append(rows.count()) or plain(rows, pivots))
+    vectors = [[float(i), 1.0] for i in range(8)] + [[-0.0, 3.0], [0.0, 3.0], [1e200, 0.0], [1e200, 1.0]]
+    docs = [(f"d{i:03}", "c" if i % 5 else "java", vectors[i % 12]) for i in range(120)] + [("d000", "c", vectors[3])]
+    queries = [(f"q{i:03}", "c", vectors[i % 12]) for i in range(60)]
+    a, b = spark.createDataFrame(queries, Q), spark.createDataFrame(docs, D).repartition(3)
+    for k in (1, 9, 25):
+        got = sorted((r.query_id, r.id, r["rank"]) for r in documents.similar(a, b, k).collect())
+        with np.errstate(over="ignore"):
+            assert got == [w[:3] for w in _plain(queries, docs, k)]
+    assert searched[1::2] == [11, 11, 11], "queries that are compared"
