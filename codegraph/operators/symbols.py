@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import stab
 from ..functions.text import strip, symbol_id
+from ..sources.shared import stage
 
 _DECORATED = "(?:decorated_definition/)?"
 _DECLARATOR = "(?:init_declarator|identifier|field_identifier|pointer_declarator|array_declarator)"
@@ -219,14 +220,34 @@ ACCESSES = {
 _CALL_NODE = {"python": "call", "java": "method_invocation", "c": "call_expression", "cpp": "call_expression"}
 
 
+#: Statements whose parts count.
+STATEMENTS = sorted({rule[0] for rules in ACCESSES.values() for rule in rules} | {"return_statement"})
+#: Node types that can be a reference.
+LEAVES = ("identifier", "field_identifier", "attribute", "field_access")
+
+
+def _wanted(nodes: DataFrame) -> DataFrame:
+    """The nodes that references are made of, with the type of their parent: statements, their parts, and names."""
+    up = F.when(F.col("type_path").contains("/"), F.substring_index(F.substring_index("type_path", "/", -2), "/", 1))
+    leaf = F.col("type").isin(*LEAVES) | F.coalesce(F.col("field") == "object", F.lit(False))
+    cols = ["path", "language", "node_id", "parent_id", "child_ord", "field", "type", "type_path", "start_line", "start_column", "end_line", "end_column", "start_byte", "end_byte"]
+    rows = nodes.select(*cols, F.when(leaf, F.col("text")).alias("text"), leaf.alias("leaf"), up.alias("up_type"))
+    return rows.where(F.col("leaf") | F.col("type").isin(*STATEMENTS) | F.coalesce(F.col("up_type").isin(*STATEMENTS), F.lit(False)))
+
+
 def expressions(nodes: DataFrame) -> DataFrame:
     """The parts of statements that are written or read: ``(path, language, stmt, mode, node_id, type_path, span of the statement)``."""
-    # The parent's type is the last but one of the path, so only parts of the statements that count meet their statement.
-    statements = [rule[0] for rules in ACCESSES.values() for rule in rules] + ["return_statement"]
-    parts = nodes.withColumn("up_path", F.regexp_extract("type_path", r"\A(.*)/[^/]*\z", 1)).withColumn("up_type", F.substring_index("up_path", "/", -1)).where(F.col("up_type").isin(*statements))
-    up = nodes.where(F.col("type").isin(*statements)).select("path", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"u_{c}") for c in ("start_line", "start_column", "end_line", "end_column")])
-    last = parts.where("up_type = 'return_statement'").groupBy("path", "parent_id").agg(F.max("child_ord").alias("last"))
-    e = parts.join(up, ["path", "parent_id"]).join(last, ["path", "parent_id"], "left")
+    # The parent's type is the last but one of the path, so only parts of the statements that count meet their statement;
+    # a node that is a part and a statement itself has a row as each.
+    rows, span = _wanted(nodes), ("start_line", "start_column", "end_line", "end_column")
+    part = ("language", "child_ord", "field", "type", "type_path", "node_id", "start_byte", "end_byte", "start_line", "end_line")
+    none = F.lit(None)
+    as_part = F.when(F.col("up_type").isin(*STATEMENTS), F.struct(F.col("parent_id").alias("stmt"), F.struct(*part).alias("part"), none.cast("struct<start_line:int,start_column:int,end_line:int,end_column:int>").alias("u")))
+    as_statement = F.when(F.col("type").isin(*STATEMENTS), F.struct(F.col("node_id").alias("stmt"), none.cast(rows.select(F.struct(*part).alias("p")).schema["p"].dataType).alias("part"), F.struct(*[F.col(c).cast("int").alias(c) for c in span]).alias("u")))
+    met = rows.select("path", F.explode(F.array_compact(F.array(as_part, as_statement))).alias("m")).groupBy("path", "m.stmt").agg(F.collect_list("m.part").alias("parts"), F.max("m.u").alias("u")).where("u is not null")
+    met = met.select("path", F.col("stmt").alias("parent_id"), "u", F.array_max(F.transform("parts", lambda p: p.child_ord)).alias("last"), F.explode("parts").alias("p"))
+    e = met.select("path", "parent_id", "last", "p.*", *[F.col(f"u.{c}").alias(f"u_{c}") for c in span])
+    e = e.withColumn("up_path", F.expr("substring(type_path, 1, length(type_path) - length(substring_index(type_path, '/', -1)) - 1)")).withColumn("up_type", F.substring_index("up_path", "/", -1))
 
     def mode(rules):
         out = F.lit(None).cast("string")
@@ -247,10 +268,10 @@ def reference_names(nodes: DataFrame) -> DataFrame:
     What is called is no reference, its arguments are; ``self.x`` and ``this.x`` are x, other attributes nothing; in
     Java the object of a call is a reference by its text; in C fields count by their name.
     """
-    leaf = nodes.where(F.col("type").isin("identifier", "field_identifier", "attribute", "field_access") | (F.col("field") == "object"))
-    r = leaf.select("path", F.col("node_id").alias("r_id"), F.col("type").alias("r_type"), F.col("field").alias("r_field"), F.col("type_path").alias("r_path"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"), F.col("start_line").alias("line"), strip(F.col("text")).alias("r_text"))
+    nodes = stage(_wanted(nodes), "wanted")
+    r = nodes.where("leaf").select("path", F.col("node_id").alias("r_id"), F.col("type").alias("r_type"), F.col("field").alias("r_field"), F.col("type_path").alias("r_path"), F.col("start_byte").alias("r_start"), F.col("end_byte").alias("r_end"), F.col("start_line").alias("line"), strip(F.col("text")).alias("r_text"))
     # By line, so that a file's expressions don't all meet all its names.
-    pairs = stab(r, expressions(nodes), ["path"], "line", "e_first", "e_last", unit=1).where("r_start >= e_start and r_end <= e_end and r_id >= e_id").withColumn("rest", F.expr("substring(r_path, cut + 2)"))
+    pairs = stab(r, stage(expressions(nodes), "expressions"), ["path"], "line", "e_first", "e_last", unit=1).where("r_start >= e_start and r_end <= e_end and r_id >= e_id").withColumn("rest", F.expr("substring(r_path, cut + 2)"))
     called = _by_language(_CALL_NODE, lambda t: F.col("rest").rlike(rf"(?:\A|/){t}/(?!argument_list)"))
     inside = F.col("rest").rlike("(?:attribute|field_access)/") & F.col("language").isin("python", "java")
     in_object = F.col("rest").rlike(r"method_invocation/(?!argument_list)[^/]+/") | F.col("rest").rlike(r"(?:\A|/)method_invocation/(?!argument_list)[^/]+/")

@@ -29,3 +29,11 @@ def test_symbols_of_python_files_take_one_pass(files):
     assert files[1].value == 3
     assert got == {("file", "/r/1.py", None, "/r/1.py", ()), ("class", "C", None, "class C", ()), ("variable", "C.x", "C", "x = ...", ()), ("method", "C.m", "C", "def m(self)", ()), ("variable", "C.m.y", "C.m", "y = ...", ()), ("function", "f", None, "def f(a)", ()), ("variable", "f.v", "f", "v = ...", ())}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_take_one_pass(files):
+    found = symbols.reference_names(syntax.python_syntax_nodes(files[0]))
+    got = sorted((r["mode"], r["name"], r.start_line) for r in found.where("path = '/r/2.py'").collect())
+    assert files[1].value == 3
+    # The inner of two assignments in one statement is a part of the outer one.
+    assert got == [("reads", "a", 10), ("reads", "a", 10), ("reads", "v", 11), ("reads", "w", 10), ("reads", "x", 5), ("reads", "y", 6), ("writes", "v", 10), ("writes", "w", 10), ("writes", "x", 2), ("writes", "y", 5)]
