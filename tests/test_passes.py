@@ -2,7 +2,7 @@
 
 import pytest
 
-from codegraph.operators import symbols
+from codegraph.operators import relations, symbols
 from codegraph.sources import syntax
 
 SOURCE = b"class C(Base):\n    x = 1\n\n    def m(self):\n        y = self.x\n        return y\n\n\ndef f(a):\n    v = w = g(a)\n    return f(v)\n"
@@ -37,3 +37,22 @@ def test_references_take_one_pass(files):
     assert files[1].value == 3
     # The inner of two assignments in one statement is a part of the outer one.
     assert got == [("reads", "a", 10), ("reads", "a", 10), ("reads", "v", 11), ("reads", "w", 10), ("reads", "x", 5), ("reads", "y", 6), ("writes", "v", 10), ("writes", "w", 10), ("writes", "x", 2), ("writes", "y", 5)]
+
+
+def test_accesses_are_read_for_spans_and_names_alone(spark):
+    """Writes and reads, and what a name means, come of one pass over the accesses and one over their spans."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    columns = "path string, node_id long, place long, mode string, name string, start_line int, start_column int, end_line int, end_column int"
+    accesses = spark.createDataFrame([("/r/a.py", 10 * n, 10 * n + i, mode, "w", n, 5, n, 9) for n in (2, 4) for i, mode in enumerate(("writes", "reads"))], columns).mapInPandas(count, columns)
+    rows = [("function", "f", "f", None, 1, 3, 1), ("variable", "w", "f.w", "f", 2, 2, 2), ("variable", "w", "f.w", "f", 3, 3, 3), ("variable", "w", "w", None, 4, 4, 4), ("file", "a.py", "/r/a.py", None, 1, 9, 0)]
+    found = spark.createDataFrame([("/r/a.py", f"{k}:{q}:{a}", k, n, q, p, a, 1, b, 99, o) for k, n, q, p, a, b, o in rows], "path string, id string, kind string, name string, qualified_name string, parent_name string, start_line int, start_column int, end_line int, end_column int, ordinal long")
+    got = sorted((r.kind, r.source, r.destination_id) for r in relations.access_edges(accesses, found).collect())
+    # The edge ends at the last variable of the name that is meant.
+    assert got == [("reads", "/r/a.py", "variable:w:4"), ("reads", "f", "variable:f.w:3"), ("writes", "/r/a.py", "variable:w:4"), ("writes", "f", "variable:f.w:3")]
+    assert read.value == 8
